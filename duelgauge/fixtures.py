@@ -84,7 +84,7 @@ def move_scores(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("/", "event_type", (ply % 8).cast("string")).alias("fen_before"),
         "move",
         (
-            ((F.col("game_id") * 37) % 1600 - 800) / F.lit(500.0) + (F.col("value") - 100) / F.lit(500.0)
+            ((F.col("game_id") * 37) % 1600 - 800) / F.lit(500.0) + (F.col("value") - 100) / F.lit(503.0)
         ).alias("score"),
     )
 
@@ -105,7 +105,7 @@ def game_scores(spark: SparkSession, sf: str) -> DataFrame:
     score = lambda side: F.lit(0.002) * (F.col(f"{side}_elo") - 1500) + (
         (F.col("game_id") * 7919 + F.substring(side, 2, 20).cast("bigint") * (31 if side == "white" else 37)) % 1001
         - 500
-    ) / F.lit(2500.0)
+    ) / F.lit(2503.0)
     return g.filter(same).select(
         "game_id",
         low.alias("low"),

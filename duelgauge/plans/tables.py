@@ -31,14 +31,14 @@ table("moves", "moves0", """
 table("move_scores", "moves", """
  SELECT game_id, ply, color, CASE WHEN ply < 20 THEN 'opening' WHEN ply < 45 THEN 'midgame' ELSE 'endgame' END AS phase,
         event_type || '/' || CAST(ply % 8 AS VARCHAR) AS fen_before, move,
-        CAST((game_id * 37) % 1600 - 800 AS DOUBLE) / 500 + (value - 100) / CAST(500 AS DOUBLE) AS score FROM moves""")
+        CAST((game_id * 37) % 1600 - 800 AS DOUBLE) / 500 + (value - 100) / CAST(503 AS DOUBLE) AS score FROM moves""")
 table("scored_games", "games", """
  SELECT g.*, e.n_moves FROM games g JOIN (SELECT user_id AS game_id, count(*) AS n_moves FROM events GROUP BY 1) e USING (game_id)""")
 table("game_scores", "binned", """
  SELECT game_id, 1000 + 200 * wbin AS low, 1200 + 200 * wbin AS high, white_elo AS white_rating, black_elo AS black_rating,
-        CAST(0.002 AS DOUBLE) * (white_elo - 1500) + CAST((game_id * 7919 + CAST(substr(white, 2) AS BIGINT) * 31) % 1001 - 500 AS DOUBLE) / 2500 AS white_score,
+        CAST(0.002 AS DOUBLE) * (white_elo - 1500) + CAST((game_id * 7919 + CAST(substr(white, 2) AS BIGINT) * 31) % 1001 - 500 AS DOUBLE) / 2503 AS white_score,
         20 + game_id % 30 AS white_moves,
-        CAST(0.002 AS DOUBLE) * (black_elo - 1500) + CAST((game_id * 7919 + CAST(substr(black, 2) AS BIGINT) * 37) % 1001 - 500 AS DOUBLE) / 2500 AS black_score,
+        CAST(0.002 AS DOUBLE) * (black_elo - 1500) + CAST((game_id * 7919 + CAST(substr(black, 2) AS BIGINT) * 37) % 1001 - 500 AS DOUBLE) / 2503 AS black_score,
         20 + game_id % 30 - game_id % 2 AS black_moves
  FROM binned WHERE wbin = bbin""")
 table("split_scores", "game_scores", """

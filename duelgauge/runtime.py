@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,18 +46,20 @@ def shuffle_width(spark: SparkSession) -> int:
     )
 
 
-def constant_list(rows: DataFrame, *columns: str) -> Column:
+def constant_list(rows: DataFrame, *columns: str, shape: Callable[[Column], Column] | None = None) -> Column:
     """A small table as one sorted array<struct> usable inside any expression.
 
     The scalar subquery is planned once and its value is shipped as a literal, so no join is
-    needed. The row count is checked: a table above MAX_CONSTANT_ROWS is an error.
+    needed. The row count is checked: a table above MAX_CONSTANT_ROWS is an error. `shape` may
+    rearrange the array before it is shipped.
     """
     packed = F.sort_array(F.collect_list(F.struct(*columns)))
     checked = F.when(F.count(F.lit(1)) <= MAX_CONSTANT_ROWS, packed).otherwise(
         F.raise_error(F.lit("constant list is larger than its bound"))
     )
     bounded = rows.limit(MAX_CONSTANT_ROWS + 1)
-    return bounded.agg(checked.alias("v")).scalar()
+    listed = bounded.agg(checked.alias("v"))
+    return (listed.select(shape(F.col("v")).alias("v")) if shape else listed).scalar()
 
 
 def constant_row(one_row: DataFrame, *columns: str) -> Column:
