@@ -4,4 +4,6 @@ from duelgauge.plans import tables  # noqa: F401
 from duelgauge.plans import corpus_queries  # noqa: F401
 from duelgauge.plans import predict_queries  # noqa: F401
 from duelgauge.plans import evaluation_queries  # noqa: F401
+from duelgauge.plans import progressive_queries  # noqa: F401
+from duelgauge.plans import graph_queries  # noqa: F401
 from duelgauge.plans.registry import ORACLES, QUERIES  # noqa: F401
