@@ -133,3 +133,56 @@ def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def query_scores(spark: SparkSession, sf: str) -> DataFrame:
     return split_scores(spark, sf).filter("split = 'query'").drop("split")
+
+
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every ply of every game of the games table; some games keep White's moves only."""
+    rows = games(spark, sf).select("game_id", F.explode(F.sequence(F.lit(0), F.col("plies") - 1)).alias("ply"))
+    side = F.when(F.col("ply") % 2 == 0, "white").otherwise("black")
+    return rows.withColumn("color", side).filter(~((F.col("game_id") % 17 == 0) & (F.col("color") == "black")))
+
+
+def ranked_games(spark: SparkSession, sf: str) -> DataFrame:
+    rank = elo_bin(F.col("black_elo"), BINS_200).cast("bigint")
+    return games(spark, sf).withColumn("rank", rank).filter("rank IS NOT NULL")
+
+
+def occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    """Pseudo positions: occupancy masks per ply that thin out as a game goes on."""
+    mask = lambda name: ordered.hash_int(name, "game_id", "ply")
+    settled = F.col("ply") < F.lit(10) + F.col("game_id") % 20
+    thin = F.when(F.col("ply") >= F.lit(35) + F.col("game_id") % 30, mask("t")).otherwise(F.lit(-1))
+    white = mask("a").bitwiseAND(mask("b")).bitwiseAND(mask("c")).bitwiseAND(thin).bitwiseOR(
+        F.when(settled, F.lit(255)).otherwise(F.lit(15)).cast("bigint")
+    )
+    top = F.when(settled, F.lit(-(1 << 56))).otherwise(F.lit(15 << 56)).cast("bigint")
+    black = mask("d").bitwiseAND(mask("e")).bitwiseAND(mask("f")).bitwiseAND(thin).bitwiseOR(top)
+    rows = moves(spark, sf).select("game_id", "ply", white.alias("white"), black.alias("b0"))
+    black_only = F.col("b0").bitwiseAND(F.bitwise_not(F.col("white")))
+    return rows.select(
+        "game_id",
+        "ply",
+        "white",
+        black_only.alias("black"),
+        F.lit(1 << 4).cast("bigint").alias("kings"),
+        F.col("white").bitwiseOR(black_only).bitwiseAND(mask("g")).bitwiseAND(mask("h")).alias("pawns"),
+    )
+
+
+def replay_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rewards, values, life losses, actions and visit texts from events."""
+    e = F.col("event_id")
+    cast = lambda c: c.cast("string")
+    visits = F.concat_ws(
+        ",", F.concat_ws(":", cast(e % 9), cast(F.lit(1) + e % 5)), F.concat_ws(":", cast((e + 3) % 9), cast(F.lit(2) + e % 3))
+    )
+    return moves(spark, sf).select(
+        "game_id",
+        "ply",
+        "event_id",
+        (e % 9).alias("action"),
+        F.when(e % 7 == 0, "").otherwise(visits).alias("visits"),
+        (F.col("value") / 10.3).alias("reward"),
+        (F.col("value") / 3.1).alias("value"),
+        F.when(F.col("event_type") == "error", e % 3).alias("lives"),
+    )

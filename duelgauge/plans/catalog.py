@@ -7,4 +7,5 @@ from duelgauge.plans import evaluation_queries  # noqa: F401
 from duelgauge.plans import progressive_queries  # noqa: F401
 from duelgauge.plans import graph_queries  # noqa: F401
 from duelgauge.plans import comparison_queries  # noqa: F401
+from duelgauge.plans import training_queries  # noqa: F401
 from duelgauge.plans.registry import ORACLES, QUERIES  # noqa: F401
