@@ -79,7 +79,7 @@ def classify(games: DataFrame, bins: Bins, held_out: Column | None = None) -> Da
 
 def digest(line: Column) -> Column:
     """Fingerprint of a record, blind to surrounding white space."""
-    return F.md5(F.trim(line))
+    return F.md5(F.regexp_replace(line, r"^\s+|\s+$", ""))
 
 
 def flag_held_out(records: DataFrame, held_out: DataFrame, name: str = "held_out") -> DataFrame:
