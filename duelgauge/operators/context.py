@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,17 +15,20 @@ from duelgauge.runtime import cut_lineage
 DAY_SECONDS = 86_400
 
 
-def player_contexts(games: DataFrame, policy: ContextPolicy) -> DataFrame:
+def player_contexts(
+    games: DataFrame, policy: ContextPolicy, within_day: Sequence[str | Column] = ("game_id",)
+) -> DataFrame:
     """One row per (player, day): how many games are eligible as context, and the latest N of them.
 
     Dates have day precision, so all games of a player on one day share one context: the work is
     done once per (player, day), not per game. Ranks are global per player but computed per day,
     and the array is filled by an equi-join on (player, rank), so an extremely active player is
-    spread over days and ranks. Arrays never exceed N.
+    spread over days and ranks. Arrays never exceed N. `within_day` is the selection order among
+    the games of one day.
     """
     n = policy.context_size
     eligible = sides(games.filter(policy_reason(policy).isNull()), "played_at")
-    ranked = ordered.row_numbers(eligible, ["player"], ["played_at", "game_id"], F.col("played_at"), "rn")
+    ranked = ordered.row_numbers(eligible, ["player"], ["played_at", *within_day], F.col("played_at"), "rn")
 
     min_days = max(1, -(-policy.min_context_age_seconds // DAY_SECONDS))
     day = F.datediff("played_at", F.lit("1970-01-01"))
@@ -84,11 +89,16 @@ def context_reason(policy: ContextPolicy) -> Column:
     ).when(F.coalesce(F.col("black_eligible"), F.lit(0)) < policy.context_size, "black_insufficient_context")
 
 
-def build_examples(games: DataFrame, policy: ContextPolicy, strict_cap: bool = False) -> DataFrame:
+def build_examples(
+    games: DataFrame,
+    policy: ContextPolicy,
+    strict_cap: bool = False,
+    within_day: Sequence[str | Column] = ("game_id",),
+) -> DataFrame:
     """All games with both contexts and the first failing `reason` (NULL for an example)."""
     first = W.partitionBy("game_id").orderBy("played_at", "white", "black")
     unique = games.withColumn("_copy", F.row_number().over(first))
-    tagged = attach_contexts(unique, player_contexts(unique.filter("_copy = 1").drop("_copy"), policy))
+    tagged = attach_contexts(unique, player_contexts(unique.filter("_copy = 1").drop("_copy"), policy, within_day))
     base = F.when(F.col("_copy") > 1, "duplicate_game").otherwise(policy_reason(policy))
     tagged = tagged.withColumn("_policy", base).withColumn("_context", context_reason(policy)).drop("_copy")
     if policy.max_predictions_per_player is None:
@@ -103,19 +113,14 @@ def exclusion_counts(examples: DataFrame) -> DataFrame:
 
 def _prior_counts(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
     """Per game, for both players, sums of the measures over that player's earlier games."""
-    both = rows.select(
-        "game_id", "played_at", *measures_columns(rows), F.explode(F.array("white", "black")).alias("player")
-    )
+    flags = [c for c in rows.columns if c.startswith("_is_")]
+    both = rows.select("game_id", "played_at", *flags, F.explode(F.array("white", "black")).alias("player"))
     running = ordered.running_totals(
         both, ["player"], ["played_at", "game_id"], F.col("played_at"), measures, inclusive=False
     )
     return running.groupBy("game_id").agg(*[F.max(n).alias(n) for n in measures])
 
 
-def measures_columns(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c.startswith("_is_")]
-
-
 def rank_capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
     """Relaxed cap, one pass: a game is refused once either player has `cap` earlier usable games."""
     usable = F.col("_policy").isNull() & F.col("_context").isNull()

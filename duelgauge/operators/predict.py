@@ -99,7 +99,7 @@ def slice_metrics(scored: DataFrame, minimum: int = 20, slices: dict | None = No
         mine = F.col("_set") == (everything ^ (1 << (len(names) - 1 - i)))
         slice_name = F.when(mine, name) if slice_name is None else slice_name.when(mine, name)
         bucket = F.when(mine, F.col(name)) if bucket is None else bucket.when(mine, F.col(name))
-    low = F.regexp_extract("bucket", r"^(\d+)", 1).cast("bigint")
+    low = F.regexp_extract("bucket", r"^(\d+)", 1).try_cast("bigint")
     return (
         grouped.filter(F.col("n") >= minimum)
         .select(slice_name.alias("slice"), bucket.alias("bucket"), "accuracy", "n")

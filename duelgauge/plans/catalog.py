@@ -9,4 +9,5 @@ from duelgauge.plans import graph_queries  # noqa: F401
 from duelgauge.plans import comparison_queries  # noqa: F401
 from duelgauge.plans import training_queries  # noqa: F401
 from duelgauge.plans import source_queries  # noqa: F401
+from duelgauge.plans import job_queries  # noqa: F401
 from duelgauge.plans.registry import ORACLES, QUERIES  # noqa: F401
