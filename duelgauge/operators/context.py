@@ -15,56 +15,54 @@ from duelgauge.runtime import cut_lineage
 DAY_SECONDS = 86_400
 
 
-def player_contexts(
-    games: DataFrame, policy: ContextPolicy, within_day: Sequence[str | Column] = ("game_id",)
-) -> DataFrame:
-    """One row per (player, day): how many games are eligible as context, and the latest N of them.
+def player_contexts(games: DataFrame, policy: ContextPolicy, newest_first: Sequence[Column] | None = None) -> DataFrame:
+    """The latest N eligible games before every (player, day) on which the player has one.
 
     Dates have day precision, so all games of a player on one day share one context: the work is
-    done once per (player, day), not per game. Ranks are global per player but computed per day,
-    and the array is filled by an equi-join on (player, rank), so an extremely active player is
-    spread over days and ranks. Arrays never exceed N. `within_day` is the selection order among
-    the games of one day.
+    done per (player, day), not per game. A day keeps at most its N newest games (a group limit
+    that prunes before the shuffle), and the last N games up to a day lie within the last N playing
+    days, so all arrays are bounded and a very active player is no more rows than there are days.
+    `newest_first` is the selection order among the games of one day.
     """
     n = policy.context_size
+    latest = list(newest_first) if newest_first else [F.desc("game_id")]
     eligible = sides(games.filter(policy_reason(policy).isNull()), "played_at")
-    ranked = ordered.row_numbers(eligible, ["player"], ["played_at", *within_day], F.col("played_at"), "rn")
+    in_day = W.partitionBy("player", "played_at").orderBy(*latest)
+    kept = eligible.withColumn("_back", F.row_number().over(in_day)).filter(F.col("_back") <= n)
+    item = F.struct(
+        F.col("game_id"),
+        F.col("color").alias("target_color"),
+        F.col("elo").alias("target_elo_at_game"),
+        F.col("opponent_elo").alias("opponent_elo_at_game"),
+        F.col("outcome"),
+        F.col("played_at"),
+    )
+    packed = F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("o"), item.alias("item"))))
+    days = kept.groupBy("player", "played_at").agg(F.transform(packed, lambda s: s["item"]).alias("_games"))
 
-    min_days = max(1, -(-policy.min_context_age_seconds // DAY_SECONDS))
     day = F.datediff("played_at", F.lit("1970-01-01"))
-    daily = eligible.groupBy("player", "played_at").agg(F.count(F.lit(1)).alias("_games")).withColumn("_day", day)
     by_day = W.partitionBy("player").orderBy("_day")
-    oldest = W.unboundedPreceding if policy.max_context_age_days is None else -policy.max_context_age_days
-    counted = daily.select(
-        "player",
-        "played_at",
-        F.coalesce(F.sum("_games").over(by_day.rangeBetween(W.unboundedPreceding, -min_days)), F.lit(0)).alias("_last"),
-        F.coalesce(F.sum("_games").over(by_day.rangeBetween(oldest, -min_days)), F.lit(0)).alias("n_eligible"),
-    )
-    wanted = counted.filter(F.col("n_eligible") >= n).select(
-        "player",
-        "played_at",
-        F.explode(F.sequence(F.col("_last") - n + 1, F.col("_last"))).alias("rn"),
-    )
-    source = ranked.select(
-        "player",
-        "rn",
-        F.struct(
-            F.col("rn"),
-            F.col("game_id"),
-            F.col("color").alias("target_color"),
-            F.col("elo").alias("target_elo_at_game"),
-            F.col("opponent_elo").alias("opponent_elo_at_game"),
-            F.col("outcome"),
-            F.col("played_at"),
-        ).alias("item"),
-    )
-    filled = (
-        wanted.join(source, ["player", "rn"])
-        .groupBy("player", "played_at")
-        .agg(F.sort_array(F.collect_list("item")).alias("context"))
+    joined = F.flatten(F.collect_list("_games").over(by_day.rowsBetween(-(n - 1), 0)))
+    size = F.least(F.size("_all"), F.lit(n))
+    min_days = max(1, -(-policy.min_context_age_seconds // DAY_SECONDS))
+    tails = (
+        days.withColumn("_day", day)
+        .withColumn("_all", joined)
+        .withColumn("_tail", F.slice("_all", F.size("_all") - size + 1, size))
     )
-    return counted.select("player", "played_at", "n_eligible").join(filled, ["player", "played_at"], "left")
+    if min_days == 1:
+        found = tails.withColumn("context", F.lag("_tail").over(by_day))
+    else:
+        numbered = tails.withColumn("_nth", F.row_number().over(by_day)).withColumn(
+            "_upto", F.count(F.lit(1)).over(by_day.rangeBetween(W.unboundedPreceding, -min_days))
+        )
+        source = numbered.select("player", F.col("_nth").alias("_upto"), F.col("_tail").alias("context"))
+        found = numbered.select("player", "played_at", "_upto").join(source, ["player", "_upto"], "left")
+    full = F.size("context") == n
+    if policy.max_context_age_days is not None:
+        oldest = F.get("context", F.lit(0))["played_at"]
+        full = full & (F.datediff("played_at", oldest) <= policy.max_context_age_days)
+    return found.filter(full).select("player", "played_at", "context")
 
 
 def attach_contexts(games: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -72,10 +70,7 @@ def attach_contexts(games: DataFrame, contexts: DataFrame) -> DataFrame:
     for side in ("white", "black"):
         out = out.join(
             contexts.select(
-                F.col("player").alias(side),
-                "played_at",
-                F.col("n_eligible").alias(f"{side}_eligible"),
-                F.col("context").alias(f"{side}_context"),
+                F.col("player").alias(side), "played_at", F.col("context").alias(f"{side}_context")
             ),
             [side, "played_at"],
             "left",
@@ -83,24 +78,24 @@ def attach_contexts(games: DataFrame, contexts: DataFrame) -> DataFrame:
     return out
 
 
-def context_reason(policy: ContextPolicy) -> Column:
-    return F.when(
-        F.coalesce(F.col("white_eligible"), F.lit(0)) < policy.context_size, "white_insufficient_context"
-    ).when(F.coalesce(F.col("black_eligible"), F.lit(0)) < policy.context_size, "black_insufficient_context")
+def context_reason() -> Column:
+    return F.when(F.col("white_context").isNull(), "white_insufficient_context").when(
+        F.col("black_context").isNull(), "black_insufficient_context"
+    )
 
 
 def build_examples(
     games: DataFrame,
     policy: ContextPolicy,
     strict_cap: bool = False,
-    within_day: Sequence[str | Column] = ("game_id",),
+    newest_first: Sequence[Column] | None = None,
 ) -> DataFrame:
     """All games with both contexts and the first failing `reason` (NULL for an example)."""
     first = W.partitionBy("game_id").orderBy("played_at", "white", "black")
     unique = games.withColumn("_copy", F.row_number().over(first))
-    tagged = attach_contexts(unique, player_contexts(unique.filter("_copy = 1").drop("_copy"), policy, within_day))
+    tagged = attach_contexts(unique, player_contexts(games, policy, newest_first))
     base = F.when(F.col("_copy") > 1, "duplicate_game").otherwise(policy_reason(policy))
-    tagged = tagged.withColumn("_policy", base).withColumn("_context", context_reason(policy)).drop("_copy")
+    tagged = tagged.withColumn("_policy", base).withColumn("_context", context_reason()).drop("_copy")
     if policy.max_predictions_per_player is None:
         return tagged.withColumn("reason", F.coalesce("_policy", "_context")).drop("_policy", "_context")
     capped = capped_predictions if strict_cap else rank_capped_predictions
@@ -186,20 +181,15 @@ def capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
 
 
 def context_rows(examples: DataFrame) -> DataFrame:
-    """Long form: one row per (example, side, context game)."""
+    """Long form: one row per (example, side, context game), oldest first from rn = 1."""
     side = lambda name: F.transform(
-        F.col(f"{name}_context"), lambda c: F.struct(F.lit(name).alias("side"), c.alias("item"))
-    )
-    return (
-        examples.select("game_id", F.explode(F.concat(side("white"), side("black"))).alias("c"))
-        .select(
-            "game_id",
-            F.col("c.side").alias("side"),
-            F.col("c.item.rn").alias("rn"),
-            F.col("c.item.game_id").alias("context_id"),
-            F.col("c.item.target_color").alias("color"),
-        )
+        F.col(f"{name}_context"),
+        lambda c, i: F.struct(
+            F.lit(name).alias("side"), (i + 1).alias("rn"), c["game_id"].alias("context_id"), c["target_color"].alias("color")
+        ),
     )
+    both = F.concat(side("white"), side("black"))
+    return examples.select("game_id", F.explode(both).alias("c")).select("game_id", "c.*")
 
 
 def context_strength(examples: DataFrame, side_scores: DataFrame, how: str = "mean") -> DataFrame:
@@ -214,8 +204,7 @@ def context_strength(examples: DataFrame, side_scores: DataFrame, how: str = "me
     if how == "median":
         value = F.percentile("score", 0.5)
     elif how == "recency_weighted":
-        ranked = joined.withColumn("_w", F.row_number().over(W.partitionBy("game_id", "side").orderBy("rn")))
-        joined, value = ranked, F.sum(F.col("_w") * F.col("score")) / F.sum("_w")
+        value = F.sum(F.col("rn") * F.col("score")) / F.sum("rn")
     elif how == "mean":
         value = F.avg("score")
     else:

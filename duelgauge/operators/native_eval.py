@@ -89,11 +89,10 @@ def class_trials(
     Votes are summed per game and side before the draws join them, so a drawn game brings one row
     per class, not one per position.
     """
-    pool = T.draw_pool(games, "rank", ["game_id"])
     drawn = T.draws(T.pool_sizes(games, "rank"), "rank", per_trial, trials, seed).withColumn(
         "parity", ordered.hash_int(f"{seed}-side", "size", "rank", "trial", "nth") % 2
     )
-    votes = drawn.join(pool, ["rank", "draw"]).join(class_totals(positions, mode), ["game_id", "parity"])
+    votes = T.join_pool(drawn, games, "rank", ["game_id"]).join(class_totals(positions, mode), ["game_id", "parity"])
     summed = votes.groupBy("size", "rank", "trial", "class").agg(F.sum("value").alias("value"))
     best = summed.groupBy("size", "rank", "trial").agg(
         F.min_by("class", F.struct((-F.col("value")).alias("v"), F.col("class").alias("c"))).alias("best")

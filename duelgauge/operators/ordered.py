@@ -116,6 +116,27 @@ def hash_int(seed: str, *parts: str | Column) -> Column:
     return F.conv(F.substring(hash_text(seed, *parts), 1, 15), 16, 10).cast("bigint")
 
 
+def second_hash_int(seed: str, *parts: str | Column) -> Column:
+    """Another sixty bits of the same digest."""
+    return F.conv(F.substring(hash_text(seed, *parts), 16, 15), 16, 10).cast("bigint")
+
+
+# Moduli and multipliers of the two multiplicative generators that are combined.
+MODULI = (2147483647, 2147483399)
+MULTIPLIERS = (48271, 40692)
+
+
+def generator_powers(count: int) -> list[tuple[int, int]]:
+    """The first powers of both multipliers: the nth output of a generator is state times power."""
+    return [tuple(pow(g, i + 1, p) for g, p in zip(MULTIPLIERS, MODULI)) for i in range(count)]
+
+
+def combined_draw(states: tuple[Column, Column], powers: tuple[Column, Column]) -> Column:
+    """Sixty-two random bits from two hashed states; plain integer arithmetic, no overflow."""
+    high, low = ((s % p) * g % p for s, g, p in zip(states, powers, MODULI))
+    return high * MODULI[1] + low
+
+
 def hash_unit(seed: str, *parts: str | Column) -> Column:
     """Uniform double in [0, 1) from 52 hash bits."""
     bits = F.conv(F.substring(hash_text(seed, *parts), 1, 13), 16, 10).cast("bigint")

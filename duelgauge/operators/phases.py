@@ -178,8 +178,8 @@ def phase_accuracy(
     Entries are player-games in wide form: (low, game_id, color, rating, <phase>_score_sum,
     <phase>_n_moves). The same draws serve all phases; trials without a move in the phase drop out.
     """
-    pool = T.draw_pool(entries, "low", ["game_id", "color"])
-    drawn = T.draws(T.pool_sizes(entries, "low"), "low", per_trial, trials, seed).join(pool, ["low", "draw"])
+    drawn = T.draws(T.pool_sizes(entries, "low"), "low", per_trial, trials, seed)
+    drawn = T.join_pool(drawn, entries, "low", ["game_id", "color"])
     summed = drawn.groupBy("size", "low", "trial").agg(
         F.avg("rating").alias("true_elo"),
         *[F.sum(f"{p}_{c}").alias(f"{p}_{c}") for p in PHASES for c in ("score_sum", "n_moves")],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duelgauge.operators import calibration as K
 from duelgauge.operators import ordered
-from duelgauge.runtime import shuffle_width
+from duelgauge.runtime import broadcast_if_small, shuffle_width
 
 
 def draw_pool(entries: DataFrame, group: str, ids: Sequence[str], seed: str = "pool") -> DataFrame:
@@ -25,16 +25,39 @@ def draws(sizes: DataFrame, group: str, per_trial: Sequence[int], trials: int, s
     """Uniform draws with replacement: (group, size, trial, nth) -> draw index.
 
     Built from one row per group; the (group, size, trial) cells are spread over all tasks before
-    the draws of a cell are produced, so no task holds more than its share.
+    the draws of a cell are produced, so no task holds more than its share. Each cell hashes its
+    name once; its draws then come from two combined multiplicative generators.
     """
     spark = sizes.sparkSession
     cells = sizes.select(
         group, "pool", F.explode(F.array(*[F.lit(s) for s in per_trial])).alias("size")
     ).select(group, "pool", "size", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     spread = cells.repartition(shuffle_width(spark), group, "size", "trial")
-    listed = spread.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("nth"))
-    index = ordered.hash_int(seed, "size", group, "trial", "nth") % F.col("pool") + 1
-    return listed.select(group, "size", "trial", "nth", index.alias("draw"))
+    stated = spread.select(
+        "*",
+        (ordered.hash_int(seed, "size", group, "trial") % (ordered.MODULI[0] - 1) + 1).alias("_s1"),
+        (ordered.second_hash_int(seed, "size", group, "trial") % (ordered.MODULI[1] - 1) + 1).alias("_s2"),
+    )
+    powers = F.array(
+        *[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in ordered.generator_powers(max(per_trial))]
+    )
+    listed = stated.select("*", F.posexplode(F.slice(powers, F.lit(1), F.col("size"))).alias("nth", "_g"))
+    value = ordered.combined_draw((F.col("_s1"), F.col("_s2")), (F.col("_g.a"), F.col("_g.b")))
+    return listed.select(group, "size", "trial", "nth", (value % F.col("pool") + 1).alias("draw"))
+
+
+GROUP_SHIFT = 40
+
+
+def join_pool(drawn: DataFrame, entries: DataFrame, group: str, ids: Sequence[str]) -> DataFrame:
+    """Look drawn entries up by (group, draw) packed in one integer key.
+
+    A pool that was counted and found small is broadcast, which keeps the draws where they are; a
+    larger pool is joined by a shuffle on the key, which is uniform by construction.
+    """
+    key = lambda: F.shiftleft(F.col(group).cast("bigint"), GROUP_SHIFT) + F.col("draw")
+    pool = draw_pool(entries, group, ids).withColumn("_key", key()).drop(group, "draw")
+    return drawn.withColumn("_key", key()).join(broadcast_if_small(pool, entries), "_key").drop("_key", "draw")
 
 
 def run_trials(
@@ -44,9 +67,8 @@ def run_trials(
 
     Entries are (low, game_id, color, score, moves, rating).
     """
-    pool = draw_pool(entries, "low", ["game_id", "color"])
-    drawn = draws(pool_sizes(entries, "low"), "low", per_trial, trials, seed).join(pool, ["low", "draw"])
-    return score_trials(drawn, calibration)
+    drawn = draws(pool_sizes(entries, "low"), "low", per_trial, trials, seed)
+    return score_trials(join_pool(drawn, entries, "low", ["game_id", "color"]), calibration)
 
 
 def score_trials(drawn: DataFrame, calibration: DataFrame) -> DataFrame:
@@ -131,11 +153,10 @@ def two_stage_trials(
     games: DataFrame, calibration: DataFrame, per_trial: Sequence[int], trials: int, seed: str
 ) -> DataFrame:
     """Like run_trials, with the game drawn first and then one of its sides."""
-    pool = draw_pool(games, "low", ["game_id"])
     drawn = draws(pool_sizes(games, "low"), "low", per_trial, trials, seed).withColumn(
         "_white", ordered.hash_int(f"{seed}-side", "size", "low", "trial", "nth") % 2 == 0
     )
-    joined = drawn.join(pool, ["low", "draw"])
+    joined = join_pool(drawn, games, "low", ["game_id"])
     pick = lambda what: F.when(F.col("_white"), F.col(f"white_{what}")).otherwise(F.col(f"black_{what}")).alias(what)
     return score_trials(joined.select("size", "low", "trial", pick("score"), pick("moves"), pick("rating")), calibration)
 

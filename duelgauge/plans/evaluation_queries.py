@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from duelgauge import fixtures as fx
 from duelgauge.operators import calibration as K
 from duelgauge.operators import corpus as C
+from duelgauge.operators import ordered
 from duelgauge.operators import phases as PH
 from duelgauge.operators import trials as T
 from duelgauge.plans.registry import query, table
@@ -129,8 +130,12 @@ table("pool", "entries", """
 
 
 def draws_sql(pool, group, seed, sizes=SIZES_SQL, trials=TRIALS):
-    return f"""SELECT p.{group}, s.size, t.trial, n.nth, CAST('0x' || substr(md5(concat_ws(':', '{seed}', s.size, p.{group}, t.trial, n.nth)), 1, 15) AS BIGINT) % p.pool + 1 AS draw
-     FROM (SELECT DISTINCT {group}, pool FROM {pool}) p, {sizes}, (SELECT range AS trial FROM range({trials})) t, LATERAL (SELECT unnest(range(s.size)) AS nth) n"""
+    (p1, p2), powers = ordered.MODULI, ordered.generator_powers(max(SIZES))
+    one, two = [a for a, _ in powers], [b for _, b in powers]
+    cell = f"md5(concat_ws(':', '{seed}', s.size, p.{group}, t.trial))"
+    return f"""SELECT {group}, size, trial, nth, ((s1 * {one}[nth + 1] % {p1}) * {p2} + s2 * {two}[nth + 1] % {p2}) % pool + 1 AS draw FROM (
+     SELECT p.{group}, p.pool, s.size, t.trial, n.nth, CAST('0x' || substr({cell}, 1, 15) AS BIGINT) % {p1 - 1} + 1 AS s1, CAST('0x' || substr({cell}, 16, 15) AS BIGINT) % {p2 - 1} + 1 AS s2
+     FROM (SELECT DISTINCT {group}, pool FROM {pool}) p, {sizes}, (SELECT range AS trial FROM range({trials})) t, LATERAL (SELECT unnest(range(s.size)) AS nth) n)"""
 
 
 table("trial_draws", "pool", draws_sql("pool", "low", "trial"))

@@ -187,7 +187,7 @@ table("reversed", "sides", """
 , c AS (SELECT t.game_id, t.side, string_agg(CAST(e.game_id AS VARCHAR), ',' ORDER BY e.rn) AS context_ids FROM targets t JOIN reversed e ON e.player = t.player AND e.rn > t.n_before - {PQ.N} AND e.rn <= t.n_before WHERE t.n_before >= {PQ.N} GROUP BY 1, 2)
 SELECT w.game_id, w.context_ids AS white_ids, b.context_ids AS black_ids FROM c w JOIN c b USING (game_id) WHERE w.side = 'white' AND b.side = 'black'""")
 def _(spark, sf):
-    made = X.build_examples(fx.games(spark, sf), PQ.POLICY, within_day=[F.desc("game_id")]).filter("reason IS NULL")
+    made = X.build_examples(fx.games(spark, sf), PQ.POLICY, newest_first=[F.asc("game_id")]).filter("reason IS NULL")
     ids = lambda s: F.concat_ws(",", F.transform(F.col(f"{s}_context"), lambda c: c.game_id.cast("string"))).alias(f"{s}_ids")
     return made.select("game_id", ids("white"), ids("black"))
 

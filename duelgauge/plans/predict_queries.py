@@ -178,16 +178,17 @@ def _(spark, sf):
 
 
 table("aged", "policy eligible", """
- SELECT g.game_id, s.color AS side, count(e.game_id) AS n FROM policy g JOIN sides s USING (game_id)
- LEFT JOIN eligible e ON e.player = s.player AND g.played_at - e.played_at BETWEEN 2 AND 400 WHERE g.reason IS NULL GROUP BY 1, 2""")
+ SELECT g.game_id, s.color AS side, string_agg(CAST(e.game_id AS VARCHAR), ',' ORDER BY e.rn) AS ids, min(e.played_at) AS oldest, any_value(g.played_at) AS day FROM policy g JOIN sides s USING (game_id)
+ JOIN eligible e ON e.player = s.player AND e.played_at <= g.played_at - 3 AND e.rn > (SELECT count(*) FROM eligible x WHERE x.player = s.player AND x.played_at <= g.played_at - 3) - 2 WHERE g.reason IS NULL GROUP BY 1, 2 HAVING count(*) = 2""")
 
 
 @query("jn_02_context_age_window", "aged", """
-SELECT w.game_id, w.n AS white_eligible, b.n AS black_eligible FROM aged w JOIN aged b USING (game_id) WHERE w.side = 'white' AND b.side = 'black' AND w.n >= 2 AND b.n >= 2""")
+SELECT w.game_id, w.ids AS white_ids, b.ids AS black_ids FROM aged w JOIN aged b USING (game_id) WHERE w.side = 'white' AND b.side = 'black' AND w.day - w.oldest <= 400 AND b.day - b.oldest <= 400""")
 def _(spark, sf):
-    policy = C.ContextPolicy(context_size=2, min_context_age_seconds=100_000, max_context_age_days=400)
+    policy = C.ContextPolicy(context_size=2, min_context_age_seconds=200_000, max_context_age_days=400)
     made = X.build_examples(fx.games(spark, sf), policy).filter("reason IS NULL")
-    return made.select("game_id", "white_eligible", "black_eligible")
+    ids = lambda s: F.concat_ws(",", F.transform(F.col(f"{s}_context"), lambda c: c.game_id.cast("string"))).alias(f"{s}_ids")
+    return made.select("game_id", ids("white"), ids("black"))
 
 
 @query("win_13_prediction_cap", "example_reasons", f"""

@@ -67,6 +67,18 @@ def constant_row(one_row: DataFrame, *columns: str) -> Column:
     return one_row.select(F.struct(*columns).alias("v")).scalar()
 
 
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, sized_by: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a side for broadcast only after counting it; a larger one is left to a shuffle join.
+
+    `sized_by` has as many rows as `df` but is cheaper to count, which stops at the limit.
+    """
+    counted = sized_by.select(F.lit(1)).limit(limit + 1).count()
+    return F.broadcast(df) if counted <= limit else df
+
+
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
     """Pass rows through, failing the job at the first row that breaks the condition."""
     return df.filter(F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).isNull()))
