@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from duelgauge.operators import ordered
 from duelgauge.operators.corpus import Bins, elo_bin
@@ -12,8 +13,15 @@ CANDIDATES_PER_BIN = 20
 BINS_200 = Bins(1000, 2600, 200)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from the files once and then reused."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def games(spark: SparkSession, sf: str) -> DataFrame:
@@ -119,20 +127,14 @@ def game_scores(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def split_scores(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = ordered.hash_ranks(game_scores(spark, sf), ["low"], ["game_id"], "cand", "_r")
-    return ranked.withColumn(
-        "split", F.when(F.col("_r") <= CANDIDATES_PER_BIN, "cand").otherwise("query")
-    ).drop("_r")
-
-
 def candidate_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Only the candidates: a group limit, no full ranking of the corpus."""
+    """A few games per bin: the rank limit prunes before the shuffle, the corpus is not ranked."""
     return ordered.hash_sample(game_scores(spark, sf), ["low"], ["game_id"], "cand", CANDIDATES_PER_BIN)
 
 
 def query_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return split_scores(spark, sf).filter("split = 'query'").drop("split")
+    chosen = candidate_scores(spark, sf).select("game_id")
+    return game_scores(spark, sf).join(chosen, "game_id", "left_anti")
 
 
 def positions(spark: SparkSession, sf: str) -> DataFrame:

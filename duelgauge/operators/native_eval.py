@@ -62,8 +62,8 @@ def agreement_curve(rows: DataFrame) -> DataFrame:
     size, so the cumulative windows are small.
     """
     counted = rows.groupBy("rank", F.col("played_order").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    overall = counted.groupBy("k").agg(F.sum("n").alias("n")).withColumn("rank", F.lit("all"))
-    both = counted.unionByName(overall.select("rank", "k", "n"))
+    ranks = F.explode(F.array(F.col("rank"), F.lit("all"))).alias("rank")
+    both = counted.select(ranks, "k", "n").groupBy("rank", "k").agg(F.sum("n").alias("n"))
     upto = W.partitionBy("rank").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     whole = W.partitionBy("rank")
     return both.select("rank", "k", (F.sum("n").over(upto) / F.sum("n").over(whole)).alias("accuracy"))

@@ -107,13 +107,19 @@ def trajectories(
     return with_prediction(rows, R.elo_to_probs(F.col("white_estimated_elo"), F.col("black_estimated_elo")))
 
 
-def with_baseline(rows: DataFrame) -> DataFrame:
-    """Attach each example's context-only prediction (its ply-0 row) to all its rows."""
-    base = rows.filter("observed_plies = 0").select(
-        "game_id",
-        *[F.col(c).alias(f"base_{c}") for c in ("white_estimated_elo", "black_estimated_elo", "p_white", "p_draw", "p_black", "predicted")],
+def with_baseline(rows: DataFrame, line: tuple[float, float] = R.DEFAULT_LINE) -> DataFrame:
+    """Attach each example's context-only prediction (what its ply-0 row says) to all its rows.
+
+    Every row carries the context strengths, so the ply-0 prediction is recomputed in place instead
+    of joining the trajectory with itself.
+    """
+    elo = lambda side: R.score_to_elo(F.col(f"{side}_context_strength"), line)
+    rated = rows.withColumn("base_white_estimated_elo", elo("white")).withColumn("base_black_estimated_elo", elo("black"))
+    held = rated.withColumn(
+        "_base", R.elo_to_probs(F.col("base_white_estimated_elo"), F.col("base_black_estimated_elo"))
     )
-    return rows.join(base, "game_id")
+    keep = ("p_white", "p_draw", "p_black", "predicted")
+    return held.select("*", *[F.col("_base")[c].alias(f"base_{c}") for c in keep]).drop("_base")
 
 
 def metrics_by_ply(rows: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def metrics_by_ply(rows: DataFrame) -> DataFrame:
 
 def export_rows(rows: DataFrame, line: tuple[float, float] = R.DEFAULT_LINE) -> DataFrame:
     """The flat progressive export of decisive games, seen from the winner."""
-    won = with_baseline(rows.filter("result != 0"))
+    won = with_baseline(rows.filter("result != 0"), line)
     sign = R.winner_sign(F.col("result"))
     diff = F.col("white_estimated_elo") - F.col("black_estimated_elo")
     base = F.col("base_white_estimated_elo") - F.col("base_black_estimated_elo")

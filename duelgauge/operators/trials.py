@@ -38,9 +38,8 @@ def draws(sizes: DataFrame, group: str, per_trial: Sequence[int], trials: int, s
         (ordered.hash_int(seed, "size", group, "trial") % (ordered.MODULI[0] - 1) + 1).alias("_s1"),
         (ordered.second_hash_int(seed, "size", group, "trial") % (ordered.MODULI[1] - 1) + 1).alias("_s2"),
     )
-    powers = F.array(
-        *[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in ordered.generator_powers(max(per_trial))]
-    )
+    pairs = ", ".join(f"named_struct('a', {a}L, 'b', {b}L)" for a, b in ordered.generator_powers(max(per_trial)))
+    powers = F.expr(f"array({pairs})")
     listed = stated.select("*", F.posexplode(F.slice(powers, F.lit(1), F.col("size"))).alias("nth", "_g"))
     value = ordered.combined_draw((F.col("_s1"), F.col("_s2")), (F.col("_g.a"), F.col("_g.b")))
     return listed.select(group, "size", "trial", "nth", (value % F.col("pool") + 1).alias("draw"))
@@ -145,8 +144,8 @@ def tolerant_hit(mode: str) -> Column:
 def accuracy_curve(results: DataFrame, mode: str = "+/-0") -> DataFrame:
     """Accuracy per bucket and number of games, with the macro average under bucket -1."""
     per = results.groupBy("size", "low").agg(F.avg(tolerant_hit(mode)).alias("accuracy"))
-    macro = per.groupBy("size").agg(F.lit(-1).cast("bigint").alias("low"), F.avg("accuracy").alias("accuracy"))
-    return per.select("size", F.col("low").cast("bigint").alias("low"), "accuracy").unionByName(macro)
+    both = F.explode(F.array(F.col("low").cast("bigint"), F.lit(-1).cast("bigint")))
+    return per.select("size", both.alias("low"), "accuracy").groupBy("size", "low").agg(F.avg("accuracy").alias("accuracy"))
 
 
 def two_stage_trials(

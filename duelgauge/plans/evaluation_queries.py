@@ -95,8 +95,7 @@ def _(spark, sf):
 @query("jn_15_same_buckets", "cand queries", """
 SELECT count(*) AS mismatches FROM ((SELECT DISTINCT low FROM cand EXCEPT SELECT DISTINCT low FROM queries) UNION ALL (SELECT DISTINCT low FROM queries EXCEPT SELECT DISTINCT low FROM cand))""")
 def _(spark, sf):
-    split = fx.split_scores(spark, sf)
-    return K.same_buckets(split.filter("split = 'cand'"), split.filter("split = 'query'")).agg(F.count(F.lit(1)).alias("mismatches"))
+    return K.same_buckets(fx.candidate_scores(spark, sf), fx.query_scores(spark, sf)).agg(F.count(F.lit(1)).alias("mismatches"))
 
 
 @query("agg_05_player_report", "player_report", """
