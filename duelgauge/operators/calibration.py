@@ -85,7 +85,8 @@ def nearest_bucket(score: Column, buckets: Column) -> Column:
 
 
 def bucket_index(low: Column, buckets: Column) -> Column:
-    return F.array_position(F.transform(buckets, lambda b: b["low"]), low).cast("int") - 1
+    """0-based position of a bucket, NULL for a bucket that was not calibrated."""
+    return F.nullif(F.array_position(F.transform(buckets, lambda b: b["low"]), low), F.lit(0)).cast("int") - 1
 
 
 def segments_constant(calibration: DataFrame) -> Column:

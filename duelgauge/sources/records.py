@@ -114,7 +114,7 @@ def read_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.coalesce(part(6).try_cast("bigint"), F.lit(0)).alias("white_elo"),
         F.coalesce(part(7).try_cast("bigint"), F.lit(0)).alias("black_elo"),
         R.result_sign(part(1)).alias("result"),
-        F.rtrim("record").alias("record"),
+        F.regexp_replace("record", r"\s+$", "").alias("record"),
     )
 
 
