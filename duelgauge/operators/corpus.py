@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelgauge.operators import ordered
@@ -146,15 +147,29 @@ def interval_retention(games: DataFrame, bins: Bins, compare_width: int) -> Data
     )
 
 
-def rank_bands(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, bands: dict[str, int]) -> DataFrame:
-    """Disjoint uniform samples per group: the first n1 hash ranks, the next n2, and so on."""
-    ranked = ordered.hash_ranks(df, keys, ids, seed, "_rank")
+PRUNED_RANKS = 1000
+
+
+def rank_bands(
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, bands: dict[str, int], max_groups: int = 100
+) -> DataFrame:
+    """Disjoint uniform samples per group: the first n1 hash ranks, the next n2, and so on.
+
+    Small totals use a group limit that Spark applies before the shuffle; larger ones first find the
+    hash slices that hold the sample. Either way the rest of the corpus is not shuffled.
+    """
+    total = sum(bands.values())
+    if total <= PRUNED_RANKS:
+        order = W.partitionBy(*keys).orderBy(ordered.hash_text(seed, *ids), *ids)
+        ranked = df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= total)
+    else:
+        ranked = ordered.hash_first(df, keys, ids, seed, total, max_groups, "_rank")
     label, start = None, 0
     for name, size in bands.items():
         inside = F.col("_rank").between(start + 1, start + size)
         label = F.when(inside, name) if label is None else label.when(inside, name)
         start += size
-    return ranked.withColumn("split", label).filter(F.col("split").isNotNull()).drop("_rank")
+    return ranked.withColumn("split", label).drop("_rank")
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], minimum: int) -> DataFrame:

@@ -68,7 +68,8 @@ def ranking_groups(
 
 def draw_position(drawn: DataFrame, positions: DataFrame, seed: str, *by: str) -> DataFrame:
     """One uniform ply of the drawn game (plies are numbered from zero without gaps)."""
-    lengths = positions.groupBy("game_id").agg(F.count(F.lit(1)).alias("_len"))
+    wanted = positions.join(drawn.select("game_id").distinct(), "game_id", "left_semi")
+    lengths = wanted.groupBy("game_id").agg(F.count(F.lit(1)).alias("_len"))
     return drawn.join(lengths, "game_id").withColumn("ply", ordered.hash_int(seed, *by) % F.col("_len")).drop("_len")
 
 
@@ -85,16 +86,18 @@ def uniform_positions(spark, games: DataFrame, positions: DataFrame, count: int,
 def slot_positions(slots: DataFrame, positions: DataFrame, *ids: str) -> DataFrame:
     """Positions of each slot's side in its game; a side without moves falls back to all moves.
 
-    Whether to fall back is settled from per-game counts before the positions are joined.
+    Only the games in use are counted, and whether to fall back is settled from those counts before
+    the positions are joined.
     """
-    counts = positions.groupBy("game_id").agg(
+    used = positions.join(slots.select("game_id").distinct(), "game_id", "left_semi")
+    counts = used.groupBy("game_id").agg(
         F.count_if(F.col("color") == "white").alias("_w"), F.count_if(F.col("color") == "black").alias("_b")
     )
     own = F.when(F.col("color") == "white", F.col("_w")).otherwise(F.col("_b"))
     decided = slots.join(counts, "game_id").select(
         *ids, "game_id", F.when(own > 0, F.col("color")).alias("_want"), F.when(own > 0, own).otherwise(F.col("_w") + F.col("_b")).alias("available")
     )
-    joined = decided.join(positions, "game_id")
+    joined = decided.join(used, "game_id")
     return joined.filter(F.col("_want").isNull() | (F.col("_want") == F.col("color"))).drop("_want", "color")
 
 

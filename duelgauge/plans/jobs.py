@@ -40,7 +40,7 @@ def prepare_corpus(
     tagged = C.classify(flagged, bins, None if held_out is None else F.col("held_out"))
     kept = tagged.filter("reason IS NULL")
     return {
-        "splits": C.rank_bands(kept, ["bin"], ["game_id"], seed, quota),
+        "splits": C.rank_bands(kept, ["bin"], ["game_id"], seed, quota, bins.count),
         "exclusions": C.reason_counts(tagged),
         "bins": C.bin_counts(tagged, bins, next(iter(quota.values()))),
     }

@@ -72,3 +72,11 @@ def test_combined_draws_are_uniform(spark):
     drawn = trials.draws(sizes, "g", (100,), 500, "u").groupBy("draw").count().toPandas()
     assert sorted(drawn["draw"]) == list(range(1, 11))
     assert abs(drawn["count"] - 5000).max() < 350
+
+
+@pytest.mark.parametrize("max_groups", [41, 10**6])
+def test_hash_first_equals_full_ranks(skewed, max_groups):
+    df, _ = skewed
+    first = ordered.hash_first(df, ["k"], ["id"], "s", 1500, max_groups).select("id", "rn")
+    full = ordered.hash_ranks(df, ["k"], ["id"], "s").filter("rn <= 1500").select("id", "rn")
+    assert first.exceptAll(full).count() == 0 and full.exceptAll(first).count() == 0
