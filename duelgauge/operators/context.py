@@ -116,12 +116,17 @@ def _prior_counts(rows: DataFrame, measures: dict[str, Column]) -> DataFrame:
     return running.groupBy("game_id").agg(*[F.max(n).alias(n) for n in measures])
 
 
-def rank_capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
-    """Relaxed cap, one pass: a game is refused once either player has `cap` earlier usable games."""
+def _without_contexts(tagged: DataFrame) -> DataFrame:
+    """The narrow columns the cap needs, stored so that the contexts are not built again for them."""
     usable = F.col("_policy").isNull() & F.col("_context").isNull()
-    slim = tagged.filter("_policy IS NULL").select(
-        "game_id", "played_at", "white", "black", usable.cast("bigint").alias("_is_usable")
+    return cut_lineage(
+        tagged.filter("_policy IS NULL").select("game_id", "played_at", "white", "black", usable.alias("usable"))
     )
+
+
+def rank_capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
+    """Relaxed cap, one pass: a game is refused once either player has `cap` earlier usable games."""
+    slim = _without_contexts(tagged).withColumn("_is_usable", F.col("usable").cast("bigint"))
     prior = _prior_counts(slim, {"_prior": F.col("_is_usable")})
     joined = tagged.join(prior, "game_id", "left")
     over = F.when(F.col("_policy").isNull() & (F.col("_prior") >= cap), "max_predictions_per_player")
@@ -136,9 +141,9 @@ def capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
     the earliest open game is always decided, so rounds end. Each round is a pair of distributed
     running sums; nothing is collected but the number of open games.
     """
-    usable = F.col("_policy").isNull() & F.col("_context").isNull()
+    narrow = _without_contexts(tagged)
     state = cut_lineage(
-        tagged.filter(usable).select(
+        narrow.filter("usable").select(
             "game_id",
             "played_at",
             "white",
@@ -166,9 +171,7 @@ def capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
         )
     accepted = state.select("game_id", "_is_accepted")
     slim = (
-        tagged.filter("_policy IS NULL")
-        .select("game_id", "played_at", "white", "black")
-        .join(accepted, "game_id", "left")
+        narrow.join(accepted, "game_id", "left")
         .withColumn("_is_accepted", F.coalesce("_is_accepted", F.lit(0).cast("bigint")))
     )
     prior = _prior_counts(slim, {"_prior": F.col("_is_accepted")})

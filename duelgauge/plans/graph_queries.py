@@ -7,6 +7,7 @@ from duelgauge.operators import corpus as C
 from duelgauge.operators import graph as G
 from duelgauge.plans.evaluation_queries import rounded
 from duelgauge.plans.registry import query, table
+from duelgauge.runtime import cut_lineage
 
 LENGTH = 8
 ATTEMPTS = 600
@@ -53,7 +54,8 @@ def all_chains(spark, sf):
 
 
 def chain_slots(spark, sf):
-    return G.chain_slots(G.keep_first(all_chains(spark, sf), MAX_CHAINS))
+    """The accepted chains as a stored table, as the builder hands them to its readers."""
+    return cut_lineage(G.chain_slots(G.keep_first(all_chains(spark, sf), MAX_CHAINS)))
 
 
 @query("smp_04_chain_seeds", "seeds", "SELECT attempt, start FROM seeds")

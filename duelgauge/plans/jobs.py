@@ -24,6 +24,7 @@ from duelgauge.operators import replay as RB
 from duelgauge.operators import selfplay as S
 from duelgauge.operators import training as TR
 from duelgauge.operators import trials as T
+from duelgauge.runtime import cut_lineage
 from duelgauge.sources import records as RD
 
 Model = Callable[[DataFrame], DataFrame]
@@ -47,10 +48,13 @@ def prepare_corpus(
 
 
 def build_win_chains(games: DataFrame, length: int, attempts: int, max_chains: int, seed: str = "chain") -> dict[str, DataFrame]:
-    """Chains of distinct players, each beaten by the next, with a training game per slot."""
+    """Chains of distinct players, each beaten by the next, with a training game per slot.
+
+    The sampled chains (at most one row per attempt) are stored once; every result reads them.
+    """
     edges = G.win_edges(games)
     paths = G.sample_paths(G.chain_seeds(edges, attempts, seed), edges, length, seed)
-    chains = G.pick_training_games(G.weak_to_strong(paths), G.player_games(games), "train")
+    chains = cut_lineage(G.pick_training_games(G.weak_to_strong(paths), G.player_games(games), "train"))
     kept = G.keep_first(chains, max_chains)
     slots = G.chain_slots(kept)
     return {

@@ -34,9 +34,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Store the rows as a table in the shared folder and read them back.
+
+    Like a reliable checkpoint it outlives the executors, but it computes the plan once and comes
+    back columnar and with its size known.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
