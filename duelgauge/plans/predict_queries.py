@@ -203,7 +203,21 @@ def _(spark, sf):
     return made.select("game_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
 
 
-@query("win_13_prediction_cap_strict")
+table("cap_walk", "example_reasons", f"""
+ WITH RECURSIVE u AS (SELECT ROW_NUMBER() OVER (ORDER BY played_at, game_id) AS i, game_id, white, black FROM example_reasons WHERE reason IS NULL),
+ walk AS (SELECT 0::BIGINT AS i, -1::BIGINT AS game_id, false AS ok, MAP([]::VARCHAR[], []::INT[]) AS c
+  UNION ALL SELECT x.i, x.game_id, x.ok, CASE WHEN x.ok THEN map_concat(x.c, MAP([x.white, x.black], [x.wn + 1, x.bn + 1])) ELSE x.c END FROM (
+   SELECT u.i, u.game_id, u.white, u.black, w.c, coalesce(w.c[u.white], 0) AS wn, coalesce(w.c[u.black], 0) AS bn, greatest(coalesce(w.c[u.white], 0), coalesce(w.c[u.black], 0)) < {CAP} AS ok
+   FROM walk w JOIN u ON u.i = w.i + 1) x)
+ SELECT game_id FROM walk WHERE ok""")
+
+
+@query("win_13_prediction_cap_strict", "example_reasons cap_walk", f"""
+, usable AS (SELECT game_id, played_at, p.player FROM example_reasons e JOIN cap_walk USING (game_id), LATERAL (SELECT e.white AS player UNION ALL SELECT e.black) p),
+asked AS (SELECT game_id, played_at, p.player FROM example_reasons e, LATERAL (SELECT e.white AS player UNION ALL SELECT e.black) p WHERE e.policy_reason IS NULL),
+prior AS (SELECT a.game_id, a.player, count(u.game_id) AS n FROM asked a LEFT JOIN usable u ON u.player = a.player AND (u.played_at < a.played_at OR (u.played_at = a.played_at AND u.game_id < a.game_id)) GROUP BY 1, 2)
+SELECT r.game_id, CASE WHEN r.policy_reason IS NULL AND m.n >= {CAP} THEN 'max_predictions_per_player' ELSE coalesce(r.reason, 'ok') END AS reason
+FROM example_reasons r LEFT JOIN (SELECT game_id, max(n) AS n FROM prior GROUP BY 1) m USING (game_id)""")
 def _(spark, sf):
     policy = C.ContextPolicy(context_size=N, max_predictions_per_player=CAP)
     made = X.build_examples(fx.games(spark, sf), policy, strict_cap=True)
