@@ -9,6 +9,7 @@ from duelgauge.operators import ordered
 from duelgauge.operators import phases as PH
 from duelgauge.operators import trials as T
 from duelgauge.plans.registry import query, table
+from duelgauge.runtime import cut_lineage
 
 SIZES = (1, 10, 25)
 TRIALS = 40
@@ -24,6 +25,11 @@ def calibration(spark, sf):
     return K.bucket_means(fx.candidate_scores(spark, sf))
 
 
+def score_tables(spark, sf):
+    """Query entries and calibration as stored tables: scoring is done once and its result kept."""
+    return cut_lineage(K.side_scores(fx.query_scores(spark, sf))), cut_lineage(calibration(spark, sf))
+
+
 def player_sides_scored(spark, sf):
     """Per game and player: score, moves, recorded rating and the reason a score is unusable."""
     g = fx.games(spark, sf).select("game_id", "white", "black")
@@ -152,8 +158,8 @@ table("trial_results", "trial_means buckets line", trial_results_sql("trial_mean
 
 
 def trials(spark, sf):
-    entries = K.side_scores(fx.query_scores(spark, sf))
-    return T.run_trials(entries, calibration(spark, sf), SIZES, TRIALS, "trial")
+    entries, stored = score_tables(spark, sf)
+    return T.run_trials(entries, stored, SIZES, TRIALS, "trial")
 
 
 OVERALL_SQL = """SELECT CAST(size AS INT) AS games_averaged, round(avg(CAST(predicted_index = true_index AS DOUBLE)), 6) AS accuracy_exact,

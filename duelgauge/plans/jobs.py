@@ -120,9 +120,13 @@ def player_report(rows: DataFrame, calibration: DataFrame) -> DataFrame:
 def evaluate_bins(
     candidates: DataFrame, queries: DataFrame, per_trial: Sequence[int], trials: int, seed: str
 ) -> dict[str, DataFrame]:
-    """Calibrate on candidates, then test how well groups of query games find their bucket."""
-    calibration = K.bucket_means(candidates)
-    results = T.run_trials(K.side_scores(queries), calibration, per_trial, trials, seed)
+    """Calibrate on candidates, then test how well groups of query games find their bucket.
+
+    The scored entries, the calibration and the trial results are stored once; all reports read them.
+    """
+    calibration = cut_lineage(K.bucket_means(candidates))
+    entries = cut_lineage(K.side_scores(queries))
+    results = cut_lineage(T.run_trials(entries, calibration, per_trial, trials, seed))
     return {
         "calibration": calibration,
         "line_quality": K.line_quality(calibration),
