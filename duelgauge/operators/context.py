@@ -90,10 +90,14 @@ def build_examples(
     strict_cap: bool = False,
     newest_first: Sequence[Column] | None = None,
 ) -> DataFrame:
-    """All games with both contexts and the first failing `reason` (NULL for an example)."""
+    """All games with both contexts and the first failing `reason` (NULL for an example).
+
+    The player contexts are stored once, since White and Black both look them up.
+    """
     first = W.partitionBy("game_id").orderBy("played_at", "white", "black")
     unique = games.withColumn("_copy", F.row_number().over(first))
-    tagged = attach_contexts(unique, player_contexts(games, policy, newest_first))
+    contexts = cut_lineage(player_contexts(games, policy, newest_first))
+    tagged = attach_contexts(unique, contexts)
     base = F.when(F.col("_copy") > 1, "duplicate_game").otherwise(policy_reason(policy))
     tagged = tagged.withColumn("_policy", base).withColumn("_context", context_reason()).drop("_copy")
     if policy.max_predictions_per_player is None:
