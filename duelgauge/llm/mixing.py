@@ -89,6 +89,7 @@ def expected_copies(classes: DataFrame, sources: DataFrame, cap: float = CAP) ->
 def _rank_and_band(share: Column, mean_share: Column) -> tuple[Column, Column]:
     """Pareto rank variable of a row, and its band: a monotone map of the rank that spreads a source evenly."""
     u = (F.conv(F.substring(F.md5(key_of("doc_id")), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
+    share = F.when(share > 0, share)
     rank = (u / (1 - u)) / (share / (1 - share))
     levelled = rank * mean_share / (1 - mean_share)
     return rank, F.floor(levelled / (1 + levelled) * BANDS).cast("int")
