@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelgauge.llm import mixing
+from duelgauge.llm import mixing, packing, records
 from duelgauge.llm.common import table
+from duelgauge.llm.tokens import vocabulary_path
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
+
+
+def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.written_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +22,8 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op7_record_files": op7_record_files,
     "op10_pareto_mix": op10_pareto_mix,
 }
 

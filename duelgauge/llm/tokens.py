@@ -9,19 +9,29 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMORY_PIECES = 400_000
-LONGEST_PIECE = 48
+MEMORY_PIECES = 1_000_000  # about 200 MB in a Python worker
 DOUBLE_SPACE = re.compile(r"\s\s")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
+class Pieces(dict):
+    """Known pieces; an unknown one stands for itself and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.wanted: list[str] = []
+
+    def __missing__(self, piece: str) -> str:
+        self.wanted.append(piece)
+        return piece
+
+
 class PieceEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. `spaces`: white space is part of the ids."""
 
@@ -32,12 +42,13 @@ class PieceEncoder:
         self.spaces = spaces
         # Python workers outlive a task: what they learned is kept with the library they share.
         kept = tokenizers.__dict__.setdefault("_known_pieces", {})
-        self.known: dict[str, bytes] = kept.setdefault((path, spaces), {})
+        self.known: Pieces = kept.setdefault((path, "plain"), Pieces())
+        self.after_space: Pieces = kept.setdefault((path, "after space"), Pieces())
         self.separator = "\n" if spaces else "|"
         self.joint = "\n" if spaces else " | "
         mark = self._ids(self.separator)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.newline = np.array(self._ids("\n"), "<u4").tobytes() if spaces else b""
+        self.line_end = self._whole("\n") if spaces else b""
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -45,34 +56,32 @@ class PieceEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self._ids(text), "<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces of a text; None: it has to be encoded whole."""
+    def _pieces(self, text: str) -> tuple[list[str], bool] | None:
+        """Pieces of a text and whether those after the first stand for a space before them.
+
+        None: the text has to be encoded whole.
+        """
         if ODD_SPACE.search(text):
             return None
         if not self.spaces:
-            return text.split()
+            return text.split(), False
         if DOUBLE_SPACE.search(text):
-            return SPACED.findall(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            head, *rest = line.split(" ")
-            if head:
-                out.append(head)
-            out.extend([" " + x for x in rest])
-        return out
+            return SPACED.findall(text), False
+        return text.replace("\n", " \n").split(" "), True
 
     def _learn(self, wanted: list[str]) -> dict[str, bytes]:
         """Ids of pieces not seen before."""
         found: dict[str, bytes] = {}
-        single = [w for w in wanted if self.mark is None or self.separator in w]
-        for w in single:
-            found[w] = self._whole(w)
+        led = [w for w in wanted if self.spaces and w[:1] == "\n" and "\n" not in w[1:]]
+        if led:  # a line end is ids of its own
+            heads = self._learn(list({w[1:] for w in led} - {""})) | {"": b""}
+            found |= {w: self.line_end + heads[w[1:]] for w in led}
+        found |= {w: self._whole(w) for w in wanted if w not in found and (self.mark is None or self.separator in w)}
         wanted = [w for w in wanted if w not in found]
-        for at in range(0, len(wanted), 2000):
-            part = wanted[at : at + 2000]
-            ids = np.array(self._ids(self.joint.join(part)), "<u4")
+        for at in range(0, len(wanted), 500):
+            part = wanted[at : at + 500]
+            joined = self.tokenizer.encode_batch_fast([self.joint.join(part)], add_special_tokens=False)[0]
+            ids = np.array(joined.ids, "<u4")
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part) - 1:  # a piece holds the mark's id by another way
                 found.update((w, self._whole(w)) for w in part)
@@ -83,32 +92,43 @@ class PieceEncoder:
             found.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, starts, stops))
         return found
 
+    def _fill(self, known: Pieces, spaced: bool) -> dict[str, bytes]:
+        """Learn the pieces that were asked for in vain; what a full memory cannot take is only returned."""
+        wanted, known.wanted = list(dict.fromkeys(known.wanted)), []
+        # "word" stands for " word"; "\nword" is a line end and a word, with no space before.
+        asked = [w if not spaced or w[:1] == "\n" else " " + w for w in wanted]
+        ids = self._learn(asked)
+        fresh = {w: ids[a] for w, a in zip(wanted, asked)}
+        if len(known) + len(fresh) <= MEMORY_PIECES:
+            known |= fresh
+        return fresh
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._pieces(t) if t else [] for t in texts]
-        known = self.known
-        wanted = list({w for pieces in cut if pieces for w in pieces if w not in known})
-        fresh = self._learn(wanted) if wanted else {}
-        for w, raw in fresh.items():
-            if len(known) >= MEMORY_PIECES:
-                break
-            if len(w) <= LONGEST_PIECE:
-                known[w] = raw
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self._whole(text))
-            elif fresh:
-                out.append(b"".join([known[w] if w in known else fresh[w] for w in pieces]))
+        plain, after = self.known, self.after_space
+        cut = [self._pieces(t) if t else ([], False) for t in texts]
+        found: list[list[bytes | str] | None] = []
+        holes = []
+        for k, c in enumerate(cut):
+            before = len(plain.wanted) + len(after.wanted)
+            if c is None:
+                found.append(None)
+            elif c[1]:
+                found.append([plain[c[0][0]], *map(after.__getitem__, c[0][1:])])
             else:
-                out.append(b"".join([known[w] for w in pieces]))
-        return out
+                found.append(list(map(plain.__getitem__, c[0])))
+            if len(plain.wanted) + len(after.wanted) > before:
+                holes.append(k)
+        new_plain = self._fill(plain, False) if plain.wanted else {}
+        new_after = self._fill(after, True) if after.wanted else {}
+        for k in holes:
+            got, spaced = found[k], cut[k][1]
+            head = got[0] if type(got[0]) is bytes else new_plain[got[0]]
+            new = new_after if spaced else new_plain
+            found[k] = [head, *[x if type(x) is bytes else new[x] for x in got[1:]]]
+        return [self._whole(t) if got is None else b"".join(got) for t, got in zip(texts, found)]
 
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
-
-
-def as_bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
