@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelgauge.llm import mixing, packing, records
+from duelgauge.llm import line_dedup, mixing, packing, records
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
 
@@ -22,9 +26,24 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op7_record_files": op7_record_files,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
-ORACLES: dict[str, str] = {}
+LINE_DEDUP_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+ SELECT r, doc_id, i, lines[i] AS line,
+        translate(trim(lines[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+ FROM docs, unnest(range(1, len(lines) + 1)) AS t(i)),
+frequent AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f USING (k) GROUP BY r"""
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": LINE_DEDUP_SQL,
+}
