@@ -3,7 +3,8 @@
 A record is: payload length (u64), masked checksum of these 8 bytes (u32), payload, masked checksum of
 the payload (u32), all little-endian. The checksum is CRC-32, rotated by 15 bits and offset, so that a
 checksum stored inside data does not check itself. The payload is one serialized sequence: a flag byte
-(1: the document has an id), doc_id (i64), the number of ids (u32), the ids (u32 each). Beside every
+(bit 0: the document has an id; bit 1: wide ids), doc_id (i64), the number of ids (u32), the ids (u16
+each where all are below 65,536, else wide: u32). Beside every
 `.rec` file lies an `.idx` file of (byte offset u64, payload length u32) per record: a reader can open
 records in any order.
 
@@ -65,15 +66,19 @@ def unframe(data: bytes, at: int) -> bytes:
 
 
 def pack(doc_id: int | None, ids: bytes) -> bytes:
-    return struct.pack(SEQUENCE, doc_id is not None, doc_id or 0, len(ids) // 4) + ids
+    numbers = np.frombuffer(ids, "<u4")
+    wide = bool(len(numbers)) and int(numbers.max()) > 0xFFFF
+    body = ids if wide else numbers.astype("<u2").tobytes()
+    return struct.pack(SEQUENCE, (doc_id is not None) + 2 * wide, doc_id or 0, len(numbers)) + body
 
 
 def unpack(payload: bytes) -> tuple[int | None, bytes]:
-    known, doc_id, count = struct.unpack_from(SEQUENCE, payload)
-    ids = payload[struct.calcsize(SEQUENCE) :]
-    if len(ids) != 4 * count:
+    """doc_id and ids (little-endian unsigned 32-bit) of a payload."""
+    flags, doc_id, count = struct.unpack_from(SEQUENCE, payload)
+    numbers = np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=struct.calcsize(SEQUENCE))
+    if len(numbers) != count:
         raise ValueError("a sequence has another length than it states")
-    return (doc_id if known else None), ids
+    return (doc_id if flags & 1 else None), numbers.astype("<u4").tobytes()
 
 
 class RecordFile:
