@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from duelgauge.llm import line_dedup, mixing, packing, records
+from duelgauge.llm import hnsw, line_dedup, mixing, packing, records, topk
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -17,6 +18,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.written_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
@@ -28,6 +37,8 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_exact_top_k": op3_exact_top_k,
+    "op4_graph_neighbours": op4_graph_neighbours,
     "op7_record_files": op7_record_files,
     "op10_pareto_mix": op10_pareto_mix,
 }
@@ -44,6 +55,19 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.k) AS n_dropped
        sha256(coalesce(string_agg(CASE WHEN f.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
 FROM lines LEFT JOIN frequent f USING (k) GROUP BY r"""
 
+EXACT_TOP_K_SQL = """
+WITH v AS (
+ SELECT vec_id, min(list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))) AS v FROM embeddings
+ WHERE vec_id IS NOT NULL AND len(embedding) > 0
+   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0 GROUP BY vec_id),
+scored AS (
+ SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+ranked AS (
+ SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
+
 ORACLES: dict[str, str] = {
+    "op3_exact_top_k": EXACT_TOP_K_SQL,
     "op1_line_dedup": LINE_DEDUP_SQL,
 }
