@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgauge.llm import hnsw, line_dedup, mixing, packing, records, topk
+from duelgauge.llm import hnsw, line_dedup, mixing, packing, quality, records, topk
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -30,6 +30,10 @@ def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.written_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_exact_top_k": op3_exact_top_k,
     "op4_graph_neighbours": op4_graph_neighbours,
     "op7_record_files": op7_record_files,
+    "op8_quality": op8_quality,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
