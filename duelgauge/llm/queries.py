@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgauge.llm import hnsw, line_dedup, mixing, packing, quality, records, topk
+from duelgauge.llm import hnsw, line_dedup, mixing, packing, pii, quality, records, topk
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -34,6 +34,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_graph_neighbours": op4_graph_neighbours,
     "op7_record_files": op7_record_files,
     "op8_quality": op8_quality,
+    "op9_personal_data": op9_personal_data,
     "op10_pareto_mix": op10_pareto_mix,
 }
 
