@@ -43,10 +43,11 @@ AROUND = 20
 TAGS = 1 + 2 * len(KINDS)  # O, then begin and inside of each kind
 SYMBOLS = 128 + 3
 EMBED, HIDDEN = 12, 16
-SAMPLE = 400
+SAMPLE = 800
 WINDOWS = 2_500
-EPOCHS = 16
-SURE = 0.97
+STEPS = 450
+BATCH = 96
+SURE = 0.95
 FORBIDDEN = -1e4
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -290,14 +291,14 @@ def slopes(w: Weights, x: np.ndarray, tags: np.ndarray) -> Weights:
     return out
 
 
-def fit(x: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> Weights:
+def fit(x: np.ndarray, tags: np.ndarray, steps: int = STEPS, seed: int = 5) -> Weights:
     """Adaptive moment steps over shuffled batches."""
     w, rng = new_weights(seed), np.random.default_rng(seed)
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(x))
-        for at in range(0, len(order), 96):
-            part = order[at : at + 96]
+        for at in range(0, len(order), BATCH):
+            part = order[at : at + BATCH]
             grads = slopes(w, x[part], tags[part])
             step += 1
             for k, g in grads.items():

@@ -40,7 +40,7 @@ AROUND = struct.calcsize(HEAD) + struct.calcsize(TAIL)
 MASK = 0xA282EAD8
 FILE_BYTES = 64 << 20
 MANIFEST = "part int, file_no int, file string, records long, ids long"
-READ = "part int, file_no int, doc_id long, in_file long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(data: bytes) -> int:
@@ -161,12 +161,11 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """Per document, from the files: ids before it in its file, number of ids, checksum of the ids."""
+    """Per document, from the files: ids of all documents before it, number of ids, checksum of the ids."""
     ship(__name__)
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [("part", pa.int32()), ("file_no", pa.int32()), ("doc_id", pa.int64()), ("in_file", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
-        schema = pa.schema(fields)
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             for row in batch.to_pylist():
                 docs, counts, sums = [], [], []
@@ -175,20 +174,16 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                     counts.append(len(ids) // 4)
                     sums.append(zlib.crc32(ids))
                 n = np.array(counts, np.int64)
-                same = [np.full(len(n), row[k], np.int32) for k in ("part", "file_no")]
-                columns = [*same, docs, np.cumsum(n) - n, n, np.array(sums, np.int64)]
+                columns = [docs, row["file_start"] + np.cumsum(n) - n, n, np.array(sums, np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    files = manifest.select("part", "file_no", "file").repartition(shuffle_width(manifest.sparkSession), "file")
-    return files.mapInArrow(read, READ)
+    # One row per file of 64 MB: the only window that is not cut by a key.
+    order = Window.partitionBy(F.lit(1)).orderBy("part", "file_no")
+    starts = manifest.select("file", (F.sum("ids").over(order) - F.col("ids")).alias("file_start"))
+    return starts.repartition(shuffle_width(manifest.sparkSession), "file").mapInArrow(read, READ)
 
 
 def written_and_read(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> DataFrame:
-    """The whole way: encode, write, read back; `start` counts the ids of all documents before."""
+    """The whole way: encode, write, read back."""
     folder = folder or scratch_path(docs.sparkSession, "records")
-    manifest = write_records(docs, folder, vocabulary, end_id)
-    # One row per file of 64 MB: the only window that is not cut by a key.
-    order = Window.partitionBy(F.lit(1)).orderBy("part", "file_no")
-    starts = manifest.select("part", "file_no", (F.sum("ids").over(order) - F.col("ids")).alias("file_start"))
-    rows = read_records(manifest, folder).join(starts, ["part", "file_no"])
-    return rows.select("doc_id", (F.col("file_start") + F.col("in_file")).alias("start"), "n_tokens", "ids_crc32")
+    return read_records(write_records(docs, folder, vocabulary, end_id), folder)
