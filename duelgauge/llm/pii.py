@@ -363,6 +363,19 @@ def model_spans(w: Weights, texts: list[str]) -> list[list[Span]]:
     return out
 
 
+def plausible(kind: int, body: str) -> bool:
+    """What a found span must hold: the checks of its kind, so that numbers that fail them stay alone."""
+    digits = NOT_DIGIT.sub("", body)
+    if kind == 0:
+        return "@" in body[1:-1]
+    if kind == 1:
+        parts = body.split(".")
+        return len(parts) == 4 and all(p.isdecimal() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == 2:
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15
+
+
 def joined(base: list[Span], found: list[Span]) -> list[Span]:
     """Base spans and those found spans that touch none of them."""
     extra = [s for s in found if all(s[2] <= a or b <= s[0] for a, _, b in base)] if base else found
@@ -419,7 +432,7 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                 for k, kind in enumerate(KINDS):
                     columns[f"n_{kind}"] = pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64())
                 columns["base_sha256"] = [hashlib.sha256(written(b).encode()).hexdigest() for b in base]
-                columns["spans"] = [written(joined(b, f)) for b, f in zip(base, found)]
+                columns["spans"] = [written(joined(b, [s for s in f if plausible(s[1], t[s[0] : s[2]])])) for t, b, f in zip(texts, base, found)]
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select("doc_id", "text").mapInArrow(search, SCHEMA)
