@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgauge.llm import hnsw, line_dedup, mixing, packing, pii, quality, records, topk
+from duelgauge.llm import hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, topk
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -26,6 +26,20 @@ def op4_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: licenses found, number of matching units, best score."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["score"])), F.lit(0.0))
+    return found.select(
+        "doc_id", F.array_join(names, ",").alias("licenses"), F.size("matches").cast("long").alias("n_matches"), best.alias("best_score")
+    )
+
+
 def op7_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.written_and_read(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=1)
 
@@ -47,6 +61,8 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_graph_neighbours": op4_graph_neighbours,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_license_scan": op6_license_scan,
     "op7_record_files": op7_record_files,
     "op8_quality": op8_quality,
     "op9_personal_data": op9_personal_data,
@@ -77,7 +93,38 @@ ranked AS (
  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10"""
 
+LICENSE_SQL = f"""
+WITH templates AS (
+ SELECT t.name, t.number, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS b
+ FROM (SELECT name, number, regexp_extract_all(lower(body), '[a-z0-9]+') AS w FROM (VALUES {
+    ", ".join(f"({k}, '{name}', '{body.replace(chr(39), chr(39) * 2)}')" for k, (name, body) in enumerate(licenses.TEMPLATES))
+}) AS v(number, name, body)) t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+ SELECT r, text, x, i, coalesce(sum(length(x) + 1) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+ FROM (SELECT r, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)),
+breaks AS (
+ SELECT r, text, p, g, i FROM (
+  SELECT r, text, unnest(string_split_regex(text, '\\n(?:[ \\t\\v\\f\\r]*\\n)+')) AS p, unnest(list_append(regexp_extract_all(text, '\\n(?:[ \\t\\v\\f\\r]*\\n)+'), '')) AS g,
+         generate_subscripts(string_split_regex(text, '\\n(?:[ \\t\\v\\f\\r]*\\n)+'), 1) AS i FROM docs)),
+paragraphs AS (
+ SELECT r, p AS x, coalesce(sum(length(p) + length(g)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM breaks),
+units AS (
+ SELECT r, a, x FROM lines WHERE x <> '' UNION SELECT r, a, x FROM paragraphs WHERE x <> '' UNION SELECT r, 0, text FROM docs WHERE text <> ''),
+words AS (
+ SELECT r, a, length(x) AS n, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM units),
+sets AS (
+ SELECT r, a, n, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS b
+ FROM words WHERE len(w) BETWEEN 1 AND 400),
+scored AS (
+ SELECT r, a, n, name, max(2.0 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b))) AS score
+ FROM sets s JOIN templates t ON len(s.b) BETWEEN len(t.b) * 2 / 3 - 0.01 AND len(t.b) * 1.5 + 0.01 GROUP BY r, a, n, name HAVING score >= 0.8)
+SELECT d.doc_id, coalesce(string_agg(DISTINCT s.name, ',' ORDER BY s.name), '') AS licenses, count(s.name) AS n_matches,
+       coalesce(max(CAST(s.score AS DOUBLE)), 0.0) AS best_score
+FROM docs d LEFT JOIN scored s USING (r) GROUP BY d.r, d.doc_id"""
+
 ORACLES: dict[str, str] = {
+    "op6_license_scan": LICENSE_SQL,
     "op3_exact_top_k": EXACT_TOP_K_SQL,
     "op1_line_dedup": LINE_DEDUP_SQL,
 }
