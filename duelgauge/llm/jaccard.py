@@ -48,6 +48,7 @@ FILTER_WORDS = 1 << 17  # 64-bit words of the filter of doc_ids: one megabyte, w
 REMEMBERED = 200_000
 SETS = "doc_id long, class long, n_shingles long"
 POSTED = "shard int, shingles binary, classes binary"
+BUCKETS = "bucket int, classes binary, numbers binary"
 
 
 def needed(size):
@@ -119,6 +120,26 @@ def _postings(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t[df > 1], c[df > 1], df[df > 1]
 
 
+def _by_bucket(classes: np.ndarray, values: np.ndarray, buckets: int) -> pd.DataFrame:
+    """Numbers of classes on their way back to them, one row per bucket of classes."""
+    bucket = classes % buckets
+    order = np.argsort(bucket, kind="stable")
+    numbers, starts = np.unique(bucket[order], return_index=True)
+    c, v = classes[order], values[order]
+    ends = [*starts[1:].tolist(), len(c)]
+    return pd.DataFrame(
+        {
+            "bucket": numbers.astype(np.int32),
+            "classes": [c[a:b].tobytes() for a, b in zip(starts, ends)],
+            "numbers": [v[a:b].tobytes() for a, b in zip(starts, ends)],
+        }
+    )
+
+
+def _of_bucket(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(frame["classes"]), np.int64), np.frombuffer(b"".join(frame["numbers"]), np.int64)
+
+
 # --- 1 and 2: classes and screening -----------------------------------------------------------------
 
 
@@ -155,10 +176,16 @@ def screened(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def shared(frame: pd.DataFrame) -> pd.DataFrame:
         classes, counts = np.unique(_postings(frame)[1], return_counts=True)
-        return pd.DataFrame({"class": classes, "shared": counts})
+        return _by_bucket(classes, counts, shards)
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        c, counts = _of_bucket(frame)
+        classes, place = np.unique(c, return_inverse=True)
+        return pd.DataFrame({"class": classes, "shared": np.bincount(place, counts, len(classes)).astype(np.int64)})
 
     posted = docs.select("text").mapInArrow(prefixes, POSTED)
-    counted = posted.groupBy("shard").applyInPandas(shared, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+    back = posted.groupBy("shard").applyInPandas(shared, BUCKETS)
+    counted = back.groupBy("bucket").applyInPandas(total, "class long, shared long")
     sizes = sets.filter("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
     enough = F.col("shared") >= F.greatest(F.lit(1), F.floor(F.col("n") / 20))
     return cut_lineage(counted.join(sizes, "class").filter(enough).select("class", "n", "doc_id"))
@@ -213,28 +240,28 @@ def ordered(spark: SparkSession, sets: DataFrame) -> DataFrame:
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         t, c, df = _postings(frame)
-        order = np.argsort(c, kind="stable")
-        t, c, df = t[order], c[order], df[order].astype(np.int64)
+        return _by_bucket(c, np.stack([df.astype(np.int64), t.view(np.int64)], 1), shards)
+
+    def sort(frame: pd.DataFrame) -> pd.DataFrame:
+        c, pairs = _of_bucket(frame)
+        df, t = pairs.reshape(-1, 2).T
+        order = np.lexsort((t, df, c))
+        c, df, t = c[order], df[order].astype(np.int32), t[order]
         starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.empty(0, int)
         ends = [*starts[1:].tolist(), len(c)]
-        return pd.DataFrame({"class": c[starts], "pairs": [np.stack([df[a:b], t[a:b].view(np.int64)], 1).tobytes() for a, b in zip(starts, ends)]})
-
-    def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, tokens, counts = [], [], []
-            for k, (parts, n) in enumerate(zip(batch.column("parts").to_pylist(), batch.column("n").to_pylist())):
-                pairs = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
-                if len(pairs) >= needed(n):
-                    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-                    keep.append(k)
-                    tokens.append(pairs[:, 1].tobytes())
-                    counts.append(pairs[:, 0].astype(np.int32).tobytes())
-            rows = batch.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_pydict({"class": rows.column("class"), "n": rows.column("n"), "tokens": pa.array(tokens, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        return pd.DataFrame(
+            {
+                "class": c[starts],
+                "tokens": [t[a:b].tobytes() for a, b in zip(starts, ends)],
+                "counts": [df[a:b].tobytes() for a, b in zip(starts, ends)],
+            }
+        )
 
     posted = sets.select("class", "tokens").mapInArrow(post, POSTED)
-    parts = posted.groupBy("shard").applyInPandas(count, "class long, pairs binary").groupBy("class").agg(F.collect_list("pairs").alias("parts"))
-    return cut_lineage(parts.join(sets.select("class", "n"), "class").mapInArrow(sort, "class long, n long, tokens binary, counts binary"))
+    back = posted.groupBy("shard").applyInPandas(count, BUCKETS)
+    sorted_sets = back.groupBy("bucket").applyInPandas(sort, "class long, tokens binary, counts binary")
+    enough = F.length("tokens") / 8 * 100 >= F.col("n") * PERCENT
+    return cut_lineage(sorted_sets.join(sets.select("class", "n"), "class").filter(enough).select("class", "n", "tokens", "counts"))
 
 
 # --- 4: keys ----------------------------------------------------------------------------------------
@@ -348,6 +375,19 @@ def components(links: DataFrame) -> DataFrame:
     return cut_lineage(edges.select(F.col("a").alias("class"), F.col("b").alias("component")).unionByName(roots))
 
 
+def forest_components(pairs: DataFrame) -> DataFrame:
+    """Components where every class has one pair at most, with a smaller class: pointers jump to the root."""
+    parents = cut_lineage(pairs.select(F.col("a").alias("class"), F.col("b").alias("component")))
+    while True:
+        above = parents.select(F.col("class").alias("component"), F.col("component").alias("up"))
+        jumped = cut_lineage(parents.join(above, "component", "left").select("class", F.coalesce("up", "component").alias("component"), "up"))
+        parents = jumped.drop("up")
+        if not jumped.filter("up IS NOT NULL").limit(1).count():
+            break
+    roots = parents.select(F.col("component").alias("class")).distinct().withColumn("component", F.col("class"))
+    return cut_lineage(parents.unionByName(roots))
+
+
 def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
@@ -404,7 +444,7 @@ def class_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = ordered(spark, sets_of(docs, screened(docs, sets)))
     keyed = keys(rows, light_limit(rows))
     first = linked(first_pairs(keyed), rows)
-    comps = components(first)
+    comps = forest_components(first)
     later = linked(open_pairs(keyed, comps, shuffle_width(spark)), rows)
     # Two classes that link now stand for their components.
     merged = with_component(later.select(F.col("a").alias("class"), "b"), comps).select(F.col("component").alias("a"), F.col("b").alias("class"))

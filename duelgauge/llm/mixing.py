@@ -160,11 +160,11 @@ def decide(docs: DataFrame, made: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, cap: float = CAP) -> DataFrame:
     """The mixed corpus: every document as often as the mix takes it, with the columns of `docs`."""
-    names = docs.columns
     made = plan(cut_lineage(with_sizes(docs)), cap)
-    sized = docs.withColumn("mix_size", word_count(F.col("text")))
+    # The row travels as one struct, so that no column of it can be taken for one of ours.
+    sized = docs.select(F.struct("*").alias("mix_row"), "doc_id", "source", word_count(F.col("text")).alias("mix_size"))
     copies = F.array_repeat(F.lit(0), F.col("mix.copies"))
-    return decide(sized, made).filter("mix.copies > 0").withColumn("mix_copy", F.explode(copies)).select(*names)
+    return decide(sized, made).filter("mix.copies > 0").select("mix_row", F.explode(copies)).select("mix_row.*")
 
 
 def report(docs: DataFrame, cap: float = CAP) -> DataFrame:

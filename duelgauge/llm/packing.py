@@ -5,7 +5,7 @@ so only its first piece may be shorter. Full pieces are sequences of their own.
 random into shards of bounded size; each shard is packed best-fit, longest first, and then improved:
 from the emptiest bins, documents move to fuller ones, are exchanged one for one, or one for two, where
 this makes the fuller bin fuller (the sum of squared fills rises), until a bin is empty. A shard stops
-when it needs as few bins as its tokens allow or when no exchange helps. The bins that stay underfull
+when it needs as few bins as its tokens allow, when no exchange helps, or after PASSES rounds of its bins. The bins that stay underfull
 in their shards are opened again and packed together, so that what is lost is a few bins per round.
 
 Defined cases: a null or empty text is the end id alone; repeated doc_ids are packed row by row; a null
@@ -29,6 +29,7 @@ from duelgauge.runtime import cut_lineage
 
 CAPACITY = 2048
 SHARD_ROWS = 40_000
+PASSES = 8  # of the search over the underfull bins of a shard; it mostly ends before
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
 
@@ -169,13 +170,18 @@ def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> l
     items = np.concatenate([bins[b] for b in open_bins])
     bin_of = np.repeat(np.arange(len(open_bins)), [len(bins[b]) for b in open_bins])
     size, fill = lengths[items].astype(np.int64), fills[open_bins].copy()
-    for victim in np.argsort(fill, kind="stable").tolist():
-        while fill[victim] and _exchange(size, bin_of, fill, victim, capacity):
-            pass
-        if not fill[victim]:
-            spare -= 1
-            if not spare:
-                break
+    for _ in range(PASSES):
+        before = int((fill * fill).sum())
+        for victim in np.argsort(fill, kind="stable").tolist():
+            held = fill[victim]
+            while fill[victim] and _exchange(size, bin_of, fill, victim, capacity):
+                pass
+            if held and not fill[victim]:
+                spare -= 1
+                if not spare:
+                    break
+        if not spare or int((fill * fill).sum()) == before:
+            break
     kept = [bins[b] for b in np.flatnonzero(fills == capacity)]
     order = np.argsort(bin_of, kind="stable")
     edges = np.flatnonzero(np.diff(bin_of[order])) + 1
