@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duelgauge.functions import board as B
+from duelgauge.runtime import require
 
 MIDGAME_PIECES, ENDGAME_PIECES, MIXED = 10, 6, 150
 
@@ -102,5 +103,7 @@ def loader_statistics(games: DataFrame, positions: int, bins: int) -> DataFrame:
     return listed.join(base, "bin", "left").join(made, "bin", "left").na.fill(0)
 
 
-def empty_bins(statistics: DataFrame) -> DataFrame:
-    return statistics.filter(F.col("opening_examples") + F.col("midgame_examples") + F.col("endgame_examples") == 0)
+def require_examples(statistics: DataFrame) -> DataFrame:
+    """The statistics; a bin without any usable example fails the job."""
+    examples = F.col("opening_examples") + F.col("midgame_examples") + F.col("endgame_examples")
+    return require(statistics, examples > 0, "a bin has no usable example")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from duelgauge.operators import ordered
 from duelgauge.operators.corpus import EXCLUSION_KEYS, ContextPolicy, policy_reason, reason_counts, sides
-from duelgauge.runtime import cut_lineage
+from duelgauge.runtime import cut_lineage, require
 
 DAY_SECONDS = 86_400
 
@@ -203,11 +203,12 @@ def context_strength(examples: DataFrame, side_scores: DataFrame, how: str = "me
     """White and black context strength per example.
 
     `side_scores` has (game_id, color, score). Weights follow recency: the oldest game counts 1,
-    the newest N. The group per (example, side) holds at most N rows.
+    the newest N. The group per (example, side) holds at most N rows. A context game without a score
+    fails the job.
     """
     rows = context_rows(examples)
     scores = side_scores.select(F.col("game_id").alias("context_id"), "color", "score")
-    joined = rows.join(scores, ["context_id", "color"])
+    joined = require(rows.join(scores, ["context_id", "color"], "left"), F.col("score").isNotNull(), "a context game has no score")
     if how == "median":
         value = F.percentile("score", 0.5)
     elif how == "recency_weighted":

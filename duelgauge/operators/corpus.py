@@ -147,29 +147,38 @@ def interval_retention(games: DataFrame, bins: Bins, compare_width: int) -> Data
     )
 
 
-PRUNED_RANKS = 1000
-
-
-def rank_bands(
-    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, bands: dict[str, int], max_groups: int = 100
-) -> DataFrame:
+def rank_bands(df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, bands: dict[str, int | None]) -> DataFrame:
     """Disjoint uniform samples per group: the first n1 hash ranks, the next n2, and so on.
 
-    Small totals use a group limit that Spark applies before the shuffle; larger ones first find the
-    hash slices that hold the sample. Either way the rest of the corpus is not shuffled.
+    A size of None, for the last band, takes all that is left; without such a band the rows beyond the
+    bands are left out (`left_out` counts them). Only the hash slices that hold the finite bands are
+    shuffled; where all rows stay, they are labelled by the last hash of each band of their group.
     """
-    total = sum(bands.values())
-    if total <= PRUNED_RANKS:
-        order = W.partitionBy(*keys).orderBy(ordered.hash_text(seed, *ids), *ids)
-        ranked = df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= total)
-    else:
-        ranked = ordered.hash_first(df, keys, ids, seed, total, max_groups, "_rank")
-    label, start = None, 0
-    for name, size in bands.items():
-        inside = F.col("_rank").between(start + 1, start + size)
-        label = F.when(inside, name) if label is None else label.when(inside, name)
+    finite = {name: size for name, size in bands.items() if size is not None}
+    rest = [name for name, size in bands.items() if size is None]
+    if rest and rest != [list(bands)[-1]]:
+        raise ValueError("only the last band can take all that is left")
+    ranked = ordered.hash_first(df, keys, ids, seed, sum(finite.values()), "_rank")
+    label, start = F.lit(None).cast("string"), 0
+    for name, size in finite.items():
+        label = F.when(F.col("_rank").between(start + 1, start + size), name).otherwise(label)
         start += size
-    return ranked.withColumn("split", label).drop("_rank")
+    sampled = ranked.withColumn("split", label).drop("_rank")
+    if not rest:
+        return sampled
+    place = F.struct(ordered.hash_text(seed, *ids).alias("h"), *[F.col(c) for c in ids])
+    ends = sampled.groupBy(*keys).agg(*[F.max(F.when(F.col("split") == n, place)).alias(f"_end_{n}") for n in finite])
+    split = F.lit(rest[0])
+    for name in reversed(finite):
+        split = F.when(place <= F.col(f"_end_{name}"), name).otherwise(split)
+    return df.join(ends, list(keys), "left").withColumn("split", split).select(*df.columns, "split")
+
+
+def left_out(df: DataFrame, keys: Sequence[str], bands: dict[str, int | None]) -> DataFrame:
+    """Rows per group that no band takes."""
+    total = None if None in bands.values() else sum(bands.values())
+    beyond = F.lit(0) if total is None else F.greatest(F.count(F.lit(1)) - total, F.lit(0))
+    return df.groupBy(*keys).agg(beyond.cast("bigint").alias("left_out"))
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], minimum: int) -> DataFrame:

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from duelgauge.operators import ordered
 from duelgauge.operators import trials as T
 
-MAX_POSITIONS = 1000
-
 
 def go_rank(text: Column) -> Column:
     """Dan ranks as they are, kyu ranks folded to 0 (1-2k) or -1 (3k and weaker); empty is 0."""
@@ -21,20 +19,29 @@ def go_rank(text: Column) -> Column:
     return F.when(text.isNull() | (text == ""), 0).when(text.rlike("[kK]"), kyu).otherwise(number)
 
 
-def select_frame(move_scores: DataFrame, frame: str, parity: int | None = None, seed: str = "frame") -> DataFrame:
-    """Positions of a game inside a frame: all, first_50, last_50 or one hash-chosen move."""
+def select_frame(
+    move_scores: DataFrame, frame: str, parity: int | None = None, seed: str = "frame", max_positions: int | None = None
+) -> DataFrame:
+    """Positions of a game inside a frame: all, first_50, last_50 or one hash-chosen move of those there are.
+
+    `max_positions` drops later plies where a caller wants that.
+    """
     rows = move_scores
-    if frame in ("last_50", "one_move"):
-        lengths = rows.groupBy("game_id").agg(F.count(F.lit(1)).alias("_len"))
-        rows = rows.join(lengths, "game_id")
+    if frame == "last_50":
+        rows = rows.join(rows.groupBy("game_id").agg(F.count(F.lit(1)).alias("_len")), "game_id")
+    if frame == "one_move":
+        first = F.min(F.struct(ordered.hash_text(seed, "game_id", "ply"), "ply"))["ply"]
+        rows = rows.join(rows.groupBy("game_id").agg(first.alias("_one")), "game_id")
     ply = F.col("ply")
     inside = {
         "all": F.lit(True),
         "first_50": ply < 50,
         "last_50": ply >= F.col("_len") - 50 if frame == "last_50" else None,
-        "one_move": ply == ordered.hash_int(seed, "game_id") % F.col("_len") if frame == "one_move" else None,
+        "one_move": ply == F.col("_one") if frame == "one_move" else None,
     }[frame]
-    kept = rows.filter(inside & (ply < MAX_POSITIONS)).drop("_len")
+    if max_positions is not None:
+        inside = inside & (ply < max_positions)
+    kept = rows.filter(inside).drop("_len", "_one")
     return kept if parity is None else kept.filter(ply % 2 == parity)
 
 

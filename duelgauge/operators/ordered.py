@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duelgauge.runtime import BROADCAST_ROWS
 
 SEGMENT = "_segment"
 
@@ -171,24 +170,22 @@ FINE_DIGITS = 3
 
 
 def hash_first(
-    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, k: int, max_groups: int, name: str = "rn"
+    df: DataFrame, keys: Sequence[str], ids: Sequence[str], seed: str, k: int, name: str = "rn"
 ) -> DataFrame:
     """The first k rows of each group in hash order with their rank, for a large k and few groups.
 
     A first pass counts rows per group and leading hash digits. Only slices that begin before rank k
-    go on, so what is shuffled and sorted is little more than the sample, not the corpus. The slice
-    table has at most max_groups x 4096 rows and is broadcast only when that bound is small.
+    go on, so what is shuffled and sorted is little more than the sample, not the corpus. Whether the
+    slice table is broadcast is left to Spark, which measures it.
     """
     keys = _names(keys)
-    slices = 16**FINE_DIGITS
     hashed = df.withColumn("_hash", hash_text(seed, *ids)).withColumn(SEGMENT, F.substring("_hash", 1, FINE_DIGITS))
     counted = hashed.groupBy(*keys, SEGMENT).agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
     starts = counted.select(*keys, SEGMENT, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     starts = starts.filter(F.col("_start") < k)
-    small = F.broadcast(starts) if max_groups * slices <= BROADCAST_ROWS else starts
     inside = W.partitionBy(*keys, SEGMENT).orderBy("_hash", *ids)
-    ranked = hashed.join(small, [*keys, SEGMENT]).withColumn(name, F.col("_start") + F.row_number().over(inside))
+    ranked = hashed.join(starts, [*keys, SEGMENT]).withColumn(name, F.col("_start") + F.row_number().over(inside))
     return ranked.filter(F.col(name) <= k).select(*df.columns, name)
 
 

@@ -67,10 +67,11 @@ def ranking_groups(
 
 
 def draw_position(drawn: DataFrame, positions: DataFrame, seed: str, *by: str) -> DataFrame:
-    """One uniform ply of the drawn game (plies are numbered from zero without gaps)."""
+    """One uniform position of the drawn game among those it has; its plies of the table, in one sorted array."""
     wanted = positions.join(drawn.select("game_id").distinct(), "game_id", "left_semi")
-    lengths = wanted.groupBy("game_id").agg(F.count(F.lit(1)).alias("_len"))
-    return drawn.join(lengths, "game_id").withColumn("ply", ordered.hash_int(seed, *by) % F.col("_len")).drop("_len")
+    listed = wanted.groupBy("game_id").agg(F.sort_array(F.collect_list("ply")).alias("_plies"))
+    nth = (ordered.hash_int(seed, *by) % F.size("_plies")).cast("int")
+    return drawn.join(listed, "game_id").withColumn("ply", F.get("_plies", nth)).drop("_plies")
 
 
 def uniform_positions(spark, games: DataFrame, positions: DataFrame, count: int, seed: str) -> DataFrame:

@@ -72,7 +72,7 @@ def run_trials(
 
 def score_trials(drawn: DataFrame, calibration: DataFrame) -> DataFrame:
     grouped = drawn.groupBy("size", "low", "trial").agg(
-        (F.sum(F.col("score") * F.col("moves")) / F.sum("moves")).alias("score"),
+        F.try_divide(F.sum(F.col("score") * F.col("moves")), F.sum("moves")).alias("score"),  # null: no move drawn
         F.avg("rating").alias("true_elo"),
     )
     return with_prediction(grouped, calibration)

@@ -152,9 +152,9 @@ def _(spark, sf):
 
 
 @query("agg_39_error_report", "timed_errors", """
-SELECT count(*) AS players, round(avg(error), 5) AS mean_error, round(avg(abs(error)), 5) AS mae, round(sqrt(avg(error * error)), 5) AS rmse, round(corr(estimated_elo, rating), 5) AS correlation, round(median(error), 5) AS median_error FROM timed_errors WHERE event = 'Blitz'""")
+SELECT count(*) AS players, round(avg(error), 5) AS mean_error, round(avg(abs(error)), 5) AS mae, round(sqrt(avg(error * error)), 5) AS rmse, round(corr(estimated_elo, rating), 5) AS correlation, round(median(error), 5) AS median_error FROM timed_errors""")
 def _(spark, sf):
-    return rounded(M.error_report(timed_errors(spark, sf).filter("event = 'Blitz'"), "estimated_elo", "rating"), digits=5)
+    return rounded(M.error_report(timed_errors(spark, sf), "estimated_elo", "rating"), digits=5)
 
 
 table("role_rows", "scored_sides", """
@@ -338,13 +338,13 @@ def _(spark, sf):
 table("lengths", "move_scores", "SELECT game_id, count(*) AS len FROM move_scores GROUP BY 1")
 for _frame, _cond in (
     ("all", "TRUE"), ("first_50", "ply < 50"), ("last_50", "ply >= len - 50"),
-    ("one_move", "ply = CAST('0x' || substr(md5('frame:' || game_id), 1, 15) AS BIGINT) % len"),
+    ("one_move", "ply = (SELECT arg_min(o.ply, md5('frame:' || o.game_id || ':' || o.ply)) FROM move_scores o WHERE o.game_id = move_scores.game_id)"),
 ):
 
     def _select(spark, sf, frame=_frame):
         return rounded(N.select_frame(fx.move_scores(spark, sf), frame).select("game_id", "ply", "score"))
 
-    query(f"flt_12_frame_{_frame}", "move_scores lengths", f"SELECT game_id, ply, round(score, 6) AS score FROM move_scores JOIN lengths USING (game_id) WHERE {_cond} AND ply < 1000")(_select)
+    query(f"flt_12_frame_{_frame}", "move_scores lengths", f"SELECT game_id, ply, round(score, 6) AS score FROM move_scores JOIN lengths USING (game_id) WHERE {_cond}")(_select)
 
 table("ranked_moves", "move_scores binned", "SELECT m.*, b.bbin AS rank, 1 + m.ply % 3 AS weight FROM move_scores m JOIN binned b USING (game_id) WHERE b.bbin IS NOT NULL")
 
@@ -387,20 +387,20 @@ def _(spark, sf):
     return rounded(N.agreement_curve(rows).filter("rank = 'all'").drop("rank"))
 
 
-CLASS_SIZES = "(VALUES (1), (5)) s(size)"
-table("class_positions", "", "SELECT vec_id // 4 AS game_id, vec_id % 4 AS ply, (vec_id // 4 * 7) % 9 AS rank, embedding[1:10] AS classes FROM embeddings")
+CLASS_SIZES = "(VALUES (1), (5), (10), (25), (50), (100)) s(size)"
+table("class_positions", "", "SELECT vec_id // 4 AS game_id, vec_id % 4 AS ply, (vec_id // 4 * 7) % 9 AS rank, embedding AS classes FROM embeddings")
 table("class_pool", "class_positions", "SELECT *, ROW_NUMBER() OVER (PARTITION BY rank ORDER BY md5('pool:' || game_id), game_id) AS draw, count(*) OVER (PARTITION BY rank) AS pool FROM (SELECT DISTINCT rank, game_id FROM class_positions)")
-table("class_draws0", "class_pool", draws_sql("class_pool", "rank", "class", CLASS_SIZES, 30))
+table("class_draws0", "class_pool", draws_sql("class_pool", "rank", "class", CLASS_SIZES, 500))
 table("class_draws", "class_draws0", "SELECT *, CAST('0x' || substr(md5(concat_ws(':', 'class-side', size, rank, trial, nth)), 1, 15) AS BIGINT) % 2 AS parity FROM class_draws0")
-table("prob_votes", "class_positions", "SELECT game_id, ply % 2 AS parity, unnest(range(10)) AS class, unnest(classes)::DOUBLE AS v FROM class_positions")
+table("prob_votes", "class_positions", "SELECT game_id, ply % 2 AS parity, unnest(range(64)) AS class, unnest(classes)::DOUBLE AS v FROM class_positions")
 table("num_votes", "class_positions", "SELECT game_id, ply % 2 AS parity, list_position(classes, list_max(classes)) - 1 AS class, 1.0::DOUBLE AS v FROM class_positions")
 for _mode, _votes in (("max_prob", "prob_votes"), ("max_num", "num_votes")):
 
     def _classes(spark, sf, mode=_mode):
         v = F.col("vec_id")
         gid = F.floor(v / 4)
-        positions = fx.read(spark, sf, "embeddings").select(gid.alias("game_id"), (v % 4).alias("ply"), (gid * 7 % 9).alias("rank"), F.slice("embedding", 1, 10).alias("classes"))
-        results = N.class_trials(positions.select("game_id", "rank").distinct(), positions, mode, (1, 5), 30, "class")
+        positions = fx.read(spark, sf, "embeddings").select(gid.alias("game_id"), (v % 4).alias("ply"), (gid * 7 % 9).alias("rank"), F.col("embedding").alias("classes"))
+        results = N.class_trials(positions.select("game_id", "rank").distinct(), positions, mode, (1, 5, 10, 25, 50, 100), 500, "class")
         return rounded(N.class_accuracy(results, "+/-1"))
 
     query(f"agg_29_class_vote_{_mode}", f"class_draws class_pool {_votes}", f"""

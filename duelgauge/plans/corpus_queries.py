@@ -180,11 +180,11 @@ table("kept", "classified", "SELECT game_id, wbin AS bin FROM classified WHERE r
 
 
 @query("smp_01_quota_and_training", "kept", """
-SELECT game_id, bin, CASE WHEN rn <= 10 THEN 'eval' ELSE 'train' END AS split FROM (
- SELECT *, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM kept) WHERE rn <= 60""")
+SELECT game_id, bin, CASE WHEN rn <= 2200 THEN 'eval' ELSE 'train' END AS split FROM (
+ SELECT *, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM kept)""")
 def _(spark, sf):
     kept = classified(spark, sf).filter("reason IS NULL").select("game_id", F.col("bin").cast("bigint").alias("bin"))
-    return C.rank_bands(kept, ["bin"], ["game_id"], "quota", {"eval": 10, "train": 50})
+    return C.rank_bands(kept, ["bin"], ["game_id"], "quota", {"eval": 2200, "train": None})
 
 
 @query("smp_02_candidate_query_split", "kept", """

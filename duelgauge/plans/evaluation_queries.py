@@ -11,9 +11,9 @@ from duelgauge.operators import trials as T
 from duelgauge.plans.registry import query, table
 from duelgauge.runtime import cut_lineage
 
-SIZES = (1, 10, 25)
-TRIALS = 40
-SIZES_SQL = "(VALUES (1), (10), (25)) s(size)"
+SIZES = (1, 10, 25, 50, 75, 100)
+TRIALS = 500
+SIZES_SQL = "(VALUES (1), (10), (25), (50), (75), (100)) s(size)"
 
 
 def rounded(df, *keep, digits=6):
@@ -352,7 +352,7 @@ def _(spark, sf):
     return rounded(PH.phase_pivot(phase_gaps(spark, sf), "gap_vs_phase_average"), digits=5)
 
 
-BOOT = 20
+BOOT = 200
 table("boot_games", "phase_rows", "SELECT low, game_id, " + ", ".join(
     f"sum(CASE WHEN phase = '{p}' THEN score_sum ELSE 0 END) AS {p}_s, sum(CASE WHEN phase = '{p}' THEN n_moves ELSE 0 END) AS {p}_n" for p in PH.PHASES) + " FROM phase_rows WHERE split = 'query' GROUP BY 1, 2")
 table("boot_pool", "boot_games", "SELECT *, ROW_NUMBER() OVER (PARTITION BY low ORDER BY md5('pool:' || game_id), game_id) AS draw, count(*) OVER (PARTITION BY low) AS pool FROM boot_games")

@@ -7,7 +7,7 @@ from duelgauge.operators import corpus as C
 from duelgauge.operators import graph as G
 from duelgauge.plans.evaluation_queries import rounded
 from duelgauge.plans.registry import query, table
-from duelgauge.runtime import cut_lineage
+from duelgauge.runtime import cut_lineage, require
 
 LENGTH = 8
 ATTEMPTS = 600
@@ -186,11 +186,11 @@ def _(spark, sf):
     return G.parse_chain_lines(lines)
 
 
-@query("src_09_positional_pool", "games", "SELECT ROW_NUMBER() OVER (ORDER BY game_id) - 1 AS line_no, game_id FROM games WHERE game_id % 5 = 0")
+@query("src_09_positional_pool", "games", "SELECT ROW_NUMBER() OVER (ORDER BY game_id) - 1 AS line_no, game_id FROM games")
 def _(spark, sf):
     from duelgauge.operators import ordered
 
-    used = fx.games(spark, sf).filter(F.col("game_id") % 5 == 0).select("game_id")
+    used = fx.games(spark, sf).select("game_id")
     numbered = ordered.row_numbers(used, [], ["game_id"], F.floor(F.col("game_id") / 65536), "line_no")
     return numbered.select((F.col("line_no") - 1).alias("line_no"), "game_id")
 
@@ -198,4 +198,5 @@ def _(spark, sf):
 @query("jn_20_late_record_lookup", "chain_slots games", "SELECT DISTINCT game_id, white, black, result FROM games WHERE game_id IN (SELECT game_id FROM chain_slots)")
 def _(spark, sf):
     wanted = chain_slots(spark, sf).select("game_id").distinct()
-    return fx.games(spark, sf).join(wanted, "game_id").select("game_id", "white", "black", "result")
+    found = wanted.join(fx.games(spark, sf), "game_id", "left")
+    return require(found, F.col("white").isNotNull(), "a chain names an unknown game").select("game_id", "white", "black", "result")

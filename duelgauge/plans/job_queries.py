@@ -21,10 +21,10 @@ from duelgauge.plans.registry import ORACLES, query, table
 
 
 @query("job_01_prepare_corpus", "classified", """
-SELECT 'split:' || CASE WHEN rn <= 10 THEN 'eval' ELSE 'train' END || ':' || wbin AS item, count(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY wbin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM classified WHERE reason IS NULL) WHERE rn <= 60 GROUP BY 1
+SELECT 'split:' || CASE WHEN rn <= 2200 THEN 'eval' ELSE 'train' END || ':' || wbin AS item, count(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY wbin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM classified WHERE reason IS NULL) GROUP BY 1
 UNION ALL SELECT 'reason:' || reason, count(*) FROM classified WHERE reason IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    made = J.prepare_corpus(with_digest(fx.games(spark, sf)), fx.BINS_200, {"eval": 10, "train": 50}, held_out(spark, sf), "quota")
+    made = J.prepare_corpus(with_digest(fx.games(spark, sf)), fx.BINS_200, {"eval": 2200, "train": None}, held_out(spark, sf), "quota")
     splits = made["splits"].groupBy(F.concat_ws(":", F.lit("split"), "split", F.col("bin").cast("string")).alias("item")).agg(F.count(F.lit(1)).alias("n"))
     return splits.unionByName(made["exclusions"].select(F.concat_ws(":", F.lit("reason"), "reason").alias("item"), "n"))
 

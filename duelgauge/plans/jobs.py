@@ -31,17 +31,19 @@ Model = Callable[[DataFrame], DataFrame]
 
 
 def prepare_corpus(
-    games: DataFrame, bins: C.Bins, quota: dict[str, int], held_out: DataFrame | None = None, seed: str = "corpus"
+    games: DataFrame, bins: C.Bins, quota: dict[str, int | None], held_out: DataFrame | None = None, seed: str = "corpus"
 ) -> dict[str, DataFrame]:
     """Classify, drop held-out games, sample disjoint splits per bin, and report every exclusion.
 
+    A quota of None, for the last split, keeps all that is left; `left_out` counts what finite quotas leave.
     With `held_out`, games carry a `digest` column. Write `splits` with sinks.write_partitioned.
     """
     flagged = games if held_out is None else C.flag_held_out(games, held_out)
     tagged = C.classify(flagged, bins, None if held_out is None else F.col("held_out"))
     kept = tagged.filter("reason IS NULL")
     return {
-        "splits": C.rank_bands(kept, ["bin"], ["game_id"], seed, quota, bins.count),
+        "splits": C.rank_bands(kept, ["bin"], ["game_id"], seed, quota),
+        "left_out": C.left_out(kept, ["bin"], quota),
         "exclusions": C.reason_counts(tagged),
         "bins": C.bin_counts(tagged, bins, next(iter(quota.values()))),
     }
@@ -113,8 +115,8 @@ def evaluate_progressive(examples: DataFrame, move_scores: DataFrame) -> dict[st
 
 
 def player_report(rows: DataFrame, calibration: DataFrame) -> DataFrame:
-    report = K.player_report(rows).filter(F.col("mean_score").isNotNull())
-    return K.with_estimate(report, calibration)
+    """Rating estimate per player; a player whose games were all skipped keeps a row without estimate."""
+    return K.with_estimate(K.player_report(rows), calibration)
 
 
 def evaluate_bins(
@@ -123,7 +125,11 @@ def evaluate_bins(
     """Calibrate on candidates, then test how well groups of query games find their bucket.
 
     The scored entries, the calibration and the trial results are stored once; all reports read them.
+    Candidates and queries must have the same buckets.
     """
+    alone = K.same_buckets(candidates, queries).limit(1).collect()
+    if alone:
+        raise ValueError(f"bucket {alone[0]['low']} is in one of candidates and queries only")
     calibration = cut_lineage(K.bucket_means(candidates))
     entries = cut_lineage(K.side_scores(queries))
     results = cut_lineage(T.run_trials(entries, calibration, per_trial, trials, seed))
@@ -131,7 +137,6 @@ def evaluate_bins(
         "calibration": calibration,
         "line_quality": K.line_quality(calibration),
         "violations": K.order_violations(calibration),
-        "bucket_mismatch": K.same_buckets(candidates, queries),
         "overall": T.overall_summary(results),
         "by_bucket": T.bucket_summary(results),
         "pairwise": T.pairwise_ordering(results),

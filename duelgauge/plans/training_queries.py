@@ -170,9 +170,9 @@ def _(spark, sf):
 
 
 @query("scl_25_expected_value", "", """
-SELECT vec_id, round(list_sum(list_transform(range(10), lambda i: embedding[i + 1]::DOUBLE * (i - 5))), 6) AS value FROM embeddings""")
+SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * (i - 32))), 6) AS value FROM embeddings""")
 def _(spark, sf):
-    return rounded(fx.read(spark, sf, "embeddings").select("vec_id", V.expected_value(F.slice("embedding", 1, 10), 10).alias("value")))
+    return rounded(fx.read(spark, sf, "embeddings").select("vec_id", V.expected_value(F.col("embedding"), 64).alias("value")))
 
 
 @query("scl_01_color_move_count", "games", "SELECT game_id, (plies + 1) // 2 AS white_moves, plies // 2 AS black_moves FROM games")
@@ -299,27 +299,23 @@ def _(spark, sf):
     return TR.ranking_groups(spark, fx.ranked_games(spark, sf), fx.positions(spark, sf), GROUPS, RANKS, P, "rg")
 
 
-table("gap_free", "positions", "SELECT game_id, ply, color FROM positions WHERE game_id % 17 <> 0")
-table("free_len", "gap_free", "SELECT game_id, count(*) AS len FROM gap_free GROUP BY 1")
-table("free_games", "ranked_games", "SELECT rank, game_id, ROW_NUMBER() OVER (PARTITION BY rank ORDER BY md5('pool:' || game_id), game_id) AS draw, count(*) OVER (PARTITION BY rank) AS pool FROM ranked_games WHERE game_id % 17 <> 0")
+table("numbered_positions", "positions", "SELECT game_id, ply, ROW_NUMBER() OVER (PARTITION BY game_id ORDER BY ply) - 1 AS i, count(*) OVER (PARTITION BY game_id) AS len FROM positions")
 
 
-@query("smp_08_independent_positions", "rg_slots free_games free_len", f"""
-SELECT grp, CAST(slot AS INT) AS slot, rank, CAST(nth AS INT) AS nth, game_id, {h('rg-position', 'grp', 'rank', 'nth')} % len AS ply FROM (
- SELECT s.*, n.range AS nth, p.game_id FROM rg_slots s JOIN range({P}) n ON TRUE JOIN free_games p ON p.rank = s.rank AND p.draw = {h('rg-game', 's.grp', 's.rank', 'n.range')} % p.pool + 1) JOIN free_len USING (game_id)""")
+@query("smp_08_independent_positions", "rg_slots rank_pool numbered_positions", f"""
+SELECT grp, CAST(slot AS INT) AS slot, rank, CAST(nth AS INT) AS nth, game_id, ply FROM (
+ SELECT s.*, n.range AS nth, p.game_id FROM rg_slots s JOIN range({P}) n ON TRUE JOIN rank_pool p ON p.rank = s.rank AND p.draw = {h('rg-game', 's.grp', 's.rank', 'n.range')} % p.pool + 1) JOIN numbered_positions USING (game_id) WHERE i = {h('rg-position', 'grp', 'rank', 'nth')} % len""")
 def _(spark, sf):
-    keep = F.col("game_id") % 17 != 0
-    return TR.ranking_groups(spark, fx.ranked_games(spark, sf).filter(keep), fx.positions(spark, sf).filter(keep), GROUPS, RANKS, P, "rg", same_game=False)
+    return TR.ranking_groups(spark, fx.ranked_games(spark, sf), fx.positions(spark, sf), GROUPS, RANKS, P, "rg", same_game=False)
 
 
-@query("smp_12_uniform_positions", "free_games free_len", f"""
-, r AS (SELECT rank, ROW_NUMBER() OVER (ORDER BY rank) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT rank FROM free_games)),
+@query("smp_12_uniform_positions", "rank_pool numbered_positions", f"""
+, r AS (SELECT rank, ROW_NUMBER() OVER (ORDER BY rank) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT rank FROM rank_pool)),
 b AS (SELECT g.range AS grp, r.rank FROM range({GROUPS}) g JOIN r ON r.i = {h('up-rank', 'g.range')} % r.n),
-d AS (SELECT b.grp, b.rank, p.game_id FROM b JOIN free_games p ON p.rank = b.rank AND p.draw = {h('up-game', 'b.grp')} % p.pool + 1)
-SELECT grp, rank, game_id, {h('up-position', 'grp')} % len AS ply FROM d JOIN free_len USING (game_id)""")
+d AS (SELECT b.grp, b.rank, p.game_id FROM b JOIN rank_pool p ON p.rank = b.rank AND p.draw = {h('up-game', 'b.grp')} % p.pool + 1)
+SELECT grp, rank, game_id, ply FROM d JOIN numbered_positions USING (game_id) WHERE i = {h('up-position', 'grp')} % len""")
 def _(spark, sf):
-    keep = F.col("game_id") % 17 != 0
-    return TR.uniform_positions(spark, fx.ranked_games(spark, sf).filter(keep), fx.positions(spark, sf).filter(keep), GROUPS, "up")
+    return TR.uniform_positions(spark, fx.ranked_games(spark, sf), fx.positions(spark, sf), GROUPS, "up")
 
 
 table("slot_positions", "chain_slots positions", """
@@ -331,7 +327,7 @@ table("slot_positions", "chain_slots positions", """
 def _(spark, sf):
     from duelgauge.plans.graph_queries import chain_slots
 
-    return TR.slot_positions(chain_slots(spark, sf), fx.positions(spark, sf), "attempt", "slot").drop("available")
+    return TR.slot_positions(chain_slots(spark, sf), fx.positions(spark, sf), "attempt", "slot").select("attempt", "slot", "game_id", "ply")
 
 
 BATCH, CHAIN_P = 20, 30

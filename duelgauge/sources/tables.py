@@ -55,14 +55,14 @@ def read_metric_reports(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_accuracy_table(spark: SparkSession, path: str, max_games: int = 100) -> DataFrame:
+def read_accuracy_table(spark: SparkSession, path: str, max_games: int | None = None) -> DataFrame:
     """Accuracy table of an evaluator log: (games, rank, accuracy) after the summary marker."""
     lines = with_line_numbers(numbered_lines(spark, path))
     marker = lines.filter(F.col("value").contains("Summarizing accuracy")).groupBy("file").agg(F.min("line_no").alias("_at"))
     after = lines.join(marker, "file").filter(F.col("line_no") > F.col("_at"))
     cells = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
     header = after.filter(F.col("line_no") == F.col("_at") + 1).select("file", cells.alias("ranks"))
-    rows = after.filter(F.get(cells, F.lit(0)).try_cast("int").between(1, max_games) & (F.size(cells) > 2))
+    rows = after.filter(F.get(cells, F.lit(0)).try_cast("int").between(1, max_games or 2**31 - 1) & (F.size(cells) > 2))
     named = rows.select("file", "line_no", "_at", cells.alias("c")).filter(F.col("line_no") > F.col("_at") + 1).join(header, "file")
     return named.select(
         "file", F.get("c", F.lit(0)).cast("bigint").alias("games"), F.posexplode("ranks").alias("i", "rank"), "c"

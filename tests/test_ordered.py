@@ -74,9 +74,43 @@ def test_combined_draws_are_uniform(spark):
     assert abs(drawn["count"] - 5000).max() < 350
 
 
-@pytest.mark.parametrize("max_groups", [41, 10**6])
-def test_hash_first_equals_full_ranks(skewed, max_groups):
+def test_hash_first_equals_full_ranks(skewed):
     df, _ = skewed
-    first = ordered.hash_first(df, ["k"], ["id"], "s", 1500, max_groups).select("id", "rn")
+    first = ordered.hash_first(df, ["k"], ["id"], "s", 1500).select("id", "rn")
     full = ordered.hash_ranks(df, ["k"], ["id"], "s").filter("rn <= 1500").select("id", "rn")
     assert first.exceptAll(full).count() == 0 and full.exceptAll(first).count() == 0
+
+
+def test_bands_keep_all_or_count_what_they_leave(skewed):
+    from duelgauge.operators import corpus
+
+    df, _ = skewed
+    full = ordered.hash_ranks(df, ["k"], ["id"], "b")
+    some, whole = {"eval": 30, "train": 50}, {"eval": 30, "test": 50, "train": None}
+    want = full.selectExpr("id", "CASE WHEN rn <= 30 THEN 'eval' WHEN rn <= 80 THEN 'test' ELSE 'train' END AS split")
+    got = corpus.rank_bands(df, ["k"], ["id"], "b", whole).select("id", "split")
+    assert got.exceptAll(want).count() == 0 and got.count() == df.count()
+    kept = corpus.rank_bands(df, ["k"], ["id"], "b", some)
+    lost = corpus.left_out(df, ["k"], some).agg({"left_out": "sum"}).first()[0]
+    assert kept.count() + lost == df.count() and corpus.left_out(df, ["k"], whole).filter("left_out > 0").count() == 0
+
+
+def test_a_context_game_without_score_fails(spark):
+    from duelgauge.operators import context
+
+    one = "array(named_struct('game_id', 7L, 'target_color', 'white'), named_struct('game_id', 8L, 'target_color', 'black'))"
+    examples = spark.sql(f"SELECT 1L AS game_id, {one} AS white_context, {one} AS black_context")
+    scores = spark.createDataFrame([(7, "white", 1.0), (8, "black", 3.0)], "game_id long, color string, score double")
+    row = context.context_strength(examples, scores).first()
+    assert (row.white_strength, row.black_strength) == (2.0, 2.0)
+    with pytest.raises(Exception, match="no score"):
+        context.context_strength(examples, scores.limit(1)).collect()
+
+
+def test_drawn_positions_exist_in_games_with_gaps(spark):
+    from duelgauge.operators import training
+
+    positions = spark.range(0, 60, 2).selectExpr("1L AS game_id", "id AS ply")  # one side's moves only
+    drawn = spark.range(300).selectExpr("id AS grp", "1L AS game_id")
+    plies = {r.ply for r in training.draw_position(drawn, positions, "s", "grp").collect()}
+    assert plies <= set(range(0, 60, 2)) and len(plies) > 25
