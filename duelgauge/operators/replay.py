@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelgauge.operators import ordered
-from duelgauge.runtime import constant_list, constant_row, shuffle_width
+from duelgauge.runtime import constant_list, constant_row, cut_lineage, shuffle_width
 
 SEGMENT_PLIES = 512
 
@@ -97,18 +97,35 @@ def prioritised(rows: DataFrame, alpha: float) -> DataFrame:
     return rows.withColumn("weight", F.pow(F.col("priority"), F.lit(alpha)))
 
 
+def locate(draws: DataFrame, marks: DataFrame, keys: list[str], value: str, upto: str) -> DataFrame:
+    """Every draw with the first mark of its key whose `upto` lies above the draw's value.
+
+    Draws and marks are laid out together in order, so nothing is paired. A value that rounding put
+    above the last mark takes that mark: no draw is lost. Returns structs `d` and `m`.
+    """
+    mark, draw = F.struct(*marks.columns), F.struct(*draws.columns)
+    both = draws.select(*keys, F.col(value).alias("_v"), F.lit(1).alias("_is_draw"), draw.alias("d")).unionByName(
+        marks.select(*keys, F.col(upto).alias("_v"), F.lit(0).alias("_is_draw"), mark.alias("m")), allowMissingColumns=True
+    )
+    order = W.partitionBy(*keys).orderBy("_v", "_is_draw")
+    ahead = F.first("m", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    behind = F.last("m", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return both.select("d", F.coalesce(ahead, behind).alias("m")).filter("d IS NOT NULL")
+
+
 def weighted_draws(rows: DataFrame, count: int, seed: str, beta: float) -> DataFrame:
     """Draws proportional to `weight`, with the importance weight (N·p)^−β.
 
     Three levels of cumulative weight: 4096 hash blocks (a constant array), the games of a block,
-    the positions of a game. A draw is located level by level with equi-joins, so the buffer is
-    never ordered as a whole.
+    the positions of a game. A draw is located level by level among the marks of its key, so the
+    buffer is never ordered as a whole. The weighted rows are stored once; every level reads them.
     """
     spark = rows.sparkSession
+    rows = cut_lineage(rows.select("game_id", "ply", "weight"))
     placed = rows.withColumn("_gh", ordered.hash_text("replay", "game_id")).withColumn("_block", F.substring("_gh", 1, 3))
     games = placed.groupBy("_block", "_gh", "game_id").agg(F.sum("weight").alias("_w"), F.count(F.lit(1)).alias("_n"))
     in_block = W.partitionBy("_block").orderBy("_gh", "game_id").rowsBetween(W.unboundedPreceding, 0)
-    games = games.withColumn("_upto", F.sum("_w").over(in_block))
+    games = cut_lineage(games.withColumn("_upto", F.sum("_w").over(in_block)))
     blocks = games.groupBy("_block").agg(F.sum("_w").alias("_bw"))
     over = W.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(W.unboundedPreceding, 0)
     blocks = blocks.withColumn("_end", F.sum("_bw").over(over)).withColumn("_start", F.col("_end") - F.col("_bw"))
@@ -125,15 +142,14 @@ def weighted_draws(rows: DataFrame, count: int, seed: str, beta: float) -> DataF
     drawn = drawn.withColumn("_b", block).select(
         "draw", "_t", F.col("_b._block").alias("_block"), (F.col("_u") - F.col("_b._start")).alias("_u")
     )
-    hit = (F.col("_u") < F.col("_upto")) & (F.col("_u") >= F.col("_upto") - F.col("_w"))
-    game = drawn.join(games.drop("_gh", "_n"), "_block").filter(hit).select(
-        "draw", "_t", "game_id", (F.col("_u") - (F.col("_upto") - F.col("_w"))).alias("_u")
-    )
-    steps = ordered.running_totals(
-        rows.select("game_id", "ply", "weight"), ["game_id"], ["ply"], F.floor(F.col("ply") / SEGMENT_PLIES), {"_pos": F.col("weight")}
+    game = cut_lineage(
+        locate(drawn, games.select("_block", "game_id", "_w", "_upto"), ["_block"], "_u", "_upto").select(
+            "d.draw", "d._t", "m.game_id", (F.col("d._u") - (F.col("m._upto") - F.col("m._w"))).alias("_u")
+        )
     )
-    inside = (F.col("_u") < F.col("_pos")) & (F.col("_u") >= F.col("_pos") - F.col("weight"))
-    chance = F.col("weight") / F.col("_t.total")
-    return game.join(steps, "game_id").filter(inside).select(
-        "draw", "game_id", "ply", F.pow(F.col("_t.n") * chance, F.lit(-beta)).alias("loss_scale")
+    used = rows.join(game.select("game_id").distinct(), "game_id", "left_semi")
+    steps = ordered.running_totals(used, ["game_id"], ["ply"], F.floor(F.col("ply") / SEGMENT_PLIES), {"_pos": F.col("weight")})
+    chance = F.col("m.weight") / F.col("d._t.total")
+    return locate(game, steps.select("game_id", "ply", "weight", "_pos"), ["game_id"], "_u", "_pos").select(
+        "d.draw", "d.game_id", "m.ply", F.pow(F.col("d._t.n") * chance, F.lit(-beta)).alias("loss_scale")
     )

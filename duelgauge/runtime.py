@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -16,7 +18,8 @@ MAX_CONSTANT_ROWS = 10_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
-    Only a session without that setting (tests, a laptop) gets a local temporary folder.
+    Only a session without that setting (tests, a laptop) gets a local temporary folder, which is
+    removed when the program ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -25,6 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current.rsplit("/", 1)[0]
     local = tempfile.mkdtemp(prefix="duelgauge-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
@@ -72,16 +76,20 @@ def constant_row(one_row: DataFrame, *columns: str) -> Column:
     return one_row.select(F.struct(*columns).alias("v")).scalar()
 
 
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, sized_by: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a side for broadcast only after counting it; a larger one is left to a shuffle join.
+def row_bytes(df: DataFrame) -> int:
+    """Width of a row as Spark estimates it from the types (strings and binaries at 64 bytes at least)."""
+    wide = {"string": 64, "binary": 256, "array": 256, "map": 256, "struct": 64}
+    return 8 + sum(wide.get(f.dataType.typeName(), 8) for f in df.schema.fields)
 
-    `sized_by` has as many rows as `df` but is cheaper to count, which stops at the limit.
+
+def broadcast_if_small(df: DataFrame, sized_by: DataFrame, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a side for broadcast only where its rows times their width stay below the limit; a larger
+    one is left to a shuffle join. `sized_by` has as many rows as `df` but is cheaper to count.
     """
-    counted = sized_by.select(F.lit(1)).limit(limit + 1).count()
-    return F.broadcast(df) if counted <= limit else df
+    return F.broadcast(df) if sized_by.count() * row_bytes(df) <= limit_bytes else df
 
 
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:

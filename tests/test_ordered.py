@@ -114,3 +114,24 @@ def test_drawn_positions_exist_in_games_with_gaps(spark):
     drawn = spark.range(300).selectExpr("id AS grp", "1L AS game_id")
     plies = {r.ply for r in training.draw_position(drawn, positions, "s", "grp").collect()}
     assert plies <= set(range(0, 60, 2)) and len(plies) > 25
+
+
+def test_both_sides_of_the_broadcast_switch_agree(spark, monkeypatch):
+    from duelgauge import runtime
+    from duelgauge.operators import trials
+
+    entries = spark.range(200).selectExpr("id % 3 AS g", "id AS game_id", "id * 1.5D AS score")
+    drawn = trials.draws(trials.pool_sizes(entries, "g"), "g", (5,), 20, "x")
+    rows = lambda: sorted(map(tuple, trials.join_pool(drawn, entries, "g", ["game_id"]).collect()))
+    small = rows()
+    monkeypatch.setattr(trials, "broadcast_if_small", lambda df, sized_by: runtime.broadcast_if_small(df, sized_by, 10))
+    assert rows() == small
+
+
+def test_no_weighted_draw_is_lost(spark):
+    from duelgauge.operators import replay
+
+    rows = spark.range(900).selectExpr("id % 7 AS game_id", "id AS ply", "0.1D + (id % 11) / 3.0D AS weight")
+    drawn = replay.weighted_draws(rows, 3000, "w", 0.4)
+    assert drawn.count() == 3000 and drawn.select("draw").distinct().count() == 3000
+    assert drawn.filter("ply % 7 <> game_id").count() == 0
