@@ -44,11 +44,13 @@ def bag_summary(original: DataFrame, legacy: DataFrame, key: str = "key") -> Dat
 def first_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per line of two aligned corpora: the first ply that differs, with `<end>` past the shorter game.
 
-    Inputs are (line_no, ply, move); identical games give a NULL ply.
+    Inputs are (line_no, ply, move); identical games give a NULL ply. Both corpora are shuffled once,
+    by line; the groups by ply lie within that layout.
     """
-    a = old.select("line_no", "ply", F.col("move").alias("old"))
-    b = new.select("line_no", "ply", F.col("move").alias("new"))
-    merged = a.join(b, ["line_no", "ply"], "full_outer")
+    a = old.select("line_no", "ply", F.col("move").alias("old"), F.lit(None).cast("string").alias("new"))
+    b = new.select("line_no", "ply", F.lit(None).cast("string").alias("old"), F.col("move").alias("new"))
+    together = a.unionByName(b).repartition("line_no")
+    merged = together.groupBy("line_no", "ply").agg(F.max("old").alias("old"), F.max("new").alias("new"))
     differs = ~F.col("old").eqNullSafe(F.col("new"))
     at = F.when(differs, F.col("ply"))
     pair = F.struct(F.coalesce("old", F.lit("<end>")).alias("old"), F.coalesce("new", F.lit("<end>")).alias("new"))

@@ -126,8 +126,9 @@ def pick_training_games(chains: DataFrame, pool: DataFrame, seed: str) -> DataFr
 
 
 def keep_first(chains: DataFrame, max_chains: int) -> DataFrame:
-    """The first accepted chains in attempt order."""
-    return chains.orderBy("attempt").limit(max_chains)
+    """The first accepted chains in attempt order, by their number within blocks of attempts."""
+    numbered = ordered.row_numbers(chains, [], ["attempt"], F.floor(F.col("attempt") / 4096), "_nth")
+    return numbered.filter(F.col("_nth") <= max_chains).drop("_nth")
 
 
 def chain_slots(chains: DataFrame) -> DataFrame:
