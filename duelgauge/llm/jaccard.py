@@ -12,10 +12,10 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Two
    the two first common ones in both. A heavy set gives its first m - o + 1 shingles as entries of
    inverted lists, and so do the light sets that are large enough for a heavy partner. The size up to
    which sets are light is the one with the least cost, subsets against the lengths of the lists.
-5. Links. Every class is compared with the first class of its size that shares most keys with it; this
-   joins groups of near copies without forming their pairs. Then exactly those keys whose classes
-   still lie in several components give all their pairs across components, in cells of bounded size, and
-   these pairs are compared. Every link joins two classes that are in one component or become so.
+5. Links. Every class is compared with the centre of its size that shares most keys with it; this joins
+   groups of near copies without forming their pairs. Then exactly those keys whose classes still lie in
+   several components give all their pairs across components, in cells of bounded size, and these pairs
+   are compared. Every link joins two classes that are in one component or become so.
 
 Comparisons are exact on the full sets. Blocks, lists and cells that Python holds are bounded; what has
 to meet is shuffled by shingle, class or key.
@@ -43,7 +43,8 @@ WORDS = 5
 PERCENT = 80
 BLOCK_BYTES = 6 << 20
 SHARD_SHINGLES = 1_000_000
-CELL_ROWS = 512
+CELL_ROWS = 2_048
+PAIR_ROWS = 128
 FILTER_WORDS = 1 << 17  # 64-bit words of the filter of doc_ids: one megabyte, whatever the data
 REMEMBERED = 200_000
 SETS = "doc_id long, class long, n_shingles long"
@@ -296,14 +297,17 @@ def light_limit(rows: DataFrame) -> int:
 
 
 def keys(rows: DataFrame, limit: int) -> DataFrame:
-    """key, class, n, rest: subsets and list entries; rest bounds the overlap of partners that meet here first."""
+    """key, class, n, own, rest: subsets and list entries.
+
+    own: shingles that no other class has; rest bounds the overlap of partners that meet here first.
+    """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
 
-            def add(key: np.ndarray, c: int, n: int, rest: np.ndarray) -> None:
-                for column, values in zip(out, (key, np.full(len(key), c), np.full(len(key), n), rest)):
+            def add(key: np.ndarray, c: int, n: int, own: int, rest: np.ndarray) -> None:
+                for column, values in zip(out, (key, np.full(len(key), c), np.full(len(key), n), np.full(len(key), own), rest)):
                     column.append(values.astype(np.int64))
 
             for c, n, raw in zip(*[batch.column(k).to_pylist() for k in ("class", "n", "tokens")]):
@@ -312,13 +316,13 @@ def keys(rows: DataFrame, limit: int) -> DataFrame:
                 if n <= limit:
                     head = t[: first + 1]
                     a, b = np.triu_indices(len(head), 1)
-                    add(mixed(mixed(head[a]) + head[b]).view(np.int64), c, n, len(t) - a)
+                    add(mixed(mixed(head[a]) + head[b]).view(np.int64), c, n, n - len(t), len(t) - a)
                 if n > limit or needed(limit + 1) <= n:
-                    add(mixed(t[:first] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), c, n, len(t) - np.arange(first))
+                    add(mixed(t[:first] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), c, n, n - len(t), len(t) - np.arange(first))
             arrays = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in out]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "class", "n", "rest"])
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "class", "n", "own", "rest"])
 
-    made = rows.select("class", "n", "tokens").mapInArrow(emit, "key long, class long, n long, rest long")
+    made = rows.select("class", "n", "tokens").mapInArrow(emit, "key long, class long, n long, own long, rest long")
     counts = made.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     return cut_lineage(made.join(counts, "key"))
 
@@ -342,13 +346,18 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return cut_lineage(pairs.join(left, "a").join(right, "b").mapInArrow(compare, "a long, b long"))
 
 
-def first_pairs(keyed: DataFrame) -> DataFrame:
-    """One pair per class: with the smallest class of its size band that shares most keys with it."""
+def centre_pairs(keyed: DataFrame) -> DataFrame:
+    """One pair per class: with the centre that shares most keys with it.
+
+    The centre of the classes of one size band at a key is the one with the fewest shingles of its own,
+    as the text that others were copied from has; all pairs lead to a smaller (own, class).
+    """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
-    banded = keyed.select("key", "class", band.alias("band"))
-    centre = banded.groupBy("key", "band").agg(F.min("class").alias("centre"))
+    banded = keyed.select("key", "class", "own", band.alias("band"))
+    least = F.min(F.struct("own", "class"))["class"]
+    centre = banded.groupBy("key", "band").agg(least.alias("centre"), F.count(F.lit(1)).alias("met")).filter("met > 1").drop("met")
     met = banded.join(centre, ["key", "band"]).filter("class <> centre").groupBy("class", "centre").agg(F.count(F.lit(1)).alias("keys"))
-    return met.groupBy("class").agg(F.max_by("centre", F.struct("keys", "centre")).alias("b")).withColumnRenamed("class", "a")
+    return met.groupBy(F.col("class").alias("a")).agg(F.max_by("centre", F.struct("keys", "centre")).alias("b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -376,7 +385,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def forest_components(pairs: DataFrame) -> DataFrame:
-    """Components where every class has one pair at most, with a smaller class: pointers jump to the root."""
+    """Components where every class has one pair at most and no pairs form a circle: pointers jump to the root."""
     parents = cut_lineage(pairs.select(F.col("a").alias("class"), F.col("b").alias("component")))
     while True:
         above = parents.select(F.col("class").alias("component"), F.col("component").alias("up"))
@@ -399,23 +408,29 @@ def open_pairs(keyed: DataFrame, comps: DataFrame, width: int) -> DataFrame:
     several = spread.filter("lowest <> highest").select("key")
     members = placed.join(several, "key")
     cells = F.ceil(F.col("members") / CELL_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")
-    dealt = members.withColumn("cells", cells).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "class", "n", "rest", "component")
+    mine = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")
+    dealt = members.withColumn("cells", cells).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "class", "n", "rest", "component")
     dealt = dealt.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y")
 
     def pairs_of(g: dict[str, np.ndarray], a: int, b: int) -> np.ndarray:
-        one, two = np.triu_indices(b - a, 1)
-        one, two = one + a, two + a
-        n1, n2 = g["n"][one], g["n"][two]
-        least = np.ceil(PERCENT * (n1 + n2) / (100 + PERCENT) - 1e-9)
-        good = (g["component"][one] != g["component"][two]) & (np.minimum(g["rest"][one], g["rest"][two]) >= least)
-        good &= (g["x"][one] == g["y"][one]) | (g["own"][one] != g["own"][two])  # a cell of two blocks pairs across
-        one, two = g["class"][one[good]], g["class"][two[good]]
-        return np.stack([np.maximum(one, two), np.minimum(one, two)], 1)
+        """Open pairs of one cell, a few rows against all later ones at a time."""
+        c = {k: v[a:b] for k, v in g.items()}
+        found = []
+        for start in range(0, b - a - 1, PAIR_ROWS):
+            i, j = np.arange(start, min(start + PAIR_ROWS, b - a))[:, None], np.arange(start, b - a)[None, :]
+            open_ = (j > i) & (c["component"][i] != c["component"][j])
+            if c["x"][0] != c["y"][0]:  # a cell of two blocks pairs across
+                open_ &= c["mine"][i] != c["mine"][j]
+            one, two = (start + at for at in np.nonzero(open_))
+            least = np.ceil(PERCENT * (c["n"][one] + c["n"][two]) / (100 + PERCENT) - 1e-9)
+            good = np.minimum(c["rest"][one], c["rest"][two]) >= least
+            one, two = c["class"][one[good]], c["class"][two[good]]
+            found.append(np.stack([np.maximum(one, two), np.minimum(one, two)], 1))
+        return np.concatenate(found)
 
     def pair_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["key", "x", "y", "own", "class", "n", "rest", "component"], None
+        names, held = ["key", "x", "y", "mine", "class", "n", "rest", "component"], None
 
         def close(g: dict[str, np.ndarray], last: bool) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
             size = len(g["key"])
@@ -438,21 +453,22 @@ def open_pairs(keyed: DataFrame, comps: DataFrame, width: int) -> DataFrame:
     return cut_lineage(dealt.mapInArrow(pair_up, "a long, b long").distinct())
 
 
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links between classes."""
+    left = with_component(links.select(F.col("a").alias("class"), "b"), comps).select(F.col("component").alias("a"), F.col("b").alias("class"))
+    above = components(with_component(left, comps).select("a", F.col("component").alias("b")))
+    above = above.select(F.col("class").alias("component"), F.col("component").alias("top"))
+    known = comps.unionByName(above.select(F.col("component").alias("class"), "component").join(comps, "class", "left_anti"))
+    return cut_lineage(known.join(above, "component", "left").select("class", F.coalesce("top", "component").alias("component")))
+
+
 def class_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """class and component of all classes that link with another one."""
     spark = docs.sparkSession
     rows = ordered(spark, sets_of(docs, screened(docs, sets)))
     keyed = keys(rows, light_limit(rows))
-    first = linked(first_pairs(keyed), rows)
-    comps = forest_components(first)
-    later = linked(open_pairs(keyed, comps, shuffle_width(spark)), rows)
-    # Two classes that link now stand for their components.
-    merged = with_component(later.select(F.col("a").alias("class"), "b"), comps).select(F.col("component").alias("a"), F.col("b").alias("class"))
-    merged = with_component(merged, comps).select("a", F.col("component").alias("b"))
-    above = components(merged).select(F.col("class").alias("component"), F.col("component").alias("top"))
-    singles = rows.select("class").join(comps, "class", "left_anti").withColumn("component", F.col("class"))
-    placed = comps.unionByName(singles).join(above, "component", "left")
-    return cut_lineage(placed.select("class", F.coalesce("top", "component").alias("component")))
+    comps = forest_components(linked(centre_pairs(keyed), rows))
+    return merged(comps, linked(open_pairs(keyed, comps, shuffle_width(spark)), rows))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
