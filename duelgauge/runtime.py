@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its URI names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def stored_tables(spark: SparkSession) -> Iterator[None]:
+    """Scope of the tables that operators store on the way: they are deleted when it ends.
+
+    Write or collect the results inside; DataFrames made in the scope cannot be read after it.
+    """
+    begin = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in _WRITTEN[begin:]:
+            delete_path(spark, path)
+        del _WRITTEN[begin:]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from duelgauge.functions import rating as R
 from duelgauge.operators import progressive as G
 from duelgauge.operators.predict import with_prediction
 from duelgauge.operators.selfplay import current_model_only, iteration_stats
+from duelgauge.runtime import delete_path
 
 RECORD = r"^SelfPlay (true|false) (\d+) (\d+) (-?\d+(?:\.\d+)?) (\S+) #$"
 
@@ -31,11 +32,41 @@ def parse_selfplay(lines: DataFrame) -> DataFrame:
     )
 
 
-def _run_updates(changed: DataFrame, out: str, checkpoint: str) -> None:
-    """Run all available input, appending every batch's changed rows with the batch number."""
+COMPACT_EVERY = 16
+
+
+def _folders(spark: SparkSession, out: str) -> list[tuple[str, int]]:
+    """(kind, number) of the folders in use: the newest base and the batches after it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    found = sorted((k, int(n)) for k, n in (x.split("=") for x in names if "=" in x))
+    base = max((n for k, n in found if k == "base"), default=-1)
+    return [(k, n) for k, n in found if (k == "base" and n == base) or (k == "batch" and n > base)]
+
+
+def _newest(spark: SparkSession, out: str, keys: tuple[str, ...]) -> DataFrame:
+    rows = spark.read.parquet(*[f"{out}/{k}={n}" for k, n in _folders(spark, out)])
+    values = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
+
+
+def _run_updates(changed: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...], enrich=lambda rows: rows) -> None:
+    """Run all available input; every batch's changed rows are enriched and written inside the batch.
+
+    Every COMPACT_EVERY batches the newest row per key becomes the base and older folders go, so what
+    is kept is bounded by the keys and a few batches. Repeating a batch overwrites its own folder.
+    """
+    spark = changed.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        enrich(batch).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            old = _folders(spark, out)
+            _newest(spark, out, keys).write.mode("overwrite").parquet(f"{out}/base={number}")
+            for kind, n in old:
+                if (kind, n) != ("base", number):
+                    delete_path(spark, f"{out}/{kind}={n}")
 
     query = (
         changed.writeStream.outputMode("update")
@@ -48,10 +79,8 @@ def _run_updates(changed: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def latest(spark: SparkSession, out: str, *keys: str) -> DataFrame:
-    """Newest version of every key among the update rows."""
-    rows = spark.read.parquet(out).drop("batch")
-    values = [c for c in rows.columns if c not in keys and c != "_batch"]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
+    """Newest version of every key."""
+    return _newest(spark, out, keys).drop("_batch")
 
 
 def selfplay_intake(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> DataFrame:
@@ -63,7 +92,7 @@ def selfplay_intake(spark: SparkSession, source: str, out: str, checkpoint: str,
         .select("value", F.regexp_extract("_metadata.file_path", r"iteration=(\d+)/", 1).cast("bigint").alias("iteration"))
     )
     stats = iteration_stats(current_model_only(parse_selfplay(lines)))
-    _run_updates(stats, out, checkpoint)
+    _run_updates(stats, out, checkpoint, ("iteration",))
     return latest(spark, out, "iteration")
 
 
@@ -76,7 +105,10 @@ def live_predictions(
     checkpoint: str,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Blend arriving move scores with each game's context. Only moves seen so far count."""
+    """Blend arriving move scores with each game's context. Only moves seen so far count.
+
+    Every batch emits the predictions of the games that it changed.
+    """
     moves = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     mine = lambda c, v: F.sum(F.when(F.col("color") == c, v).otherwise(F.lit(0)))
     seen = moves.groupBy("game_id").agg(
@@ -85,12 +117,16 @@ def live_predictions(
         mine("black", F.col("score")).alias("bs"),
         mine("black", F.lit(1)).alias("black_seen"),
     )
-    _run_updates(seen, out, checkpoint)
-    state = latest(spark, out, "game_id").join(examples, "game_id")
-    for side, total in (("white", "ws"), ("black", "bs")):
-        held = F.col(f"{side}_context_games") * G.CONTEXT_MOVES
-        live = F.col(f"{side}_seen") * G.LIVE_WEIGHT
-        blended = (held * F.col(f"{side}_context_strength") + G.LIVE_WEIGHT * F.col(total)) / (held + live)
-        state = state.withColumn(f"{side}_estimated_elo", R.score_to_elo(blended))
-    rated = with_prediction(state, R.elo_to_probs(F.col("white_estimated_elo"), F.col("black_estimated_elo")))
-    return rated.withColumn("observed_plies", F.col("white_seen") + F.col("black_seen"))
+
+    def predict(changed: DataFrame) -> DataFrame:
+        state = changed.join(examples, "game_id")
+        for side, total in (("white", "ws"), ("black", "bs")):
+            held = F.col(f"{side}_context_games") * G.CONTEXT_MOVES
+            live = F.col(f"{side}_seen") * G.LIVE_WEIGHT
+            blended = (held * F.col(f"{side}_context_strength") + G.LIVE_WEIGHT * F.col(total)) / (held + live)
+            state = state.withColumn(f"{side}_estimated_elo", R.score_to_elo(blended))
+        rated = with_prediction(state, R.elo_to_probs(F.col("white_estimated_elo"), F.col("black_estimated_elo")))
+        return rated.withColumn("observed_plies", F.col("white_seen") + F.col("black_seen"))
+
+    _run_updates(seen, out, checkpoint, ("game_id",), predict)
+    return latest(spark, out, "game_id")

@@ -174,3 +174,32 @@ def test_prepare_corpus_splits_are_disjoint(spark):
     made = J.prepare_corpus(games, C.Bins(1000, 1400, 200), {"eval": 30, "train": 100})
     assert {r.split: r["count"] for r in made["splits"].groupBy("split").count().collect()} == {"eval": 30, "train": 100}
     assert made["splits"].select("game_id").distinct().count() == 130
+
+
+def test_stored_tables_go_with_their_scope(spark):
+    import os
+
+    from duelgauge import runtime
+
+    with runtime.stored_tables(spark):
+        before = set(os.listdir(runtime.shared_dir(spark).removeprefix("file:")))
+        assert runtime.cut_lineage(spark.range(5)).count() == 5
+        during = set(os.listdir(runtime.shared_dir(spark).removeprefix("file:")))
+    after = set(os.listdir(runtime.shared_dir(spark).removeprefix("file:")))
+    assert len(during - before) == 1 and not (during - before) & after
+
+
+def test_stream_state_is_compacted(spark, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    from duelgauge.streaming import streams
+
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 3)
+    source = f"{tmp_path}/in"
+    for k in range(7):
+        spark.createDataFrame([(k % 2, k)], "key long, v long").coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema("key long, v long").option("maxFilesPerTrigger", 1).parquet(source)
+    changed = rows.groupBy("key").agg(F.sum("v").alias("total"))
+    streams._run_updates(changed, f"{tmp_path}/out", f"{tmp_path}/check", ("key",))
+    assert sorted(map(tuple, streams.latest(spark, f"{tmp_path}/out", "key").collect())) == [(0, 12), (1, 9)]
+    assert len(streams._folders(spark, f"{tmp_path}/out")) <= 3
