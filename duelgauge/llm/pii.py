@@ -7,12 +7,14 @@ numbers without a country code. Overlapping windows are decoded one by one; a ch
 tag of the window in which it lies furthest from an edge, and spans are read from the joined tags of the
 whole text. Added spans need a high posterior probability and never touch a base span.
 
-The model is trained in numpy from labelled spans: the base spans of at most `sample` documents that hold
-a digit or @ (the first in hash order of text), as they are and with the changes of `varied`.
+The model is trained in numpy from labelled spans: the base spans of at most `sample` of all texts that
+hold some, as they are and with the changes of `varied`. Texts are the first in hash order for each kind,
+kinds with few of them leaving their share to the others; a quarter of `sample` more hold a digit or @ but no
+span. At most WINDOWS windows are learnt: one in BARE holds no span, the others are shared out by kind.
 
 Defined cases: a null or empty text has no spans; texts are read whole, however long; equal windows are
 computed once per batch; repeated rows are rows of their own; other columns are not read; if no
-document of the sample holds a base span, the base alone is returned.
+document at all holds a base span, the base alone is returned.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duelgauge.llm.common import ship
+from duelgauge.runtime import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the four kinds.
@@ -45,6 +48,7 @@ SYMBOLS = 128 + 3
 EMBED, HIDDEN = 12, 16
 SAMPLE = 800
 WINDOWS = 2_500
+BARE = 5
 STEPS = 450
 BATCH = 96
 SURE = 0.95
@@ -382,34 +386,91 @@ def joined(base: list[Span], found: list[Span]) -> list[Span]:
     return sorted([*base, *extra])
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Weights | None:
-    """Fit on base spans of a bounded sample of documents; only the weights come to the driver."""
+def shares(counts: list[int], total: int) -> list[int]:
+    """Equal shares of a total, none above its count; what one does not need goes to the others."""
+    out = [0] * len(counts)
+    for done, k in enumerate(sorted(range(len(counts)), key=lambda k: counts[k])):
+        out[k] = min(counts[k], (total - sum(out)) // (len(counts) - done))
+    return out
+
+
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Distinct texts to learn from, drawn by hash order from all texts with base spans of each kind, and from those without."""
     ship(__name__)
+    limits = [sample] * len(KINDS) + [sample // 4]
+
+    def pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first texts of each kind in this task: no more can be among the first of all."""
+        held: list[dict[str, int]] = [{} for _ in limits]
+        last: list[tuple[int, str] | None] = [None] * len(limits)
+
+        def cut(k: int) -> None:
+            first = sorted((h, t) for t, h in held[k].items())[: limits[k]]
+            held[k] = {t: h for h, t in first}
+            last[k] = first[-1] if first and len(first) == limits[k] else None
+
+        for batch in batches:
+            for text, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist()):
+                for k in {kind for _, kind, _ in base_spans(text)} or {len(KINDS)}:
+                    if last[k] is None or (h, text) < last[k]:
+                        held[k][text] = h
+                        if len(held[k]) > 2 * limits[k]:
+                            cut(k)
+        for k in range(len(limits)):
+            cut(k)
+            texts = list(held[k])
+            for at in range(0, len(texts), 200):
+                part = texts[at : at + 200]
+                yield pa.RecordBatch.from_pydict(
+                    {"kind": pa.array([k] * len(part), pa.int32()), "h": pa.array([held[k][t] for t in part], pa.int64()), "text": pa.array(part, pa.string())}
+                )
+
+    some = docs.select("text", F.xxhash64("text").alias("h")).filter(F.col("text").rlike("[0-9@]"))
+    first = cut_lineage(some.mapInArrow(pick, "kind int, h long, text string"))
+    texts = [first.filter(F.col("kind") == k).select("h", "text").distinct().orderBy("h", "text").limit(n) for k, n in enumerate(limits)]
+    counts = {r["kind"]: r["n"] for r in first.groupBy("kind").agg(F.count_distinct("text").alias("n")).collect()}  # five rows
+    quota = shares([min(counts.get(k, 0), sample) for k in range(len(KINDS))], sample)
+    out = texts[-1]
+    for k, n in enumerate(quota):
+        out = out.unionByName(texts[k].limit(n))
+    return out.select("text").distinct()
+
+
+def to_learn(texts: DataFrame) -> DataFrame:
+    """Labelled windows: text, tags and kind (-1: no span)."""
 
     def label(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks, held = [], [], []
+            cuts, marks, kinds = [], [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
                 for t, s in [(text, spans)] + ([varied(text, spans)] if spans else []):
                     for a, b in windows(t):
-                        texts.append(t[a:b])
+                        cuts.append(t[a:b])
                         marks.append(tags_of(s, a, b).astype(np.int8).tobytes())
-                        held.append(any(s[2] > a and s[0] < b for s in s))
-            yield pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string()), "tags": pa.array(marks, pa.binary()), "held": pa.array(held, pa.bool_())})
+                        kinds.append(next((kind for start, kind, end in s if end > a and start < b), -1))
+            yield pa.RecordBatch.from_pydict({"text": pa.array(cuts, pa.string()), "tags": pa.array(marks, pa.binary()), "kind": pa.array(kinds, pa.int32())})
+
+    cut = texts.mapInArrow(label, "text string, tags binary, kind int").distinct().withColumn("h", F.xxhash64("text"))
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "text", "tags"))
+    ranked = cut.withColumn("rank", rank).filter(F.when(F.col("kind") < 0, F.col("rank") <= WINDOWS // BARE).otherwise(F.col("rank") <= WINDOWS))
+    held = ranked.filter("kind >= 0").orderBy("rank", "h", "text", "tags").limit(WINDOWS - WINDOWS // BARE)
+    return held.unionByName(ranked.filter("kind < 0")).select("text", "tags", "kind")
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Weights | None:
+    """Fit on base spans of a bounded sample of documents; only the weights come to the driver."""
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [row for batch in batches for row in batch.to_pylist()]
-        if any(row["held"] for row in found):
+        found = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda row: (row["text"], row["tags"]))
+        if any(row["kind"] >= 0 for row in found):
             marks = np.array([np.frombuffer(row["tags"], np.int8) for row in found], np.int64)
             w = fit(symbols([row["text"] for row in found]), marks)
             raw = pa.array([v.astype("<f4").tobytes() for v in w.values()], pa.binary())
             yield pa.RecordBatch.from_pydict({"name": list(w), "raw": raw})
 
-    some = docs.select("text").filter(F.col("text").rlike("[0-9@]")).distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
-    cut = some.mapInArrow(label, "text string, tags binary, held boolean").distinct()
     # One task trains: its input is bounded, and workers run single-threaded linear algebra.
-    few = cut.orderBy(F.desc("held"), F.xxhash64("text"), "text", "tags").limit(WINDOWS).coalesce(1)
+    few = to_learn(cut_lineage(sampled(docs, sample))).coalesce(1)
     learned = few.mapInArrow(learn, "name string, raw binary").collect()
     shapes = {k: v.shape for k, v in new_weights(0).items()}
     return {r["name"]: np.frombuffer(r["raw"], "<f4").reshape(shapes[r["name"]]) for r in learned} or None

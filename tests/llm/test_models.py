@@ -127,3 +127,31 @@ def test_personal_data_end_to_end(spark):
     sample = [t for t in rows if P.base_spans(t)]
     hits = sum(set(P.base_spans(t)) == set(f) for t, f in zip(sample, P.model_spans(weights, sample)))
     assert hits > 0.7 * len(sample)
+
+
+def test_rare_spans_are_learnt(spark):
+    """One text in 100 holds a span; the others hold dates and prices."""
+    rows = [(f"on 2024-{1 + k % 12:02d}-{1 + k % 28:02d} item {k} cost {k % 97}.50 and was sold",) for k in range(8_000)]
+    rows += [(f"please write to name{k}@mail{k % 7}.example.com about it",) for k in range(40)]
+    rows += [(f"call +1 ({200 + k}) 555-{1000 + 7 * k} about it {k}",) for k in range(40)]
+    docs = spark.createDataFrame(rows, "text string").repartition(5)
+    texts = {r.text for r in P.sampled(docs).collect()}
+    assert {t for t, in rows if P.base_spans(t)} <= texts and len(texts) == 80 + P.SAMPLE // 4
+    assert {r.text for r in P.sampled(docs.repartition(2), 20).collect()} == {r.text for r in P.sampled(docs, 20).collect()}
+    marks = [r.kind for r in P.to_learn(P.sampled(docs)).collect()]
+    assert marks.count(-1) > 100 and marks.count(0) >= 40 and marks.count(3) >= 40
+    extra = [f"call ({300 + k}) 555-{2000 + 7 * k} about it {k}" for k in range(30)]  # no country code
+    found = P.model_spans(P.train(docs), extra)
+    assert sum([(5, 3, 19)] == f for f in found) >= 15
+    dates = P.model_spans(P.train(docs), [t for t, in rows[:200]])
+    assert sum(map(bool, dates)) <= 5
+
+
+def test_windows_without_spans_have_their_share(spark):
+    rows = [(f"{k} me{k}@mail.example.com" + " filler words here" * 9 + f" item {k}",) for k in range(1_500)]
+    marks = [r.kind for r in P.to_learn(P.sampled(spark.createDataFrame(rows, "text string"), 1_500)).collect()]
+    assert marks.count(-1) == P.WINDOWS // P.BARE and len(marks) <= P.WINDOWS
+
+
+def test_shares():
+    assert P.shares([5, 0, 900, 900], 800) == [5, 0, 397, 398] and P.shares([1, 2, 3, 4], 800) == [1, 2, 3, 4] and P.shares([9] * 4, 20) == [5] * 4
