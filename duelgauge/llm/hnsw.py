@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: one navigable small-world graph with layers per shard.
 
-Every usable row is in exactly one shard, dealt by hash, of at most about SHARD_ROWS rows. A shard's graph is
+Equal vectors are one node, which carries the k + 1 smallest of their vec_ids: no query can be given more of
+them, its own left out. Every node is in exactly one shard, dealt by hash, of at most about SHARD_ROWS. A shard's graph is
 stored as flat arrays: per layer the node numbers and a matrix of neighbour numbers (-1: none). Layers are
 built from the top down; a layer's nodes are inserted in batches: the layers above give the entry, a beam
 search in the layer built so far gives candidates, and a node is linked to those that are closer to it
@@ -23,7 +24,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from duelgauge.llm import vectors as V
 from duelgauge.llm.common import ship
@@ -216,24 +218,33 @@ def unflat(raw: bytes, n: int) -> list[Layer]:
     return layers
 
 
-def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One stored row per shard: ids, vectors and graph."""
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """One row per vector: its smallest vec_id, and its k + 1 smallest (each task keeps no more of a vector)."""
+    order = Window.partitionBy("vector").orderBy("vec_id")
+    first = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    one = first.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.sort_array(F.collect_list("vec_id")).alias("copies"))
+    return cut_lineage(one.withColumn("dim", F.size("vector")))
+
+
+def build_index(nodes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One stored row per shard: ids of all nodes, vectors, and number of ids of each node before the graph."""
     ship(__name__)
     ship("duelgauge.llm.vectors")
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vec_id")
         x, first = V.matrix(frame["vector"]), frame.iloc[0]
-        row = {"dim": int(first["dim"]), "block": int(first["block"]), "ids": frame["vec_id"].to_numpy(np.int64).tobytes()}
-        return pd.DataFrame([row | {"vectors": x.tobytes(), "extra": flat(build_graph(x))}])
+        row = {"dim": int(first["dim"]), "block": int(first["block"]), "ids": np.concatenate(list(frame["copies"])).astype(np.int64).tobytes()}
+        counts = np.array([len(c) for c in frame["copies"]], np.int32)
+        return pd.DataFrame([row | {"vectors": x.tobytes(), "extra": counts.tobytes() + flat(build_graph(x))}])
 
-    return V.packed(rows, shard_rows, build)
+    return V.packed(nodes, shard_rows, build)
 
 
 def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest found for each query row, its own row left out."""
     rows = cut_lineage(V.usable(embeddings, nonzero=True))
-    index = build_index(rows)
+    index = build_index(distinct_vectors(rows, k))
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame, first = frame.sort_values("vec_id"), frame.iloc[0]
@@ -248,17 +259,22 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20, beam: int = SE
             for cell in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 ids, q_ids = (np.frombuffer(cell[c], np.int64) for c in ("ids", "query_ids"))
                 x, q = (np.frombuffer(cell[c]).reshape(-1, cell["dim"]) for c in ("vectors", "queries"))
-                layers = unflat(cell["extra"], len(x))
+                counts = np.frombuffer(cell["extra"], np.int32, len(x))
+                start = np.cumsum(counts) - counts
+                layers = unflat(cell["extra"][counts.nbytes :], len(x))
                 of, got, score = [], [], []
                 for at in range(0, len(q), BATCH):
                     found = search_graph(x, layers, q[at : at + BATCH], beam)
                     for i, nodes in enumerate(found):
                         nodes = nodes[nodes >= 0]
-                        nodes = nodes[ids[nodes] != q_ids[at + i]]
-                        products = x[nodes] @ q[at + i]
-                        keep = V.top(ids[nodes], products, k)
+                        n = counts[nodes]
+                        copy = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        named = ids[np.repeat(start[nodes], n) + copy]
+                        products = np.repeat(x[nodes] @ q[at + i], n)
+                        named, products = named[named != q_ids[at + i]], products[named != q_ids[at + i]]
+                        keep = V.top(named, products, k)
                         of.append(np.full(len(keep), q_ids[at + i]))
-                        got.append(ids[nodes][keep])
+                        got.append(named[keep])
                         score.append(products[keep])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (of, got, score)], schema=schema)
 

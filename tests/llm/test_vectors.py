@@ -109,3 +109,15 @@ def test_recall_on_the_driver_table(spark):
 def test_one_vector_per_id(spark):
     df = frame(spark, [(1, [2.0]), (1, [1.0]), (2, [5.0])])
     assert {r.vec_id: r.vector for r in V.usable(df).collect()} == {1: [1.0], 2: [5.0]}
+
+
+def test_graph_search_with_a_third_of_equal_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-64, 65, (1_500, 16)) / 64
+    x[rng.permutation(1_500)[:500]] = x[0]
+    rows = {i: v.tolist() for i, v in enumerate(x)}
+    got = listed(hnsw.nearest(frame(spark, rows.items()), F.col("vec_id") % 20 == 0))
+    want = brute(rows, 20, 20)
+    assert len(got) == len(want) and len(set(g[:3] for g in got) & set(w[:3] for w in want)) >= 0.9 * len(want)
+    alike = {q for q in rows if rows[q] == rows[0]}
+    assert [g for g in got if g[0] in alike] == [w for w in want if w[0] in alike]
