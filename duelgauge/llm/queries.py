@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgauge.llm import hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, topk
+from duelgauge.llm import conversations, hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, topk
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -56,6 +56,10 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_personal_data": op9_personal_data,
     "op10_pareto_mix": op10_pareto_mix,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 LINE_DEDUP_SQL = """
@@ -123,7 +128,56 @@ SELECT d.doc_id, coalesce(string_agg(DISTINCT s.name, ',' ORDER BY s.name), '')
        coalesce(max(CAST(s.score AS DOUBLE)), 0.0) AS best_score
 FROM docs d LEFT JOIN scored s USING (r) GROUP BY d.r, d.doc_id"""
 
+# CRC-32 bit by bit; then a walk over all rows of every conversation at once, which keeps the cheapest edits and the
+# ASCII-least audit for each state of the automaton. `ways` holds what one row can do, inserts before it included.
+CONVERSATION_SQL = r"""
+WITH RECURSIVE
+keyed AS (
+ SELECT row_number() OVER () AS r, conv_id, coalesce('=' || CAST(conv_id AS VARCHAR), 'null') AS g, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (
+ SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda c: list_prepend(CAST(ascii(c) AS BIGINT), list_transform(range(8), lambda i: CAST(-1 AS BIGINT)))))),
+        lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM keyed),
+damaged AS (
+ SELECT r, g, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, n
+ FROM kinds, (VALUES (1), (2)) t(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)),
+placed AS (
+ SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, r, n) AS i,
+        trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+judged AS (
+ SELECT *, CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'd'
+                WHEN body[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+        role[1] AS c, lag(role[1]) OVER (PARTITION BY g ORDER BY i) AS p FROM placed),
+counted AS (
+ SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (p IS NOT NULL AND p || c NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY g),
+step(s, c, t) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+added(s, t, cost, ins, made) AS (
+ VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 3, 'I', 'u'), (1, 2, 3, 'I', 'u'), (2, 3, 3, 'I', 'a'), (3, 2, 3, 'I', 'u'),
+        (0, 3, 6, 'II', 'ua'), (1, 3, 6, 'II', 'ua'), (2, 2, 6, 'II', 'au'), (3, 3, 6, 'II', 'ua')),
+ways AS (
+ SELECT a.s, a.cost + 4 AS cost, a.t, a.ins || 'D' AS audit, a.made, 'D' AS op, NULL AS c FROM added a
+ UNION ALL SELECT a.s, a.cost, b.t, a.ins || 'K', a.made, 'K', b.c FROM added a JOIN step b ON a.t = b.s
+ UNION ALL SELECT a.s, a.cost + 3, b.t, a.ins || 'R', a.made, b.c, NULL FROM added a JOIN step b ON a.t = b.s WHERE b.c <> 's'),
+walk(g, i, s, best) AS (
+ SELECT g, CAST(0 AS BIGINT), 0, {'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])} FROM counted
+ UNION ALL
+ SELECT w.g, w.i + 1, y.t, min({'cost': w.best.cost + y.cost + CASE WHEN j.fault = 't' AND y.op <> 'D' THEN 3 ELSE 0 END, 'audit': w.best.audit || y.audit,
+   'lines': w.best.lines || list_transform(string_split(y.made, ''), lambda x: CASE x WHEN 'u' THEN 'user:' WHEN 'a' THEN 'assistant:' END)[1:length(y.made)]
+            || CASE y.op WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [j.role || ':' || j.text] WHEN 'u' THEN ['user:' || j.text] ELSE ['assistant:' || j.text] END})
+ FROM walk w JOIN judged j ON w.g = j.g AND j.i = w.i + 1 JOIN ways y ON y.s = w.s AND (y.c IS NULL OR y.c = j.c) AND (y.op = 'D' OR j.fault NOT IN ('b', 'd'))
+ GROUP BY w.g, w.i, y.t),
+ended AS (
+ SELECT w.g, min({'cost': w.best.cost + a.cost, 'audit': w.best.audit || a.ins,
+   'lines': w.best.lines || list_transform(string_split(a.made, ''), lambda x: CASE x WHEN 'u' THEN 'user:' WHEN 'a' THEN 'assistant:' END)[1:length(a.made)]}) AS best
+ FROM walk w JOIN counted c ON w.g = c.g AND w.i = c.n JOIN added a ON a.s = w.s AND a.t IN (0, 3) GROUP BY w.g)
+SELECT any_value(k.conv_id) AS conv_id, coalesce(any_value(c.gaps), 0) AS gaps, coalesce(any_value(c.blank), 0) AS blank, coalesce(any_value(c.duplicate), 0) AS duplicate,
+       coalesce(any_value(c.truncated), 0) AS truncated, coalesce(any_value(c.illegal), 0) AS illegal, coalesce(any_value(e.best.cost), 0) AS cost,
+       coalesce(any_value(e.best.audit), '') AS audit, sha256(coalesce(any_value(array_to_string(e.best.lines, chr(10))), '')) AS repaired_sha256
+FROM keyed k LEFT JOIN counted c USING (g) LEFT JOIN ended e USING (g) GROUP BY k.g"""
+
 ORACLES: dict[str, str] = {
+    "op11_conversation_repair": CONVERSATION_SQL,
     "op6_license_scan": LICENSE_SQL,
     "op3_exact_top_k": EXACT_TOP_K_SQL,
     "op1_line_dedup": LINE_DEDUP_SQL,
