@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgauge.llm import conversations, hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, topk
+from duelgauge.llm import conversations, hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, topk, whitening
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -60,6 +60,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_pareto_mix": op10_pareto_mix,
     "op11_conversation_repair": op11_conversation_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 LINE_DEDUP_SQL = """
