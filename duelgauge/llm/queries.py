@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelgauge.llm import conversations, hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, topk, whitening
+from duelgauge.llm import conversations, hnsw, jaccard, licenses, line_dedup, mixing, packing, pii, quality, records, substrings, topk, whitening
 from duelgauge.llm.common import table
 from duelgauge.llm.tokens import vocabulary_path
 
@@ -60,6 +60,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_personal_data": op9_personal_data,
     "op10_pareto_mix": op10_pareto_mix,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -181,7 +186,22 @@ SELECT any_value(k.conv_id) AS conv_id, coalesce(any_value(c.gaps), 0) AS gaps,
        coalesce(any_value(e.best.audit), '') AS audit, sha256(coalesce(any_value(array_to_string(e.best.lines, chr(10))), '')) AS repaired_sha256
 FROM keyed k LEFT JOIN counted c USING (g) LEFT JOIN ended e USING (g) GROUP BY k.g"""
 
+SUBSTRING_SQL = r"""
+WITH docs AS (
+ SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS no, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (
+ SELECT no, s, array_to_string(words[s:s + 19], ' ') AS body FROM docs, unnest(range(1, len(words) - 18)) AS t(s)),
+repeated AS (SELECT no, s FROM windows QUALIFY row_number() OVER (PARTITION BY body ORDER BY no, s) > 1),
+gone AS (SELECT DISTINCT no, s + k AS i FROM repeated, range(20) AS t(k)),
+flagged AS (
+ SELECT d.no, d.doc_id, w.i, d.words[w.i] AS word, g.no IS NOT NULL AS dropped
+ FROM docs d, unnest(range(1, len(d.words) + 1)) AS w(i) LEFT JOIN gone g ON g.no = d.no AND g.i = w.i),
+cut AS (SELECT no, count(*) FILTER (dropped) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT dropped) AS kept FROM flagged GROUP BY no)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(c.n_removed, 0) AS n_removed, sha256(coalesce(c.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN cut c USING (no)"""
+
 ORACLES: dict[str, str] = {
+    "op12_substring_dedup": SUBSTRING_SQL,
     "op11_conversation_repair": CONVERSATION_SQL,
     "op6_license_scan": LICENSE_SQL,
     "op3_exact_top_k": EXACT_TOP_K_SQL,
