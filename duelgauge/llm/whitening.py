@@ -88,7 +88,8 @@ def fit_blocks(rows: DataFrame) -> DataFrame:
         for length in list(held):
             yield block(length)
 
-    return cut_lineage(distinct.mapInArrow(pack, "length int, width int, block binary"))
+    parts = max(1, -(-rows.count() // BLOCK_ROWS))  # full blocks, however many partitions the shuffle has
+    return cut_lineage(distinct.coalesce(parts).mapInArrow(pack, "length int, width int, block binary"))
 
 
 def blocks_in(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
