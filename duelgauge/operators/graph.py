@@ -1,128 +1,176 @@
-"""Win graph: capped edges and games per player, simple paths, training games, chain statistics."""
+"""Win graph: an index of edges and games per player, simple paths, training games, chain statistics."""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelgauge.operators import ordered
 from duelgauge.operators.corpus import sides
-from duelgauge.runtime import shuffle_width
+from duelgauge.runtime import cut_lineage, shuffle_width
 
 MAX_OUT_EDGES = 16
 MAX_GAMES_PER_PLAYER = 32
+EDGE = "array<struct<game_id: bigint, winner_elo: bigint, loser_elo: bigint, winner_pos: bigint, loser_pos: bigint>>"
+PICK = "array<struct<game_id: bigint, color: string, opponent: string, opponent_pos: bigint>>"
+
 
+class ChainIndex(NamedTuple):
+    """Stored adjacency: every edge of a winner and every game of a player has a position, 1 up to their number.
 
-def win_edges(games: DataFrame, cap: int = MAX_OUT_EDGES, seed: str = "edges") -> DataFrame:
-    """winner -> loser edges of decisive games, a uniform sample of at most `cap` per winner."""
+    A uniform draw is a lookup of one (player, position), so no list of edges or games is ever gathered, whatever a
+    player's number of them. What a draw must leave out is known as positions, too, and skipped by counting.
+    """
+
+    edges: DataFrame  # winner, pos, loser, game_id, both ratings, both positions of the game, loser_degree, loser_listed
+    pairs: DataFrame  # winner, loser, first position and number of the edges between them
+    games: DataFrame  # player, pos, game_id, color, opponent, opponent_pos
+    starters: DataFrame  # pick, winner, degree, listed
+
+
+def chain_index(games: DataFrame, edge_cap: int | None = MAX_OUT_EDGES, game_cap: int | None = MAX_GAMES_PER_PLAYER, seed: str = "chain") -> ChainIndex:
+    """The index of all games; caps keep a uniform sample of a player's wins or games (None: all of them)."""
+    ranked = ordered.hash_ranks(sides(games).select("player", "game_id", "color"), ["player"], ["game_id", "color"], "reservoir", "pos")
+    if game_cap is not None:
+        ranked = ranked.filter(F.col("pos") <= game_cap)
+    ranked = cut_lineage(ranked)
+    at = lambda color: ranked.filter(F.col("color") == color).select("game_id", F.col("pos").alias(f"{color}_pos"))
+    both = cut_lineage(
+        games.select("game_id", "white", "black", "white_elo", "black_elo", "result").join(at("white"), "game_id", "left").join(at("black"), "game_id", "left")
+    )
+
+    def listed(own: str, other: str) -> DataFrame:
+        kept = both.filter(F.col(f"{own}_pos").isNotNull())
+        columns = [F.col(own).alias("player"), F.col(f"{own}_pos").alias("pos"), "game_id", F.lit(own).alias("color")]
+        return kept.select(*columns, F.col(other).alias("opponent"), F.col(f"{other}_pos").alias("opponent_pos"))
+
+    game_rows = listed("white", "black").unionByName(listed("black", "white"))
     won = F.col("result") > 0
     pick = lambda a, b: F.when(won, F.col(a)).otherwise(F.col(b))
-    edges = games.filter("result != 0").select(
+    edges = both.filter("result != 0").select(
         pick("white", "black").alias("winner"),
         pick("black", "white").alias("loser"),
         "game_id",
         pick("white_elo", "black_elo").alias("winner_elo"),
         pick("black_elo", "white_elo").alias("loser_elo"),
+        pick("white_pos", "black_pos").alias("winner_pos"),
+        pick("black_pos", "white_pos").alias("loser_pos"),
+    )
+    if edge_cap is not None:
+        edges = ordered.hash_sample(edges, ["winner"], ["game_id"], "edges", edge_cap)
+    # Edges to one opponent are neighbours: order by opponent (in hash order), then game.
+    hashed = edges.withColumn("_hash", ordered.hash_text("index", "loser"))
+    placed = cut_lineage(ordered.row_numbers(hashed, ["winner"], ["_hash", "loser", "game_id"], F.substring("_hash", 1, 3), "pos").drop("_hash"))
+    degrees = placed.groupBy(F.col("winner").alias("player")).agg(F.count(F.lit(1)).alias("degree"))
+    lists = ranked.groupBy("player").agg(F.count(F.lit(1)).alias("listed"))
+    players = cut_lineage(degrees.join(lists, "player", "full").select("player", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("degree", "listed")]))
+    losers = players.select(F.col("player").alias("loser"), F.col("degree").alias("loser_degree"), F.col("listed").alias("loser_listed"))
+    pairs = placed.groupBy("winner", "loser").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
+    starters = players.filter("degree > 0").withColumnRenamed("player", "winner")
+    return ChainIndex(
+        cut_lineage(placed.join(losers, "loser")),
+        cut_lineage(pairs),
+        game_rows,
+        cut_lineage(ordered.hash_ranks(starters, [], ["winner"], f"{seed}-starters", "pick")),
     )
-    return ordered.hash_sample(edges, ["winner"], ["game_id"], seed, cap)
 
 
-def player_games(games: DataFrame, cap: int = MAX_GAMES_PER_PLAYER, seed: str = "reservoir") -> DataFrame:
-    return ordered.hash_sample(sides(games), ["player"], ["game_id", "color"], seed, cap).select("player", "game_id", "color")
+def chain_seeds(index: ChainIndex, begin: int, end: int, seed: str = "chain") -> DataFrame:
+    """Uniform starters of the attempts begin to end - 1, among the players with an outgoing edge."""
+    starters = index.starters
+    total = starters.agg(F.count(F.lit(1)).alias("n")).scalar()
+    spark = starters.sparkSession
+    tries = spark.range(begin, end, 1, shuffle_width(spark)).withColumnRenamed("id", "attempt")
+    drawn = tries.withColumn("pick", ordered.hash_int(seed, "attempt") % total + 1)
+    return drawn.join(starters, "pick").select("attempt", F.col("winner").alias("start"), "degree", "listed")
 
 
-def chain_seeds(edges: DataFrame, attempts: int, seed: str) -> DataFrame:
-    """`attempts` uniform starters among the players with an outgoing edge."""
-    starters = ordered.hash_ranks(edges.select("winner").distinct(), [], ["winner"], f"{seed}-starters", "pick")
-    total = edges.agg(F.count_distinct("winner").alias("n")).scalar()
-    spark = edges.sparkSession
-    tries = spark.range(0, attempts, 1, shuffle_width(spark)).withColumnRenamed("id", "attempt")
-    drawn = tries.withColumn("pick", ordered.hash_int(seed, "attempt") % total + 1)
-    return drawn.join(starters, "pick").select("attempt", F.col("winner").alias("start"))
+def _skipping(drawn: Column, gone: Column) -> Column:
+    """Position of the `drawn`-th element, counting past the positions in `gone` (sorted structs of first, n)."""
+    return F.aggregate(gone, drawn, lambda at, g: F.when(at >= g["first"], at + g["n"]).otherwise(at))
 
 
-def sample_paths(seeds: DataFrame, edges: DataFrame, length: int, seed: str) -> DataFrame:
-    """Simple paths of `length` players, strong to weak; a path without a usable edge is dropped.
+def sample_paths(seeds: DataFrame, index: ChainIndex, length: int, seed: str) -> DataFrame:
+    """Simple paths of `length` players, strong to weak: each hop draws uniformly among the edges to unused players.
 
-    A player's capped edges travel as one short array, so every hop is a single join that keeps one
-    row per path: the unused edge with the smallest hash is taken inside the row.
+    The edges back to the players of the path are looked up by pair (at most one row per player of the path) and their
+    positions left out of the draw, so a draw never fails and a path without a usable edge is dropped at once.
     """
-    packed = edges.groupBy("winner").agg(F.collect_list(F.struct("loser", "game_id", "winner_elo", "loser_elo")).alias("out"))
     paths = seeds.select(
-        "attempt",
-        F.col("start").alias("at"),
-        F.array("start").alias("players"),
-        F.expr("array()").cast("array<struct<game_id: bigint, winner_elo: bigint, loser_elo: bigint>>").alias("edges"),
+        "attempt", F.col("start").alias("at"), "degree", F.array("start").alias("players"), F.array("listed").alias("listed"), F.expr(f"cast(array() as {EDGE})").alias("edges")
     )
     for hop in range(1, length):
-        joined = paths.join(packed, paths["at"] == packed["winner"])
-        unused = F.filter("out", lambda e: ~F.array_contains("players", e["loser"]))
-        keyed = F.transform(
-            unused,
-            lambda e: F.struct(
-                F.md5(F.concat_ws(":", F.lit(seed), F.col("attempt").cast("string"), F.lit(str(hop)), e["game_id"].cast("string"))).alias("h"),
-                e.alias("e"),
-            ),
+        used = paths.select("attempt", F.col("at").alias("winner"), F.explode("players").alias("loser"), F.struct("at", "degree", "players", "listed", "edges").alias("path"))
+        back = used.join(index.pairs, ["winner", "loser"], "left").groupBy("attempt").agg(
+            F.any_value("path").alias("path"),
+            F.sort_array(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("first", "n")))).alias("gone"),
+            F.sum("n").alias("lost"),
         )
-        paths = (
-            joined.withColumn("_best", F.array_min(keyed))
-            .filter(F.col("_best").isNotNull())
-            .select(
-                "attempt",
-                F.col("_best.e.loser").alias("at"),
-                F.array_append("players", F.col("_best.e.loser")).alias("players"),
-                F.array_append("edges", F.struct("_best.e.game_id", "_best.e.winner_elo", "_best.e.loser_elo")).alias("edges"),
-            )
+        aimed = back.select("attempt", "path.*", "gone", (F.col("path.degree") - F.coalesce("lost", F.lit(0))).alias("free")).filter("free > 0")
+        drawn = ordered.hash_int(seed, "attempt", F.lit(hop)) % F.col("free") + 1
+        taken = aimed.select("attempt", "players", "listed", "edges", F.col("at").alias("winner"), _skipping(drawn, F.col("gone")).alias("pos")).join(index.edges, ["winner", "pos"])
+        edge = F.struct("game_id", "winner_elo", "loser_elo", "winner_pos", "loser_pos")
+        paths = taken.select(
+            "attempt",
+            F.col("loser").alias("at"),
+            F.col("loser_degree").alias("degree"),
+            F.array_append("players", F.col("loser")).alias("players"),
+            F.array_append("listed", F.col("loser_listed")).alias("listed"),
+            F.array_append("edges", edge).alias("edges"),
         )
-    return paths.drop("at")
+    return paths.drop("at", "degree")
 
 
 def weak_to_strong(paths: DataFrame) -> DataFrame:
-    return paths.select("attempt", F.reverse("players").alias("players"), F.reverse("edges").alias("edges"))
+    return paths.select("attempt", *[F.reverse(c).alias(c) for c in ("players", "listed", "edges")])
 
 
-def pick_training_games(chains: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
-    """For every slot, weak to strong, a game of its player that is neither an edge nor taken before.
+def pick_training_games(chains: DataFrame, index: ChainIndex, length: int, seed: str = "train") -> DataFrame:
+    """For every slot, weak to strong, a uniform game of its player that is neither an edge nor taken before.
 
-    One join brings the capped game list of every slot; the slots of a chain (a handful, each with
-    a capped list) are then folded in order inside the row. A chain with an empty slot is dropped.
+    Only two edges can be games of a slot's player, and a game taken before only if the player was the opponent in it; all three
+    carry their position among the player's games, so a slot is one lookup. A chain with an empty slot is dropped.
     """
-    slots = chains.select("attempt", "players", "edges", F.posexplode("players").alias("slot", "player"))
-    packed = pool.groupBy("player").agg(F.collect_list(F.struct("game_id", "color")).alias("games"))
-    full = slots.join(packed, "player", "left").groupBy("attempt").agg(
-        F.any_value("players").alias("players"),
-        F.any_value("edges").alias("edges"),
-        F.sort_array(F.collect_list(F.struct("slot", "games"))).alias("slots"),
-    )
-    edge_ids = F.transform("edges", lambda e: e["game_id"])
-    start = F.struct(
-        edge_ids.alias("forbidden"), F.expr("cast(array() as array<struct<game_id: bigint, color: string>>)").alias("picked")
-    )
-
-    def step(acc: Column, slot: Column) -> Column:
-        free = F.filter(F.coalesce(slot["games"], F.expr("cast(array() as array<struct<game_id: bigint, color: string>>)")), lambda g: ~F.array_contains(acc["forbidden"], g["game_id"]))
-        best = F.array_min(
-            F.transform(
-                free,
-                lambda g: F.struct(
-                    F.md5(F.concat_ws(":", F.lit(seed), F.col("attempt").cast("string"), slot["slot"].cast("string"), g["game_id"].cast("string"), g["color"])).alias("h"),
-                    g.alias("g"),
-                ),
-            )
-        )
-        return F.when(
-            best.isNotNull(),
-            F.struct(
-                F.array_append(acc["forbidden"], best["g"]["game_id"]).alias("forbidden"),
-                F.array_append(acc["picked"], best["g"]).alias("picked"),
-            ),
-        ).otherwise(acc)
-
-    folded = full.withColumn("_fold", F.aggregate("slots", start, step))
-    return folded.filter(F.size("_fold.picked") == F.size("players")).select(
-        "attempt", "players", "edges", F.col("_fold.picked").alias("training")
-    )
+    chains = chains.withColumn("training", F.expr(f"cast(array() as {PICK})"))
+    for slot in range(length):
+        own = F.col("players")[slot]
+        barred = F.transform(F.filter("training", lambda t: t["opponent"] == own), lambda t: t["opponent_pos"])
+        if slot < length - 1:
+            barred = F.array_append(barred, F.col("edges")[slot]["loser_pos"])
+        if slot > 0:
+            barred = F.array_append(barred, F.col("edges")[slot - 1]["winner_pos"])
+        known = F.array_sort(F.array_distinct(F.filter(barred, lambda p: p.isNotNull())))
+        aimed = chains.withColumn("_gone", F.transform(known, lambda p: F.struct(p.alias("first"), F.lit(1).cast("bigint").alias("n"))))
+        aimed = aimed.withColumn("_free", F.col("listed")[slot] - F.size("_gone")).filter("_free > 0")
+        drawn = ordered.hash_int(seed, "attempt", F.lit(slot)) % F.col("_free") + 1
+        aimed = aimed.withColumn("player", own).withColumn("pos", _skipping(drawn, F.col("_gone"))).drop("_gone", "_free")
+        taken = aimed.join(index.games, ["player", "pos"])
+        pick = F.struct("game_id", "color", "opponent", "opponent_pos")
+        chains = taken.select("attempt", "players", "listed", "edges", F.array_append("training", pick).alias("training"))
+    return chains.drop("listed")
+
+
+def sample_chains(index: ChainIndex, length: int, attempts: int, max_chains: int, seed: str = "chain", rate: float = 0.5) -> DataFrame:
+    """Accepted chains, stored: all of the attempts 0 up to the one that completes `max_chains`, or all `attempts`.
+
+    Attempts are made in rounds of as many as the success rate so far (`rate` at first) lets expect to be enough, so
+    the result does not depend on the rounds. A round may accept more than are asked for; see keep_first.
+    """
+    made: DataFrame | None = None
+    begin, have = 0, 0
+    while begin < attempts and (made is None or have < max_chains):
+        end = min(attempts, begin + max(1_000, int(1.05 * (max_chains - have) / rate)))
+        paths = sample_paths(chain_seeds(index, begin, end, seed), index, length, seed)
+        found = cut_lineage(pick_training_games(weak_to_strong(cut_lineage(paths)), index, length))
+        have += found.count()
+        made = found if made is None else made.unionByName(found)
+        begin, rate = end, max(have / end, 0.01)
+    if made is None:
+        raise ValueError("no attempts asked for")
+    return made
 
 
 def keep_first(chains: DataFrame, max_chains: int) -> DataFrame:

@@ -187,6 +187,15 @@ def _(spark, sf):
     return C.rank_bands(kept, ["bin"], ["game_id"], "quota", {"eval": 2200, "train": None})
 
 
+@query("smp_01_small_quota_and_training", "kept", """
+SELECT game_id, bin, CASE WHEN rn <= 100 THEN 'eval' ELSE 'train' END AS split FROM (
+ SELECT *, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM kept)""")
+def _(spark, sf):
+    """The quota of the query above leaves nothing for training on small tables; this one leaves most."""
+    kept = classified(spark, sf).filter("reason IS NULL").select("game_id", F.col("bin").cast("bigint").alias("bin"))
+    return C.rank_bands(kept, ["bin"], ["game_id"], "quota", {"eval": 100, "train": None})
+
+
 @query("smp_02_candidate_query_split", "kept", """
 SELECT game_id, bin, CASE WHEN rn <= 200 THEN 'cand' ELSE 'test' END AS split FROM (
  SELECT *, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('split:' || game_id), game_id) AS rn FROM kept) WHERE rn <= 2200""")

@@ -10,75 +10,108 @@ from duelgauge.plans.registry import query, table
 from duelgauge.runtime import cut_lineage, require
 
 LENGTH = 8
-ATTEMPTS = 600
-MAX_CHAINS = 150
+MAX_CHAINS = 50_000
+ATTEMPTS = 20 * MAX_CHAINS
+FIRST_ATTEMPTS = 90_000  # the SQL walks further attempts only where these give too few chains
 STRIDE = 3
 
-table("edges", "games", """
- SELECT * FROM (SELECT CASE WHEN result > 0 THEN white ELSE black END AS winner, CASE WHEN result > 0 THEN black ELSE white END AS loser, game_id,
-   CASE WHEN result > 0 THEN white_elo ELSE black_elo END AS winner_elo, CASE WHEN result > 0 THEN black_elo ELSE white_elo END AS loser_elo,
-   ROW_NUMBER() OVER (PARTITION BY CASE WHEN result > 0 THEN white ELSE black END ORDER BY md5('edges:' || game_id), game_id) AS rn FROM games WHERE result <> 0) WHERE rn <= 16""")
-table("player_games", "sides", """
- SELECT player, game_id, color FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY player ORDER BY md5('reservoir:' || game_id || ':' || color), game_id, color) AS rn FROM sides) WHERE rn <= 32""")
-table("starters", "edges", "SELECT winner, ROW_NUMBER() OVER (ORDER BY md5('chain-starters:' || winner), winner) AS pick, count(*) OVER () AS total FROM (SELECT DISTINCT winner FROM edges)")
-table("seeds", "starters", f"""
- SELECT a.attempt, s.winner AS start FROM (SELECT range AS attempt FROM range({ATTEMPTS})) a JOIN starters s
- ON s.pick = CAST('0x' || substr(md5('chain:' || a.attempt), 1, 15) AS BIGINT) % s.total + 1""")
-table("hop0", "seeds", "SELECT attempt, start AS at, [start] AS players, []::STRUCT(loser VARCHAR, game_id BIGINT, winner_elo BIGINT, loser_elo BIGINT)[] AS es FROM seeds")
-for _i in range(1, LENGTH):
-    table(f"hop{_i}", f"hop{_i - 1} edges", f"""
- SELECT attempt, b.loser AS at, list_append(players, b.loser) AS players, list_append(es, b) AS es FROM (
-  SELECT p.attempt, any_value(p.players) AS players, any_value(p.es) AS es,
-   arg_min(struct_pack(loser := e.loser, game_id := e.game_id, winner_elo := e.winner_elo, loser_elo := e.loser_elo), md5(concat_ws(':', 'chain', p.attempt, {_i}, e.game_id))) AS b
-  FROM hop{_i - 1} p JOIN edges e ON e.winner = p.at AND NOT list_contains(p.players, e.loser) GROUP BY p.attempt)""")
-table("paths", f"hop{LENGTH - 1}", f"SELECT attempt, list_reverse(players) AS players, list_reverse(es) AS es FROM hop{LENGTH - 1}")
-table("slot0", "paths", "SELECT attempt, players, es, list_transform(es, lambda e: e.game_id) AS forbidden, []::STRUCT(game_id BIGINT, color VARCHAR)[] AS picked FROM paths")
-for _i in range(LENGTH):
-    table(f"slot{_i + 1}", f"slot{_i} player_games", f"""
- SELECT attempt, players, es, list_append(forbidden, b.game_id) AS forbidden, list_append(picked, b) AS picked FROM (
-  SELECT p.attempt, any_value(p.players) AS players, any_value(p.es) AS es, any_value(p.forbidden) AS forbidden, any_value(p.picked) AS picked,
-   arg_min(struct_pack(game_id := g.game_id, color := g.color), md5(concat_ws(':', 'train', p.attempt, {_i}, g.game_id, g.color))) AS b
-  FROM slot{_i} p JOIN player_games g ON g.player = p.players[{_i + 1}] AND NOT list_contains(p.forbidden, g.game_id) GROUP BY p.attempt)""")
-table("chains", f"slot{LENGTH}", f"SELECT * FROM slot{LENGTH} ORDER BY attempt LIMIT {MAX_CHAINS}")
-table("chain_slots", "chains", f"""
+table("listed_games", "sides", """
+ SELECT player, opponent, game_id, color, ROW_NUMBER() OVER (PARTITION BY player ORDER BY md5('reservoir:' || game_id || ':' || color), game_id, color) AS pos FROM sides""")
+table("won_games", "games", """
+ SELECT winner, loser, game_id, winner_elo, loser_elo, ROW_NUMBER() OVER (PARTITION BY winner ORDER BY md5('edges:' || game_id), game_id) AS rn FROM (
+  SELECT CASE WHEN result > 0 THEN white ELSE black END AS winner, CASE WHEN result > 0 THEN black ELSE white END AS loser, game_id,
+   CASE WHEN result > 0 THEN white_elo ELSE black_elo END AS winner_elo, CASE WHEN result > 0 THEN black_elo ELSE white_elo END AS loser_elo FROM games WHERE result <> 0)""")
+
+
+def _hash(seed: str, *columns: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(columns)})), 1, 15) AS BIGINT)"
+
+
+def chain_tables(name: str, edge_cap: int | None, game_cap: int | None, max_chains: int, attempts: int, first: int) -> None:
+    """SQL of the chain builder: each draw is the n-th of all usable edges or games, listed and counted."""
+    under = lambda column, cap: "TRUE" if cap is None else f"{column} <= {cap}"
+    table(f"{name}_games", "listed_games", f"SELECT * FROM listed_games WHERE {under('pos', game_cap)}")
+    table(f"{name}_edges", "won_games", f"SELECT *, ROW_NUMBER() OVER (PARTITION BY winner ORDER BY md5('index:' || loser), loser, game_id) AS pos FROM won_games WHERE {under('rn', edge_cap)}")
+    table(f"{name}_starters", f"{name}_edges", f"SELECT winner, ROW_NUMBER() OVER (ORDER BY md5('chain-starters:' || winner), winner) AS pick, count(*) OVER () AS total FROM (SELECT DISTINCT winner FROM {name}_edges)")
+    rounds = [("a", f"range({first})"), ("b", f"range({first}, CASE WHEN (SELECT count(*) FROM {name}_a_chains) >= {max_chains} THEN {first} ELSE {attempts} END)")]
+    for part, tries in rounds:
+        n = f"{name}_{part}"
+        needs = f"{name}_starters" if part == "a" else f"{name}_starters {name}_a_chains"
+        table(f"{n}_seeds", needs, f"SELECT a.range AS attempt, s.winner AS start FROM {tries} a JOIN {name}_starters s ON s.pick = {_hash('chain', 'a.range')} % s.total + 1")
+        table(f"{n}_hop0", f"{n}_seeds", "SELECT attempt, start AS here, [start] AS players, []::STRUCT(loser VARCHAR, game_id BIGINT, winner_elo BIGINT, loser_elo BIGINT)[] AS es FROM " + f"{n}_seeds")
+        for i in range(1, LENGTH):
+            table(f"{n}_hop{i}", f"{n}_hop{i - 1} {name}_edges", f"""
+ SELECT a.attempt, e.loser AS here, list_append(a.players, e.loser) AS players, list_append(a.es, struct_pack(loser := e.loser, game_id := e.game_id, winner_elo := e.winner_elo, loser_elo := e.loser_elo)) AS es FROM (
+  SELECT p.attempt, any_value(p.here) AS here, any_value(p.players) AS players, any_value(p.es) AS es, list_sort(list(e.pos))[{_hash('chain', 'p.attempt', str(i))} % count(*) + 1] AS pos
+  FROM {n}_hop{i - 1} p JOIN {name}_edges e ON e.winner = p.here WHERE NOT list_contains(p.players, e.loser) GROUP BY p.attempt) a JOIN {name}_edges e ON e.winner = a.here AND e.pos = a.pos""")
+        table(f"{n}_slot0", f"{n}_hop{LENGTH - 1}", f"""
+ SELECT attempt, list_reverse(players) AS players, list_reverse(es) AS es, list_transform(es, lambda e: e.game_id) AS forbidden, []::STRUCT(game_id BIGINT, color VARCHAR)[] AS picked FROM {n}_hop{LENGTH - 1}""")
+        for i in range(LENGTH):
+            table(f"{n}_slot{i + 1}", f"{n}_slot{i} {name}_games", f"""
+ SELECT a.attempt, a.players, a.es, list_append(a.forbidden, g.game_id) AS forbidden, list_append(a.picked, struct_pack(game_id := g.game_id, color := g.color)) AS picked FROM (
+  SELECT p.attempt, any_value(p.players) AS players, any_value(p.es) AS es, any_value(p.forbidden) AS forbidden, any_value(p.picked) AS picked, list_sort(list(g.pos))[{_hash('train', 'p.attempt', str(i))} % count(*) + 1] AS pos
+  FROM {n}_slot{i} p JOIN {name}_games g ON g.player = p.players[{i + 1}] WHERE NOT list_contains(p.forbidden, g.game_id) GROUP BY p.attempt) a JOIN {name}_games g ON g.player = a.players[{i + 1}] AND g.pos = a.pos""")
+        table(f"{n}_chains", f"{n}_slot{LENGTH}", f"SELECT attempt, players, es, picked FROM {n}_slot{LENGTH}")
+    table(f"{name}_all", f"{name}_a_chains {name}_b_chains", f"SELECT * FROM {name}_a_chains UNION ALL SELECT * FROM {name}_b_chains")
+    table(name, f"{name}_all", f"SELECT * FROM {name}_all ORDER BY attempt LIMIT {max_chains}")
+
+
+def slots_table(name: str, chains: str) -> None:
+    table(name, chains, f"""
  SELECT attempt, s.slot, players[s.slot + 1] AS player, picked[s.slot + 1].game_id AS game_id, picked[s.slot + 1].color AS color,
-  CASE WHEN s.slot = 0 THEN es[1].loser_elo ELSE es[s.slot].winner_elo END AS elo FROM chains, (SELECT range AS slot FROM range({LENGTH})) s""")
+  CASE WHEN s.slot = 0 THEN es[1].loser_elo ELSE es[s.slot].winner_elo END AS elo FROM {chains}, (SELECT range AS slot FROM range({LENGTH})) s""")
+
+
+# The builder runs at full size; what reads chains is checked on a smaller pool, built in the same way.
+POOL_CHAINS = 5_000
+FIRST_POOL_ATTEMPTS = 9_000
+OPEN_CHAINS = 2_000
+chain_tables("full_chains", G.MAX_OUT_EDGES, G.MAX_GAMES_PER_PLAYER, MAX_CHAINS, ATTEMPTS, FIRST_ATTEMPTS)
+chain_tables("chains", G.MAX_OUT_EDGES, G.MAX_GAMES_PER_PLAYER, POOL_CHAINS, 20 * POOL_CHAINS, FIRST_POOL_ATTEMPTS)
+slots_table("full_slots", "full_chains")
+slots_table("chain_slots", "chains")
+chain_tables("open_chains", None, None, OPEN_CHAINS, 20 * OPEN_CHAINS, 4_000)
 table("first_use", "chain_slots", "SELECT game_id, ROW_NUMBER() OVER (ORDER BY a, s) - 1 AS idx FROM (SELECT game_id, arg_min(attempt, (attempt, slot)) AS a, arg_min(slot, (attempt, slot)) AS s FROM chain_slots GROUP BY 1)")
 
 
-def all_chains(spark, sf):
-    games = fx.games(spark, sf)
-    edges = G.win_edges(games)
-    paths = G.sample_paths(G.chain_seeds(edges, ATTEMPTS, "chain"), edges, LENGTH, "chain")
-    return G.pick_training_games(G.weak_to_strong(paths), G.player_games(games), "train")
+def all_chains(spark, sf, max_chains=POOL_CHAINS):
+    return G.sample_chains(G.chain_index(fx.games(spark, sf)), LENGTH, 20 * max_chains, max_chains)
 
 
 def chain_slots(spark, sf):
     """The accepted chains as a stored table, as the builder hands them to its readers."""
-    return cut_lineage(G.chain_slots(G.keep_first(all_chains(spark, sf), MAX_CHAINS)))
+    return cut_lineage(G.chain_slots(G.keep_first(all_chains(spark, sf), POOL_CHAINS)))
 
 
-@query("smp_04_chain_seeds", "seeds", "SELECT attempt, start FROM seeds")
+@query("smp_04_chain_seeds", "full_chains_starters", f"SELECT a.range AS attempt, s.winner AS start FROM range({ATTEMPTS}) a JOIN full_chains_starters s ON s.pick = {_hash('chain', 'a.range')} % s.total + 1")
 def _(spark, sf):
-    return G.chain_seeds(G.win_edges(fx.games(spark, sf)), ATTEMPTS, "chain")
+    return G.chain_seeds(G.chain_index(fx.games(spark, sf)), 0, ATTEMPTS).select("attempt", "start")
 
 
-@query("jn_06_win_paths", "paths", "SELECT attempt, array_to_string(players, '>') AS players FROM paths")
+@query("jn_06_win_paths", "chains_a_hop7", "SELECT attempt, array_to_string(list_reverse(players), '>') AS players FROM chains_a_hop7")
 def _(spark, sf):
-    edges = G.win_edges(fx.games(spark, sf))
-    paths = G.weak_to_strong(G.sample_paths(G.chain_seeds(edges, ATTEMPTS, "chain"), edges, LENGTH, "chain"))
+    index = G.chain_index(fx.games(spark, sf))
+    paths = G.weak_to_strong(G.sample_paths(G.chain_seeds(index, 0, FIRST_POOL_ATTEMPTS), index, LENGTH, "chain"))
     return paths.select("attempt", F.concat_ws(">", "players").alias("players"))
 
 
-@query("jn_07_training_games", "chain_slots", "SELECT attempt, CAST(slot AS INT) AS slot, player, game_id, color FROM chain_slots")
+@query("jn_06_win_paths_all_edges", "open_chains", "SELECT attempt, array_to_string(players, '>') AS players, array_to_string(list_transform(picked, lambda p: p.game_id || p.color[1]), ' ') AS training FROM open_chains")
 def _(spark, sf):
-    return chain_slots(spark, sf).drop("elo")
+    index = G.chain_index(fx.games(spark, sf), None, None)
+    chains = G.keep_first(G.sample_chains(index, LENGTH, 20 * OPEN_CHAINS, OPEN_CHAINS), OPEN_CHAINS)
+    tokens = F.transform("training", lambda t: F.concat(t["game_id"].cast("string"), F.substring(t["color"], 1, 1)))
+    return chains.select("attempt", F.concat_ws(">", "players").alias("players"), F.concat_ws(" ", tokens).alias("training"))
+
+
+@query("jn_07_training_games", "full_slots", "SELECT attempt, CAST(slot AS INT) AS slot, player, game_id, color FROM full_slots")
+def _(spark, sf):
+    return G.chain_slots(G.keep_first(all_chains(spark, sf, MAX_CHAINS), MAX_CHAINS)).drop("elo")
 
 
 @query("jn_08_edge_elos", "chains", """
 SELECT attempt, CAST(i AS INT) AS link, es[i + 1].game_id AS game_id, es[i + 1].loser_elo AS src_elo, es[i + 1].winner_elo AS dest_elo, es[i + 1].winner_elo - es[i + 1].loser_elo AS diff FROM chains, (SELECT range AS i FROM range(7))""")
 def _(spark, sf):
-    return G.chain_edges(G.keep_first(all_chains(spark, sf), MAX_CHAINS))
+    return G.chain_edges(G.keep_first(all_chains(spark, sf), POOL_CHAINS))
 
 
 @query("agg_21_moments", "games", """
@@ -100,7 +133,7 @@ def _(spark, sf):
 SELECT b.bin, count(d.d) AS n FROM (SELECT CAST(range AS BIGINT) AS bin FROM range(122)) b LEFT JOIN d
  ON b.bin = CASE WHEN d < -1500 THEN 0 WHEN d >= 1500 THEN 121 ELSE CAST(floor((d + 1500) / 3000.0 * 120) AS BIGINT) + 1 END GROUP BY 1""")
 def _(spark, sf):
-    edges = G.chain_edges(G.keep_first(all_chains(spark, sf), MAX_CHAINS))
+    edges = G.chain_edges(G.keep_first(all_chains(spark, sf), POOL_CHAINS))
     return G.fixed_histogram(edges, F.col("diff"), -1500.0, 1500.0, 120)
 
 
@@ -117,11 +150,11 @@ def _(spark, sf):
     return rounded(G.color_balance(chain_slots(spark, sf)))
 
 
-@query("agg_25_sampling_yield", "chains", f"""
+@query("agg_25_sampling_yield", "full_chains", f"""
 SELECT n AS chains, a AS attempts, round(n / a::DOUBLE, 6) AS success_rate, {MAX_CHAINS} - n AS shortfall FROM (
- SELECT count(*) AS n, CAST(CASE WHEN count(*) >= {MAX_CHAINS} THEN max(attempt) + 1 ELSE {ATTEMPTS} END AS BIGINT) AS a FROM chains)""")
+ SELECT count(*) AS n, CAST(CASE WHEN count(*) >= {MAX_CHAINS} THEN max(attempt) + 1 ELSE {ATTEMPTS} END AS BIGINT) AS a FROM full_chains)""")
 def _(spark, sf):
-    return rounded(G.sampling_yield(all_chains(spark, sf), ATTEMPTS, MAX_CHAINS))
+    return rounded(G.sampling_yield(all_chains(spark, sf, MAX_CHAINS), ATTEMPTS, MAX_CHAINS))
 
 
 table("appearances", "sides", "SELECT player, count(*) AS n FROM sides GROUP BY 1")

@@ -29,12 +29,33 @@ def _(spark, sf):
     return splits.unionByName(made["exclusions"].select(F.concat_ws(":", F.lit("reason"), "reason").alias("item"), "n"))
 
 
-@query("job_02_build_win_chains", "chain_slots", """
-SELECT CAST(slot AS INT) AS slot, round(avg(CAST(color = 'white' AS DOUBLE)), 6) AS p_white, round(avg(rel), 6) AS mean FROM (
- SELECT *, elo - first_value(elo) OVER (PARTITION BY attempt ORDER BY slot) AS rel FROM chain_slots) GROUP BY 1""")
+@query("job_02_build_win_chains", "full_slots", """
+SELECT CAST(slot AS INT) AS slot, round(avg(CAST(color = 'white' AS DOUBLE)), 6) AS p_white, round(avg(rel), 6) AS mean, round(avg(elo), 6) AS elo, round(stddev_samp(elo), 6) AS sd, count(*) AS n FROM (
+ SELECT *, elo - first_value(elo) OVER (PARTITION BY attempt ORDER BY slot) AS rel FROM full_slots) GROUP BY 1""")
 def _(spark, sf):
-    made = J.build_win_chains(fx.games(spark, sf), GQ.LENGTH, GQ.ATTEMPTS, GQ.MAX_CHAINS)
-    return rounded(made["color_balance"].select("slot", "p_white").join(made["relative_elo"].select("slot", "mean"), "slot"))
+    made = J.build_win_chains(fx.games(spark, sf), GQ.LENGTH, GQ.MAX_CHAINS)
+    elos = made["slot_elo"].select("slot", F.col("mean").alias("elo"), "sd", "n")
+    return rounded(made["color_balance"].select("slot", "p_white").join(made["relative_elo"].select("slot", "mean"), "slot").join(elos, "slot"))
+
+
+@query("job_02_chain_pool", "chain_slots first_use games", """
+SELECT idx, game_id, white, black, result, (SELECT count(*) FROM chain_slots) AS slots, (SELECT count(DISTINCT player) FROM chain_slots) AS players FROM first_use JOIN games USING (game_id)""")
+def _(spark, sf):
+    made = J.build_win_chains(fx.games(spark, sf), GQ.LENGTH, GQ.POOL_CHAINS)
+    counted = made["appearances"].agg(F.struct(F.sum("n").alias("slots"), F.count(F.lit(1)).alias("players")).alias("v")).scalar()
+    pool = made["pool"].select("idx", "game_id", "white", "black", "result").withColumn("v", counted)
+    return pool.select("idx", "game_id", "white", "black", "result", "v.slots", "v.players")
+
+
+@query("job_02_chain_edges", "chains", """
+, e AS (SELECT i, CAST(es[i + 1].winner_elo - es[i + 1].loser_elo AS DOUBLE) AS d FROM chains, (SELECT range AS i FROM range(7)))
+SELECT CAST(i AS BIGINT) AS item, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, count(*) AS n FROM e GROUP BY 1
+UNION ALL SELECT 1000 + CASE WHEN d < -1500 THEN 0 WHEN d >= 1500 THEN 121 ELSE CAST(floor((d + 1500) / 3000.0 * 120) AS BIGINT) + 1 END, 0.0, 0.0, count(*) FROM e GROUP BY 1""")
+def _(spark, sf):
+    made = J.build_win_chains(fx.games(spark, sf), GQ.LENGTH, GQ.POOL_CHAINS)
+    links = made["edge_elo"].select(F.col("link").cast("bigint").alias("item"), "mean", "sd", "n")
+    bins = made["edge_histogram"].filter("n > 0").select((F.col("bin") + 1000).alias("item"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sd"), "n")
+    return rounded(links.unionByName(bins))
 
 
 @query("job_03_stride_chains", "games", """

@@ -49,22 +49,41 @@ def prepare_corpus(
     }
 
 
-def build_win_chains(games: DataFrame, length: int, attempts: int, max_chains: int, seed: str = "chain") -> dict[str, DataFrame]:
-    """Chains of distinct players, each beaten by the next, with a training game per slot.
+def build_win_chains(
+    games: DataFrame,
+    length: int = 8,
+    max_chains: int = 50_000,
+    attempts: int | None = None,
+    edge_cap: int | None = G.MAX_OUT_EDGES,
+    game_cap: int | None = G.MAX_GAMES_PER_PLAYER,
+    seed: str = "chain",
+) -> dict[str, DataFrame]:
+    """Chains of distinct players, each beaten by the next, with a training game per slot, and all reports about them.
 
-    The sampled chains (at most one row per attempt) are stored once; every result reads them.
+    attempts: 20 per chain unless given. Caps bound how many wins and games of a player take part (None: all).
+    The index and the chains are stored once; every result reads them.
     """
-    edges = G.win_edges(games)
-    paths = G.sample_paths(G.chain_seeds(edges, attempts, seed), edges, length, seed)
-    chains = cut_lineage(G.pick_training_games(G.weak_to_strong(paths), G.player_games(games), "train"))
-    kept = G.keep_first(chains, max_chains)
-    slots = G.chain_slots(kept)
+    attempts = max(20 * max_chains, 1_000) if attempts is None else attempts
+    index = G.chain_index(games, edge_cap, game_cap, seed)
+    found = G.sample_chains(index, length, attempts, max_chains, seed)
+    kept = cut_lineage(G.keep_first(found, max_chains))
+    slots = cut_lineage(G.chain_slots(kept))
+    edges = G.chain_edges(kept)
+    ids = cut_lineage(G.dense_by_first_use(slots))
+    gap = F.abs(F.col("white_elo") - F.col("black_elo"))
     return {
         "slots": slots,
-        "edges": G.chain_edges(kept),
-        "yield": G.sampling_yield(chains, attempts, max_chains),
+        "edges": edges,
+        "pool": ids.join(games, "game_id"),
+        "lines": G.chain_lines(slots, ids),
+        "yield": G.sampling_yield(found, attempts, max_chains),
         "relative_elo": G.relative_elo(slots),
         "color_balance": G.color_balance(slots),
+        "slot_elo": G.moments(slots, F.col("elo").cast("double"), "slot"),
+        "edge_elo": G.moments(edges, F.col("diff").cast("double"), "link"),
+        "edge_histogram": G.fixed_histogram(edges, F.col("diff"), -1500.0, 1500.0, 120),
+        "gap_histogram": G.fixed_histogram(games, gap, 0.0, 2000.0, 80),
+        "appearances": slots.groupBy("player").agg(F.count(F.lit(1)).alias("n")),
     }
 
 

@@ -312,7 +312,7 @@ def _(spark, sf):
 
 
 @query("snk_01_partitioned_corpus", "kept", """
-SELECT CASE WHEN rn <= 10 THEN 'eval' ELSE 'train' END AS split, bin, count(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM kept) WHERE rn <= 60 GROUP BY 1, 2""")
+SELECT CASE WHEN rn <= 2200 THEN 'eval' ELSE 'train' END AS split, bin, count(*) AS n FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('quota:' || game_id), game_id) AS rn FROM kept) GROUP BY 1, 2""")
 def _(spark, sf):
     from duelgauge.plans.registry import QUERIES
 

@@ -318,9 +318,11 @@ def _(spark, sf):
     return TR.uniform_positions(spark, fx.ranked_games(spark, sf), fx.positions(spark, sf), GROUPS, "up")
 
 
-table("slot_positions", "chain_slots positions", """
- SELECT s.attempt, s.slot, s.game_id, p.ply FROM chain_slots s JOIN positions p USING (game_id)
- WHERE p.color = s.color OR NOT EXISTS (SELECT 1 FROM positions q WHERE q.game_id = s.game_id AND q.color = s.color)""")
+table("side_counts", "positions", "SELECT game_id, count(*) FILTER (color = 'white') AS w, count(*) FILTER (color = 'black') AS b FROM positions GROUP BY 1")
+table("slot_positions", "chain_slots positions side_counts", """
+ SELECT s.attempt, s.slot, s.game_id, p.ply FROM (
+  SELECT attempt, slot, game_id, unnest(CASE WHEN (color = 'white' AND w > 0) OR (color = 'black' AND b > 0) THEN [color] ELSE ['white', 'black'] END) AS want FROM chain_slots JOIN side_counts USING (game_id)) s
+ JOIN positions p ON p.game_id = s.game_id AND p.color = s.want""")
 
 
 @query("jn_19_slot_positions", "slot_positions", "SELECT attempt, CAST(slot AS INT) AS slot, game_id, ply FROM slot_positions")

@@ -95,12 +95,11 @@ def test_duplicate_ids_are_reported_once_per_copy(spark, games):
     assert X.exclusion_counts(made).filter("reason = 'duplicate_game'").first().n == 5
 
 
-def test_chains_are_simple_paths_of_real_wins(spark, games):
+@pytest.mark.parametrize("caps", [(16, 32), (None, None), (2, 3)])
+def test_chains_are_simple_paths_of_real_wins(spark, games, caps):
     df = spark.createDataFrame(games)
-    edges = G.win_edges(df)
-    chains = G.pick_training_games(
-        G.weak_to_strong(G.sample_paths(G.chain_seeds(edges, 200, "t"), edges, 5, "t")), G.player_games(df), "t"
-    ).collect()
+    index = G.chain_index(df, *caps)
+    chains = G.sample_chains(index, 5, 200, 1_000, "t").collect()
     by_id = games.set_index("game_id")
     assert chains
     for chain in chains:
@@ -115,6 +114,24 @@ def test_chains_are_simple_paths_of_real_wins(spark, games):
             assert by_id.loc[t.game_id][t.color] == player
 
 
+def test_draws_are_uniform_over_what_is_usable(spark):
+    """b beat c 30 times and d once; a beat b. From a, the third player is c in 30 of 31 draws, and d can only end a path."""
+    rows = [("a", "b")] + [("b", "c")] * 30 + [("b", "d"), ("c", "a"), ("c", "b")]
+    table = pd.DataFrame(rows, columns=["white", "black"]).assign(game_id=range(len(rows)), result=1, white_elo=1500, black_elo=1400, event="x", played_at=pd.Timestamp("2024-01-01"))
+    index = G.chain_index(spark.createDataFrame(table), None, None)
+    paths = [tuple(r.players) for r in G.sample_paths(G.chain_seeds(index, 0, 3_000), index, 3, "u").collect()]
+    from_a = [p for p in paths if p[0] == "a"]
+    assert {p[:2] for p in from_a} == {("a", "b")} and 0.94 < sum(p[2] == "c" for p in from_a) / len(from_a) < 0.99
+    assert {p for p in paths if p[0] == "c"} == {("c", "a", "b"), ("c", "b", "d")}  # b cannot go back to c, d has no win
+    assert {p for p in paths if p[0] == "b"} == {("b", "c", "a")}
+
+
+def test_rounds_do_not_change_the_chains(spark, games):
+    index = G.chain_index(spark.createDataFrame(games))
+    made = [G.keep_first(G.sample_chains(index, 4, 900, 50, "r", rate=rate), 50).select("attempt", "players").collect() for rate in (0.04, 1.0)]
+    assert sorted(made[0]) == sorted(made[1]) and made[0]
+
+
 def test_concentration_and_lorenz_against_numpy(spark):
     rng = np.random.default_rng(0)
     counts = np.sort(rng.zipf(1.8, 500).clip(max=2000))
