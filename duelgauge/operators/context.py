@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -137,43 +139,66 @@ def rank_capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
     return joined.withColumn("reason", F.coalesce("_policy", over, "_context")).drop("_policy", "_context", "_prior")
 
 
-def capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
-    """Exact greedy cap in time order, where only accepted games count.
+TAIL_ROWS = 4_096
+
+
+def _both_players(games: DataFrame, *columns: str) -> DataFrame:
+    side = lambda color: F.struct(F.lit(color).alias("color"), F.col(color).alias("player"), F.col(f"{color}_used").alias("used"))
+    return games.select("game_id", "played_at", *columns, F.explode(F.array(side("white"), side("black"))).alias("s")).select("game_id", "played_at", *columns, "s.*")
+
+
+def _walked(cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The greedy rule itself over a bounded number of games."""
+
+    def walk(games: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[str, int] = {}
+        accepted = []
+        for game_id, white, black, white_used, black_used in games.sort_values(["played_at", "game_id"])[
+            ["game_id", "white", "black", "white_used", "black_used"]
+        ].itertuples(index=False):
+            if max(taken.get(white, 0) + white_used, taken.get(black, 0) + black_used) < cap:
+                accepted.append(game_id)
+                for player in (white, black):
+                    taken[player] = taken.get(player, 0) + 1
+        return pd.DataFrame({"game_id": accepted})
+
+    return walk
+
+
+def accepted_games(usable: DataFrame, cap: int, tail_rows: int = TAIL_ROWS) -> DataFrame:
+    """Exact greedy cap in time order over (game_id, played_at, white, black): ids of the accepted games.
 
-    Every round bounds each player's accepted count before a game from below (games already
-    accepted) and above (plus those still open). A game is settled as soon as a bound decides it;
-    the earliest open game is always decided, so rounds end. Each round is a pair of distributed
-    running sums; nothing is collected but the number of open games.
+    Rounds work on the open games only. Each carries how many accepted games of its two players came before it; that
+    number is a lower bound, and with the open games before it an upper bound, of what the greedy rule would count. A game is
+    settled as soon as a bound decides it; the earliest open game always is. Settled games are written once and leave; the
+    open ones add the newly accepted games before them. The last `tail_rows` open games, at most, are walked in one task.
     """
-    narrow = _without_contexts(tagged)
-    state = cut_lineage(
-        narrow.filter("usable").select(
-            "game_id",
-            "played_at",
-            "white",
-            "black",
-            F.lit(0).cast("bigint").alias("_is_accepted"),
-            F.lit(1).cast("bigint").alias("_is_open"),
-        )
-    )
-    while state.filter("_is_open = 1").limit(1).count():
-        bounds = _prior_counts(
-            state, {"_low": F.col("_is_accepted"), "_high": F.col("_is_accepted") + F.col("_is_open")}
-        )
-        opened = F.col("_is_open") == 1
-        accept = opened & (F.col("_high") < cap)
-        refuse = opened & (F.col("_low") >= cap)
-        state = cut_lineage(
-            state.join(bounds, "game_id").select(
-                "game_id",
-                "played_at",
-                "white",
-                "black",
-                F.when(accept, 1).otherwise(F.col("_is_accepted")).cast("bigint").alias("_is_accepted"),
-                F.when(accept | refuse, 0).otherwise(F.col("_is_open")).cast("bigint").alias("_is_open"),
-            )
+    zero = F.lit(0).cast("bigint")
+    frontier = cut_lineage(usable.select("game_id", "played_at", "white", "black", zero.alias("white_used"), zero.alias("black_used")))
+    settled = [frontier.select("game_id").limit(0)]
+    left = frontier.count()
+    by_time = (["player"], ["played_at", "game_id"], F.col("played_at"))
+    while left > tail_rows:
+        ahead = ordered.running_totals(_both_players(frontier), *by_time, {"_open": F.lit(1).cast("bigint")}, inclusive=False)
+        bounds = ahead.groupBy("game_id").agg(F.max(F.col("used") + F.col("_open")).alias("_most"), F.max("used").alias("_least"))
+        state = F.when(F.col("_most") < cap, 1).when(F.col("_least") >= cap, -1).otherwise(0).cast("bigint")
+        judged = cut_lineage(frontier.join(bounds, "game_id").withColumn("_state", state).drop("_most", "_least"))
+        settled.append(judged.filter("_state = 1").select("game_id"))
+        running = ordered.running_totals(_both_players(judged.filter("_state >= 0"), "_state"), *by_time, {"_gained": F.col("_state")}, inclusive=False)
+        gained = running.filter("_state = 0").groupBy("game_id").agg(
+            *[F.max(F.when(F.col("color") == c, F.col("used") + F.col("_gained"))).alias(f"{c}_used") for c in ("white", "black")]
         )
-    accepted = state.select("game_id", "_is_accepted")
+        frontier = cut_lineage(judged.filter("_state = 0").select("game_id", "played_at", "white", "black").join(gained, "game_id"))
+        left = frontier.count()
+    if left:
+        settled.append(cut_lineage(frontier.groupBy().applyInPandas(_walked(cap), frontier.select("game_id").schema)))
+    return reduce(DataFrame.unionByName, settled)
+
+
+def capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
+    """Exact greedy cap in time order, where only accepted games count."""
+    narrow = _without_contexts(tagged)
+    accepted = accepted_games(narrow.filter("usable"), cap).withColumn("_is_accepted", F.lit(1).cast("bigint"))
     slim = (
         narrow.join(accepted, "game_id", "left")
         .withColumn("_is_accepted", F.coalesce("_is_accepted", F.lit(0).cast("bigint")))

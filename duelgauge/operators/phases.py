@@ -92,7 +92,7 @@ def site_ratings(player_sides: DataFrame, first: int = 20) -> DataFrame:
 def phase_calibrations(bucket_totals: DataFrame) -> DataFrame:
     return bucket_totals.groupBy("phase", "low", "high").agg(
         ((F.first("low") + F.first("high")) / 2).alias("center"),
-        (F.sum("score_sum") / F.sum("n_moves")).alias("mean_score"),
+        F.try_divide(F.sum("score_sum"), F.sum("n_moves")).alias("mean_score"),
     )
 
 
@@ -118,7 +118,7 @@ def _estimates(pooled: DataFrame, lines: DataFrame, *by: str) -> DataFrame:
 def phase_gaps(bucket_totals: DataFrame, lines: DataFrame) -> DataFrame:
     """Per bucket and phase: rating, error, gap to the bucket's phase average, centred gap."""
     pooled = bucket_totals.groupBy("low", "high", "phase").agg(
-        F.sum("n_moves").alias("moves"), (F.sum("score_sum") / F.sum("n_moves")).alias("mean_phase_score")
+        F.sum("n_moves").alias("moves"), F.try_divide(F.sum("score_sum"), F.sum("n_moves")).alias("mean_phase_score")
     )
     ratings = (
         bucket_totals.select("low", "game_id", "white_rating", "black_rating")
@@ -134,7 +134,10 @@ def phase_gaps(bucket_totals: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def gap_errors(bucket_totals: DataFrame, lines: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """Bootstrap standard error of the gap, resampling the games of each bucket."""
+    """Bootstrap standard error of the gap, resampling the games of each bucket.
+
+    A replicate without a move of a phase has no rating of that phase, and its average is over the others.
+    """
     cell = lambda p, c: F.sum(F.when(F.col("phase") == p, F.col(c)).otherwise(0)).alias(f"{p}_{c}")
     games = bucket_totals.groupBy("low", "game_id").agg(*[cell(p, c) for p in PHASES for c in ("score_sum", "n_moves")])
     drawn = T.bootstrap_draws(games, "low", ["game_id"], replicates, seed)
@@ -147,7 +150,7 @@ def gap_errors(bucket_totals: DataFrame, lines: DataFrame, replicates: int, seed
         F.explode(
             F.array(
                 *[
-                    F.struct(F.lit(p).alias("phase"), (F.col(f"{p}_score_sum") / F.col(f"{p}_n_moves")).alias("mean_phase_score"))
+                    F.struct(F.lit(p).alias("phase"), F.try_divide(f"{p}_score_sum", f"{p}_n_moves").alias("mean_phase_score"))
                     for p in PHASES
                 ]
             )

@@ -12,9 +12,49 @@ from duelgauge.runtime import constant_list, constant_row, cut_lineage, shuffle_
 SEGMENT_PLIES = 512
 
 
+CUT_SLICES = 1_024
+OLDEST = -(1 << 62)
+
+
+def _as_number(df: DataFrame, name: str) -> Column:
+    """An order-preserving whole number for integers, dates and times; nulls below all."""
+    kind = df.schema[name].dataType.typeName()
+    number = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, lambda c: F.col(c).cast("bigint"))(name)
+    return F.coalesce(number.cast("bigint"), F.lit(OLDEST))
+
+
+def cut_value(df: DataFrame, number: Column, keep: int) -> tuple[int, int]:
+    """(v, rest): fewer than `keep` rows lie above v, and `rest` of the rows equal to v complete them.
+
+    Histograms of at most CUT_SLICES slices narrow the range of v down to one value; nothing is sorted.
+    """
+    rows = df.select(number.alias("v"))
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    while low < high:
+        width = -(-(high - low + 1) // CUT_SLICES)
+        slices = rows.filter(F.col("v").between(low, high)).groupBy(F.expr(f"(v - {low}L) div {width}L").alias("s")).count()
+        for row in sorted(slices.collect(), key=lambda r: -r["s"]):
+            if row["count"] >= keep:
+                low, high = low + row["s"] * width, min(high, low + (row["s"] + 1) * width - 1)
+                break
+            keep -= row["count"]
+    return low, keep
+
+
 def newest_games(games: DataFrame, keep: int, arrival: str = "arrival") -> DataFrame:
-    """The last `keep` games to arrive: a top-k, merged from per-task top-ks."""
-    return games.orderBy(F.desc(arrival), F.desc("game_id")).limit(keep)
+    """The last `keep` games to arrive, ties to the larger id: a filter on the arrival (and id) at which they begin.
+
+    A null arrival is the oldest. Rows equal in both are kept as far as needed.
+    """
+    if keep <= 0:
+        return games.limit(0)
+    if games.count() <= keep:
+        return games
+    when, which = _as_number(games, arrival), _as_number(games, "game_id")
+    day, rest = cut_value(games, when, keep)
+    tied = games.filter(when == day)
+    first, equal = cut_value(tied, which, rest)
+    return games.filter((when > day) | ((when == day) & (which > first))).unionByName(tied.filter(which == first).limit(equal))
 
 
 def with_following(rows: DataFrame, key: str, width: int, item: Column, name: str) -> DataFrame:

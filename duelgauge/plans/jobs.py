@@ -236,14 +236,29 @@ def native_evaluation(
 
 
 def assemble_training_batches(
-    spark: SparkSession, kind: str, source: DataFrame, positions: DataFrame, count: int, k: int, p: int, seed: str
+    spark: SparkSession,
+    kind: str,
+    source: DataFrame,
+    positions: DataFrame,
+    count: int,
+    k: int,
+    p: int,
+    seed: str,
+    same_game: bool = True,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
-    """Batches from ranks (games), chains (slots) or phases (examples)."""
+    """Batches from ranks (games), chains (slots) or phases (examples).
+
+    same_game: whether the p positions of a rank come from one game. With `statistics` (boundaries.loader_statistics),
+    a bin without a usable phase example fails the job before anything is drawn.
+    """
     if kind == "rank":
-        return TR.ranking_groups(spark, source, positions, count, k, p, seed)
+        return TR.ranking_groups(spark, source, positions, count, k, p, seed, same_game)
     if kind == "chain":
         return TR.chain_batch(spark, source, positions, count, p, seed)
     if kind == "phase":
+        if statistics is not None:
+            D.require_examples(statistics).count()
         return TR.phase_batch(spark, source, positions, count, k, p, seed)
     raise ValueError(f"unknown batch kind {kind}")
 

@@ -114,7 +114,7 @@ SELECT b.bin, count(t.game_id) AS games, count(*) FILTER (status = 'missing') AS
     f"(SELECT count(*) FROM examples x WHERE x.bin = b.bin AND phase = '{p}' AND (white_ok OR black_ok)) AS {p}_examples, (SELECT count(*) FROM examples x WHERE x.bin = b.bin AND phase = '{p}' AND NOT (white_ok OR black_ok)) AS {p}_too_few"
     for p in ("opening", "midgame", "endgame")) + " FROM (SELECT CAST(range AS BIGINT) AS bin FROM range(8)) b LEFT JOIN tag_status t USING (bin) GROUP BY 1")
 def _(spark, sf):
-    return D.loader_statistics(tagged(spark, sf), 6, 8)
+    return D.require_examples(D.loader_statistics(tagged(spark, sf), 6, 8))
 
 
 # Scalar targets ---------------------------------------------------------------------------------
