@@ -29,7 +29,7 @@ def bag_match(original: DataFrame, legacy: DataFrame, key: str = "key", order: s
     """Original rows matched against the legacy bag: a key matches as often as it occurs there."""
     quota = legacy.groupBy(key).agg(F.count(F.lit(1)).alias("_quota"))
     known = original.join(quota, key)
-    ranked = ordered.row_numbers(known, [key], [order], F.floor(F.col(order) / 65536), "_rn")
+    ranked = ordered.row_numbers(known, [key], [order], ordered.id_levels(F.col(order)), "_rn")
     return ranked.filter(F.col("_rn") <= F.col("_quota")).drop("_rn", "_quota")
 
 

@@ -175,7 +175,7 @@ def sample_chains(index: ChainIndex, length: int, attempts: int, max_chains: int
 
 def keep_first(chains: DataFrame, max_chains: int) -> DataFrame:
     """The first accepted chains in attempt order, by their number within blocks of attempts."""
-    numbered = ordered.row_numbers(chains, [], ["attempt"], F.floor(F.col("attempt") / 4096), "_nth")
+    numbered = ordered.row_numbers(chains, [], ["attempt"], ordered.id_levels(F.col("attempt")), "_nth")
     return numbered.filter(F.col("_nth") <= max_chains).drop("_nth")
 
 
@@ -337,14 +337,14 @@ def dense_by_first_use(slots: DataFrame) -> DataFrame:
     """Dense game ids in the order (attempt, slot) of first use: (game_id, idx)."""
     first = slots.groupBy("game_id").agg(F.min(F.struct("attempt", "slot")).alias("_first"))
     spread = first.select("game_id", F.col("_first.attempt").alias("_a"), F.col("_first.slot").alias("_s"))
-    ranked = ordered.row_numbers(spread, [], ["_a", "_s"], F.floor(F.col("_a") / 1024), "idx")
+    ranked = ordered.row_numbers(spread, [], ["_a", "_s"], ordered.id_levels(F.col("_a")), "idx")
     return ranked.select("game_id", (F.col("idx") - 1).alias("idx"))
 
 
 def dense_by_old_id(slots: DataFrame) -> DataFrame:
     """Dense game ids in ascending order of the old id: (game_id, idx)."""
     used = slots.select("game_id").distinct()
-    ranked = ordered.row_numbers(used, [], ["game_id"], F.floor(F.col("game_id") / 65536), "idx")
+    ranked = ordered.row_numbers(used, [], ["game_id"], ordered.id_levels(F.col("game_id")), "idx")
     return ranked.select("game_id", (F.col("idx") - 1).alias("idx"))
 
 

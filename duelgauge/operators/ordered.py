@@ -21,36 +21,55 @@ def _names(keys: Sequence[str]) -> list[str]:
     return list(keys)
 
 
+def id_levels(column: Column) -> list[Column]:
+    """Blocks of 8,192 consecutive ids, in blocks of 8,192 of those: at most 8,192 totals meet in a task for ids below 2^39."""
+    return [F.shiftright(column.cast("bigint"), 26), F.shiftright(column.cast("bigint"), 13)]
+
+
+def _carried(sums: DataFrame, keys: list[str], levels: list[str], totals: Sequence[str]) -> DataFrame:
+    """keys, levels and `_carry_*`: sum of the totals of all segments of the key that come before.
+
+    A task adds up the totals inside one segment of the level above; the sums of those are carried in the same way.
+    """
+    *upper, last = levels
+    whole = [*keys, *upper] or [F.lit(0)]
+    before = W.partitionBy(*whole).orderBy(last).rowsBetween(W.unboundedPreceding, -1)
+    position = W.partitionBy(*whole).orderBy(last)
+    inside = sums.select(
+        *keys, *levels, F.row_number().over(position).alias("_nth"), *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in totals]
+    )
+    if not upper:
+        return inside.filter(F.col("_nth") > 1).drop("_nth")
+    above = _carried(sums.groupBy(*keys, *upper).agg(*[F.sum(f"_sum_{n}").alias(f"_sum_{n}") for n in totals]), keys, upper, totals)
+    above = above.select(*keys, *upper, *[F.col(f"_carry_{n}").alias(f"_above_{n}") for n in totals])
+    both = inside.join(above, [*keys, *upper], "left")
+    added = [F.coalesce(f"_carry_{n}", F.lit(0)) + F.coalesce(f"_above_{n}", F.lit(0)) for n in totals]
+    return both.select(*keys, *levels, *[v.alias(f"_carry_{n}") for n, v in zip(totals, added)])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    segment: Column,
+    segment: Column | Sequence[Column],
     totals: dict[str, Column],
     inclusive: bool = True,
 ) -> DataFrame:
-    """Add running sums of `totals` per key. `segment` must not decrease along `order`."""
+    """Add running sums of `totals` per key. `segment` must not decrease along `order`.
+
+    A sequence of segments goes from coarse to fine, each cutting the one before it, so that the totals
+    of the segments are themselves summed in pieces.
+    """
     keys = _names(keys)
-    rows = df.withColumn(SEGMENT, segment)
-    frame = W.partitionBy(*keys, SEGMENT).orderBy(*order).rowsBetween(
+    columns = list(segment) if isinstance(segment, (list, tuple)) else [segment]
+    levels = [f"{SEGMENT}{k}" for k in range(len(columns))]
+    rows = df.select("*", *[c.alias(n) for c, n in zip(columns, levels)])
+    frame = W.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
     local = rows.select("*", *[F.sum(v).over(frame).alias(f"_local_{n}") for n, v in totals.items()])
-    sums = rows.groupBy(*keys, SEGMENT).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
-    whole = keys if keys else [F.lit(0)]
-    before = W.partitionBy(*whole).orderBy(SEGMENT).rowsBetween(W.unboundedPreceding, -1)
-    position = W.partitionBy(*whole).orderBy(SEGMENT)
-    carry = (
-        sums.select(
-            *keys,
-            SEGMENT,
-            F.row_number().over(position).alias("_nth"),
-            *[F.sum(f"_sum_{n}").over(before).alias(f"_carry_{n}") for n in totals],
-        )
-        .filter(F.col("_nth") > 1)
-        .drop("_nth")
-    )
-    joined = local.join(carry, [*keys, SEGMENT], "left")
+    sums = rows.groupBy(*keys, *levels).agg(*[F.sum(v).alias(f"_sum_{n}") for n, v in totals.items()])
+    joined = local.join(_carried(sums, keys, levels, list(totals)), [*keys, *levels], "left")
     return joined.select(
         *df.columns,
         *[
@@ -64,7 +83,7 @@ def row_numbers(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    segment: Column,
+    segment: Column | Sequence[Column],
     name: str = "rn",
 ) -> DataFrame:
     return running_totals(df, keys, order, segment, {name: F.lit(1).cast("bigint")})

@@ -153,8 +153,8 @@ def _(spark, sf):
     from duelgauge.operators import ordered
 
     g = fx.games(spark, sf).select("game_id", "played_at")
-    segment = F.struct("played_at", F.floor(F.col("game_id") / 65536).alias("block"))
-    return ordered.row_numbers(g, [], ["played_at", "game_id"], segment, "position").select("game_id", "position")
+    segments = [F.col("played_at"), *ordered.id_levels(F.col("game_id"))]
+    return ordered.row_numbers(g, [], ["played_at", "game_id"], segments, "position").select("game_id", "position")
 
 
 @query("top_02_most_frequent_players", "sides", "SELECT player, count(*) AS n FROM sides GROUP BY 1 ORDER BY n DESC, player LIMIT 500")

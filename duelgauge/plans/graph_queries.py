@@ -224,7 +224,7 @@ def _(spark, sf):
     from duelgauge.operators import ordered
 
     used = fx.games(spark, sf).select("game_id")
-    numbered = ordered.row_numbers(used, [], ["game_id"], F.floor(F.col("game_id") / 65536), "line_no")
+    numbered = ordered.row_numbers(used, [], ["game_id"], ordered.id_levels(F.col("game_id")), "line_no")
     return numbered.select((F.col("line_no") - 1).alias("line_no"), "game_id")
 
 

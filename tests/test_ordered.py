@@ -135,3 +135,25 @@ def test_no_weighted_draw_is_lost(spark):
     drawn = replay.weighted_draws(rows, 3000, "w", 0.4)
     assert drawn.count() == 3000 and drawn.select("draw").distinct().count() == 3000
     assert drawn.filter("ply % 7 <> game_id").count() == 0
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_nested_segments_equal_one_running_sum(spark, inclusive):
+    rng = np.random.default_rng(3)
+    ids = np.unique(np.r_[rng.integers(-(2**30), 2**41, 300), rng.integers(0, 40_000, 300)])
+    frame = pd.DataFrame({"k": np.where(ids % 3 == 0, "hot", (ids % 5).astype(str)), "id": ids, "v": rng.integers(-9, 9, len(ids))})
+    rows = spark.createDataFrame(frame).repartition(5)
+    for keys in ([], ["k"]):
+        got = ordered.running_totals(rows, keys, ["id"], ordered.id_levels(F.col("id")), {"s": F.col("v")}, inclusive).toPandas().sort_values("id")
+        sums = frame.groupby("k")["v"].cumsum() if keys else frame["v"].cumsum()
+        assert (got["s"].to_numpy() == (sums if inclusive else sums - frame["v"]).to_numpy()).all()
+
+
+def test_no_task_holds_many_segment_totals(spark):
+    """Ten billion consecutive ids: the totals that meet in one window of each level, counted without the rows."""
+    blocks = spark.range(0, 10**10, 8_192)
+    fine, coarse = ordered.id_levels(F.col("id"))[::-1]
+    per_task = blocks.select(coarse.alias("c"), fine.alias("f")).distinct().groupBy("c").count()
+    assert per_task.agg(F.max("count")).first()[0] <= 8_192 and per_task.count() <= 8_192
+    plan = ordered.row_numbers(spark.range(10), [], ["id"], ordered.id_levels(F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 3  # rows in a fine segment, fine totals in a coarse one, coarse totals
