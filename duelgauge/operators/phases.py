@@ -173,6 +173,15 @@ def phase_pivot(gaps: DataFrame, value: str) -> DataFrame:
     return gaps.groupBy("low").pivot("phase", list(PHASES)).agg(F.first(value))
 
 
+def phase_entries(bucket_totals: DataFrame) -> DataFrame:
+    """Player-games in wide form, as phase_accuracy takes them."""
+    cell = lambda p, c: F.sum(F.when(F.col("phase") == p, F.col(c)).otherwise(0)).alias(f"{p}_{c}")
+    own = F.when(F.col("color") == "white", F.col("white_rating")).otherwise(F.col("black_rating"))
+    return bucket_totals.groupBy("low", "game_id", "color").agg(
+        F.max(own).alias("rating"), *[cell(p, c) for p in PHASES for c in ("score_sum", "n_moves")]
+    )
+
+
 def phase_accuracy(
     entries: DataFrame, calibrations: DataFrame, per_trial: Sequence[int], trials: int, seed: str
 ) -> DataFrame:

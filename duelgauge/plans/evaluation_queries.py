@@ -388,11 +388,7 @@ SELECT phase, CAST(size AS INT) AS games_averaged, round(avg(CAST(pred = truth A
  round(avg(err) FILTER (n > 0), 4) AS mean_signed_error, round(avg(abs(err)) FILTER (n > 0), 4) AS mean_absolute_error, round(avg(CAST(n > 0 AS DOUBLE)), 6) AS fraction_trials_with_phase_moves FROM r GROUP BY 1, 2""")
 def _(spark, sf):
     rows = phase_rows(spark, sf)
-    cell = lambda p, c: F.sum(F.when(F.col("phase") == p, F.col(c)).otherwise(0)).alias(f"{p}_{c}")
-    entries = rows.filter("split = 'query'").groupBy("low", "game_id", "color").agg(
-        F.max(F.when(F.col("color") == "white", F.col("white_rating")).otherwise(F.col("black_rating"))).alias("rating"),
-        *[cell(p, c) for p in PH.PHASES for c in ("score_sum", "n_moves")],
-    )
+    entries = PH.phase_entries(rows.filter("split = 'query'"))
     out = PH.phase_accuracy(entries, PH.phase_calibrations(rows.filter("split = 'cand'")), SIZES, TRIALS, "phase")
     four = {"mean_signed_error", "mean_absolute_error"}
     return out.select(*[F.round(c, 4 if c in four else 6).alias(c) if c not in ("phase", "games_averaged") else F.col(c) for c in out.columns])

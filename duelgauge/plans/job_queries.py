@@ -95,6 +95,28 @@ def _(spark, sf):
     return made["gaps"].select("low", "phase", F.round("gap_vs_phase_average", 5).alias("gap_vs_phase_average"), F.round("gap_se", 4).alias("gap_se"))
 
 
+def phase_bins(spark, sf):
+    rows = E.phase_rows(spark, sf)
+    return J.evaluate_phase_bins(rows.filter("split = 'query'"), E.calibration(spark, sf), E.BOOT, "boot", rows.filter("split = 'cand'"), E.SIZES, E.TRIALS)
+
+
+@query("job_08_phase_accuracy", "", ORACLES["agg_43_phase_accuracy"])
+def _(spark, sf):
+    out = phase_bins(spark, sf)["accuracy"]
+    four = {"mean_signed_error", "mean_absolute_error"}
+    return out.select(*[F.round(c, 4 if c in four else 6).alias(c) if c not in ("phase", "games_averaged") else F.col(c) for c in out.columns])
+
+
+@query("job_08_phase_summary", "", f"""
+SELECT phase, mean_gap, mean_abs_gap, buckets FROM (
+ SELECT phase, round(avg(gap_vs_phase_average), 4) AS mean_gap, round(avg(abs(gap_vs_phase_average)), 4) AS mean_abs_gap FROM ({ORACLES['agg_11_phase_gaps']}) GROUP BY 1)
+ JOIN (SELECT phase, count(*) AS buckets FROM ({ORACLES['agg_10_phase_calibrations']}) GROUP BY 1) USING (phase)""")
+def _(spark, sf):
+    made = phase_bins(spark, sf)
+    counted = made["calibrations"].groupBy("phase").agg(F.count(F.lit(1)).alias("buckets"))
+    return made["summary"].join(counted, "phase").select("phase", F.round("mean_gap", 4).alias("mean_gap"), F.round("mean_abs_gap", 4).alias("mean_abs_gap"), "buckets")
+
+
 @query("job_09_move_analysis", "move_scores segments calibration", f"""
 , e AS ({E.estimate_sql('move_scores', 'score')})
 SELECT phase, round(quantile_cont(estimated_elo, 0.01), 4) AS p01, round(quantile_cont(estimated_elo, 0.5), 4) AS p50, round(quantile_cont(estimated_elo, 0.99), 4) AS p99 FROM e GROUP BY 1""")
@@ -221,3 +243,44 @@ def _(spark, sf):
 
     slices = {"event": lambda: F.col("event"), "favourite": lambda: F.when(F.col("white_elo") >= F.col("black_elo"), "white").otherwise("black")}
     return P.slice_metrics(PQ.baseline(spark, sf), slices=slices)
+
+
+@query("job_12_class_vote", "", ORACLES["agg_29_class_vote_max_prob"])
+def _(spark, sf):
+    positions = fx.read(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 4).alias("game_id"), (F.col("vec_id") % 4).alias("ply"), (F.floor(F.col("vec_id") / 4) * 7 % 9).alias("rank"), F.col("embedding").alias("classes")
+    )
+    return rounded(J.native_class_evaluation(positions, "max_prob", "+/-1", (1, 5, 10, 25, 50, 100), 500, "class"))
+
+
+@query("job_12_move_prediction", "", ORACLES["agg_28_move_agreement"])
+def _(spark, sf):
+    policies = fx.read(spark, sf, "embeddings").select((F.col("vec_id") % 3).alias("rank"), F.col("embedding").alias("policy"), (F.col("vec_id") % 64).cast("int").alias("played"))
+    return rounded(J.move_prediction(policies))
+
+
+@query("job_14_unrolled_targets", "", ORACLES["win_23_unrolled_targets"])
+def _(spark, sf):
+    rows = J.training_sets(fx.replay_rows(spark, sf), fx.ranked_games(spark, sf), TQ.NSTEP, TQ.DISCOUNT, 601, TQ.K, 9, 8, "pad")["unrolled"]
+    weigh = lambda c: F.aggregate(F.transform(c, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rounded(rows.select(
+        "game_id", "ply", F.concat_ws(",", F.transform("actions", lambda a: a.cast("string"))).alias("actions"),
+        weigh("rewards").alias("reward_check"), weigh("values").alias("value_check"),
+        F.size(F.filter("policy_actions", lambda a: a.isNull())).cast("bigint").alias("padded"),
+    ))
+
+
+@query("job_14_policy_targets", "", ORACLES["win_24_position_targets"])
+def _(spark, sf):
+    rows = J.training_sets(fx.replay_rows(spark, sf), fx.ranked_games(spark, sf), TQ.NSTEP, TQ.DISCOUNT, 601, TQ.K, 9, 8, "pad")["positions"]
+    return rounded(rows.select("game_id", "ply", F.posexplode("policy").alias("idx", "policy"), "value", "label"), "game_id", "ply", "idx", "policy", "value", "label")
+
+
+@query("job_14_symmetries", "", """
+SELECT vec_id, CAST(s AS INT) AS symmetry, CAST(ty * 8 + tx AS INT) AS point, round(p, 6) AS policy FROM (
+ SELECT *, CASE s % 4 WHEN 0 THEN x WHEN 1 THEN r WHEN 2 THEN 7 - x ELSE 7 - r END AS tx, CASE s % 4 WHEN 0 THEN r WHEN 1 THEN 7 - x WHEN 2 THEN 7 - r ELSE x END AS ty FROM (
+  SELECT vec_id, s, p, i % 8 AS x, CASE WHEN s >= 4 THEN 7 - i // 8 ELSE i // 8 END AS r FROM (
+   SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS p FROM embeddings), (SELECT range AS s FROM range(8))))""")
+def _(spark, sf):
+    rows = fx.read(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("policy"))
+    return rounded(J.augmented_policies(rows, 8).select("vec_id", "symmetry", F.posexplode("policy").alias("point", "policy")), "vec_id", "symmetry", "point", "policy")

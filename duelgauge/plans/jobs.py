@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from duelgauge.functions import board as B
 from duelgauge.functions import rating as R
 from duelgauge.functions import targets as V
 from duelgauge.operators import boundaries as D
@@ -162,10 +163,26 @@ def evaluate_bins(
     }
 
 
-def evaluate_phase_bins(bucket_totals: DataFrame, calibration: DataFrame, replicates: int, seed: str) -> dict[str, DataFrame]:
+def evaluate_phase_bins(
+    bucket_totals: DataFrame,
+    calibration: DataFrame,
+    replicates: int,
+    seed: str,
+    candidates: DataFrame | None = None,
+    per_trial: Sequence[int] = (),
+    trials: int = 0,
+    trial_seed: str = "phase",
+) -> dict[str, DataFrame]:
+    """Gaps between the phases of a bucket with their errors; with `candidates` (totals like bucket_totals), also a
+    calibration per phase and how well groups of games find their bucket from one phase alone."""
     lines = PH.same_line_for_all(K.fit_line(calibration))
     gaps = PH.phase_gaps(bucket_totals, lines).join(PH.gap_errors(bucket_totals, lines, replicates, seed), ["low", "phase"])
-    return {"gaps": gaps, "summary": PH.phase_summary(gaps), "pivot": PH.phase_pivot(gaps, "gap_vs_phase_average")}
+    made = {"gaps": gaps, "summary": PH.phase_summary(gaps), "pivot": PH.phase_pivot(gaps, "gap_vs_phase_average")}
+    if candidates is None:
+        return made
+    calibrations = cut_lineage(PH.phase_calibrations(candidates))
+    accuracy = PH.phase_accuracy(PH.phase_entries(bucket_totals), calibrations, per_trial, trials, trial_seed)
+    return made | {"calibrations": calibrations, "accuracy": accuracy}
 
 
 def rank_phase_gap(totals: DataFrame, calibration: DataFrame, reference: DataFrame) -> DataFrame:
@@ -235,6 +252,23 @@ def native_evaluation(
     return {"strength": strength, "curve": T.accuracy_curve(results, mode), "by_ply": N.strength_by_ply(queries.withColumn("weight", F.lit(1.0)))}
 
 
+def native_class_evaluation(
+    positions: DataFrame, mode: str, tolerance: str, per_trial: Sequence[int], trials: int, seed: str
+) -> DataFrame:
+    """Accuracy per rank and number of games where the class is voted by (or summed over) the positions of drawn games.
+
+    positions: rank, game_id, ply, classes.
+    """
+    games = positions.select("rank", "game_id").distinct()
+    return N.class_accuracy(N.class_trials(games, positions, mode, per_trial, trials, seed), tolerance)
+
+
+def move_prediction(policies: DataFrame) -> DataFrame:
+    """Share of moves among the k likeliest of the policy, per rank and over all. policies: rank, policy, played."""
+    ordered_moves = policies.select(F.col("rank").cast("string").alias("rank"), N.played_order(F.col("policy"), F.col("played")).alias("played_order"))
+    return N.agreement_curve(ordered_moves)
+
+
 def assemble_training_batches(
     spark: SparkSession,
     kind: str,
@@ -273,6 +307,24 @@ def training_targets(rows: DataFrame, n: int, discount: float, size: int, life_l
     )
 
 
+def training_sets(
+    rows: DataFrame, games: DataFrame, n: int, discount: float, size: int, k: int, actions: int, rank_size: int, seed: str
+) -> dict[str, DataFrame]:
+    """All training inputs of a replay table: value targets, k-step unrolled targets, and policy, result and rank targets."""
+    return {
+        "values": training_targets(rows, n, discount, size),
+        "unrolled": RB.unrolled_targets(rows, k, actions, seed),
+        "positions": TR.position_targets(rows, games, actions, rank_size),
+    }
+
+
+def augmented_policies(rows: DataFrame, size: int) -> DataFrame:
+    """Every row under the eight symmetries of its board; `policy` has one entry per point, and one for a pass if longer."""
+    turned = rows.withColumn("symmetry", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    moved = F.transform("policy", lambda p, i: F.struct(B.symmetric_index(i, F.col("symmetry"), size).alias("at"), p.alias("p")))
+    return turned.withColumn("policy", F.transform(F.array_sort(moved), lambda m: m["p"]))
+
+
 def sample_replay(targets: DataFrame, count: int, alpha: float, beta: float, seed: str) -> DataFrame:
     drawn = RB.weighted_draws(RB.prioritised(targets, alpha).select("game_id", "ply", "weight"), count, seed, beta)
     return drawn.join(targets, ["game_id", "ply"])
