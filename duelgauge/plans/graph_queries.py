@@ -83,9 +83,9 @@ def chain_slots(spark, sf):
     return cut_lineage(G.chain_slots(G.keep_first(all_chains(spark, sf), POOL_CHAINS)))
 
 
-@query("smp_04_chain_seeds", "full_chains_starters", f"SELECT a.range AS attempt, s.winner AS start FROM range({ATTEMPTS}) a JOIN full_chains_starters s ON s.pick = {_hash('chain', 'a.range')} % s.total + 1")
+@query("smp_04_chain_seeds", "full_chains_starters", f"SELECT a.range AS attempt, s.winner AS start FROM range({FIRST_POOL_ATTEMPTS}) a JOIN full_chains_starters s ON s.pick = {_hash('chain', 'a.range')} % s.total + 1")
 def _(spark, sf):
-    return G.chain_seeds(G.chain_index(fx.games(spark, sf)), 0, ATTEMPTS).select("attempt", "start")
+    return G.chain_seeds(G.chain_index(fx.games(spark, sf)), 0, FIRST_POOL_ATTEMPTS).select("attempt", "start")
 
 
 @query("jn_06_win_paths", "chains_a_hop7", "SELECT attempt, array_to_string(list_reverse(players), '>') AS players FROM chains_a_hop7")
