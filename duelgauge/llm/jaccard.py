@@ -13,9 +13,12 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Two
    inverted lists, and so do the light sets that are large enough for a heavy partner. The size up to
    which sets are light is the one with the least cost, subsets against the lengths of the lists.
 5. Links. Every class is compared with the centre of its size that shares most keys with it; this joins
-   groups of near copies without forming their pairs. Then exactly those keys whose classes still lie in
-   several components give all their pairs across components, in cells of bounded size, and these pairs
-   are compared. Every link joins two classes that are in one component or become so.
+   groups of near copies without forming their pairs. Then at each key stay the classes that sizes and
+   overlap bounds allow to link with one of another component there. In rounds, classes outside the
+   largest component of a key (pivots, a bounded number) are compared with all others of the key, which
+   lie in salted cells, and leave it; links join components, so that fewer classes stay for the next
+   round. No row but a pivot is repeated, and pivots are a quarter of a cell. Every link joins two classes
+   that are in one component or become so.
 
 Comparisons are exact on the full sets. Blocks, lists and cells that Python holds are bounded; what has
 to meet is shuffled by shingle, class or key.
@@ -33,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from duelgauge.llm.common import chunks, encoded, mixed, ship
@@ -43,11 +46,12 @@ WORDS = 5
 PERCENT = 80
 BLOCK_BYTES = 6 << 20
 SHARD_SHINGLES = 1_000_000
-CELL_ROWS = 2_048
+CELL_ROWS = 16_384  # members of a key that one cell holds, on average
+PIVOTS = CELL_ROWS // 4  # members of a key that meet all others in one round
 PAIR_ROWS = 128
 FILTER_WORDS = 1 << 17  # 64-bit words of the filter of doc_ids: one megabyte, whatever the data
 REMEMBERED = 200_000
-SETS = "doc_id long, class long, n_shingles long"
+SETS = "doc_id long, class long, n_shingles long, prefix binary"
 POSTED = "shard int, shingles binary, classes binary"
 BUCKETS = "bucket int, classes binary, numbers binary"
 
@@ -145,35 +149,40 @@ def _of_bucket(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, class and size of the set of every document, stored; class is null for empty sets."""
+    """doc_id, class and size of the set of every document, stored; class is null for empty sets.
+
+    prefix: the first shingles in hash order that screening counts, once per class and block.
+    """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
-            sets = [shingle_set(t, known) for t in encoded(batch.column("text"))]
-            classes = [class_of(s) if len(s) else None for s in sets]
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64()), "class": pa.array(classes, pa.int64()), "n_shingles": sizes})
+        for block in chunks(batches, "text", BLOCK_BYTES):
+            classes, sizes, prefixes, seen = [], [], [], set()
+            for text in encoded(block.column("text").combine_chunks()):
+                s = shingle_set(text, known)
+                n, c = len(s), class_of(s) if len(s) else None
+                classes.append(c)
+                sizes.append(n)
+                # Sets of up to three shingles link with equal ones only.
+                prefixes.append(s[: n - needed(n) + screen(n)].tobytes() if n > 3 and c not in seen else None)
+                seen.add(c)
+            arrays = [block.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "class", "n_shingles", "prefix"])
 
     return cut_lineage(docs.select("doc_id", "text").mapInArrow(read, SETS))
 
 
-def screened(docs: DataFrame, sets: DataFrame) -> DataFrame:
+def screened(sets: DataFrame) -> DataFrame:
     """Classes that can have a partner: enough of their hash-order prefix occurs in another class's."""
-    totals = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    shards = max(shuffle_width(docs.sparkSession), int(totals * 0.26) // SHARD_SHINGLES)
+    found = sets.filter("prefix IS NOT NULL").select("class", "prefix")
+    totals = (found.agg(F.sum(F.length("prefix"))).first()[0] or 0) // 8
+    shards = max(shuffle_width(sets.sparkSession), totals // SHARD_SHINGLES)
 
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for block in chunks(batches, "text", BLOCK_BYTES):
-            parts: dict[int, np.ndarray] = {}
-            for text in encoded(block.column("text").combine_chunks()):
-                s = shingle_set(text, known)
-                if len(s) > 3:  # smaller sets link with equal ones only
-                    parts[class_of(s)] = s[: len(s) - needed(len(s)) + screen(len(s))]
-            if parts:
-                classes = np.repeat(np.fromiter(parts, np.int64, len(parts)), [len(p) for p in parts.values()])
-                yield _sharded(np.concatenate(list(parts.values())), classes, shards)
+        for block in chunks(batches, "prefix", BLOCK_BYTES):
+            raw = block.column("prefix").to_pylist()
+            classes = np.repeat(block.column("class").to_numpy(), [len(p) // 8 for p in raw])
+            yield _sharded(np.frombuffer(b"".join(raw), np.uint64), classes, shards)
 
     def shared(frame: pd.DataFrame) -> pd.DataFrame:
         classes, counts = np.unique(_postings(frame)[1], return_counts=True)
@@ -184,7 +193,7 @@ def screened(docs: DataFrame, sets: DataFrame) -> DataFrame:
         classes, place = np.unique(c, return_inverse=True)
         return pd.DataFrame({"class": classes, "shared": np.bincount(place, counts, len(classes)).astype(np.int64)})
 
-    posted = docs.select("text").mapInArrow(prefixes, POSTED)
+    posted = found.mapInArrow(prefixes, POSTED)
     back = posted.groupBy("shard").applyInPandas(shared, BUCKETS)
     counted = back.groupBy("bucket").applyInPandas(total, "class long, shared long")
     sizes = sets.filter("class IS NOT NULL").groupBy("class").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"))
@@ -209,11 +218,11 @@ def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, seen = WordHashes(), set()
-        for batch in batches:
-            p = batch.column("place").to_numpy().astype(np.int64)
+        for block in chunks(batches, "text", BLOCK_BYTES):
+            p = block.column("place").to_numpy().astype(np.int64)
             hit = (bits.value[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
             sets = {}
-            for text in encoded(batch.column("text").filter(pa.array(hit))):
+            for text in encoded(block.column("text").combine_chunks().filter(pa.array(hit))):
                 s = shingle_set(text, known)
                 if len(s) > 3 and (c := class_of(s)) not in seen:
                     sets[c] = s
@@ -296,10 +305,16 @@ def light_limit(rows: DataFrame) -> int:
     return int(1.25 ** (int(table["band"].iloc[best - 1]) + 1)) if best else 0
 
 
+def may_link(bound: str, n: str, other: str) -> Column:
+    """An overlap of at most `bound` can be enough for two sets of these sizes."""
+    return F.col(bound) * (100 + PERCENT) >= (F.col(n) + F.col(other)) * PERCENT
+
+
 def keys(rows: DataFrame, limit: int) -> DataFrame:
     """key, class, n, own, rest: subsets and list entries.
 
-    own: shingles that no other class has; rest bounds the overlap of partners that meet here first.
+    own: shingles that no other class has; rest bounds the overlap of partners that meet here first. Left
+    out is what is too large to link here even with the key's smallest class.
     """
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,9 +337,9 @@ def keys(rows: DataFrame, limit: int) -> DataFrame:
             arrays = [pa.array(np.concatenate(x) if x else np.empty(0, np.int64)) for x in out]
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "class", "n", "own", "rest"])
 
-    made = rows.select("class", "n", "tokens").mapInArrow(emit, "key long, class long, n long, own long, rest long")
-    counts = made.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    return cut_lineage(made.join(counts, "key"))
+    made = cut_lineage(rows.select("class", "n", "tokens").mapInArrow(emit, "key long, class long, n long, own long, rest long"))
+    counts = made.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).filter("members > 1")
+    return cut_lineage(made.join(counts, "key").filter(may_link("rest", "n", "least")).drop("members", "least"))
 
 
 # --- 5: links ---------------------------------------------------------------------------------------
@@ -401,48 +416,76 @@ def with_component(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def open_pairs(keyed: DataFrame, comps: DataFrame, width: int) -> DataFrame:
-    """Distinct pairs of classes that share a key, may link and lie in different components."""
-    placed = with_component(keyed, comps)
-    spread = placed.groupBy("key").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"))
-    several = spread.filter("lowest <> highest").select("key")
-    members = placed.join(several, "key")
-    cells = F.ceil(F.col("members") / CELL_ROWS).cast("int")
+def partnered(keyed: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of keys, stored, that may link with a class of another component at the key.
+
+    Necessary is enough overlap for the smallest size, and by the largest bound, of the other components;
+    these come from the two best components of a key, so a key's rows need not meet.
+    """
+    placed = cut_lineage(with_component(keyed.select("key", "class", "n", "rest"), comps))
+    parts = placed.groupBy("key", "component").agg(F.min("n").alias("low"), F.max("rest").alias("high"), F.count(F.lit(1)).alias("members"))
+    best = parts.groupBy("key").agg(
+        F.min(F.struct("low", "component")).alias("small"), F.max(F.struct("high", "component")).alias("strong"),
+        F.max(F.struct("members", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("components"),
+    ).filter("components > 1")
+    both = cut_lineage(parts.join(best, "key"))
+    second = both.groupBy("key").agg(
+        F.min(F.when(F.col("component") != F.col("small.component"), F.col("low"))).alias("low_2"),
+        F.max(F.when(F.col("component") != F.col("strong.component"), F.col("high"))).alias("high_2"),
+    )
+    low = F.when(F.col("component") == F.col("small.component"), F.col("low_2")).otherwise(F.col("small.low"))
+    high = F.when(F.col("component") == F.col("strong.component"), F.col("high_2")).otherwise(F.col("strong.high"))
+    bounds = both.join(second, "key").select("key", "component", "largest", low.alias("other_n"), high.alias("other_rest"))
+    met = placed.join(bounds, ["key", "component"])
+    return cut_lineage(met.filter(may_link("rest", "n", "other_n") & may_link("other_rest", "n", "other_n")).drop("other_n", "other_rest"))
+
+
+def pivots_of(open_rows: DataFrame) -> DataFrame:
+    """Per key, the first classes outside its largest component, PIVOTS at most."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("key", "class"), "class")
+    outside = open_rows.filter("component <> largest").select("key", "class", F.row_number().over(order).alias("place"))
+    return cut_lineage(outside.filter(F.col("place") <= PIVOTS).drop("place"))
+
+
+def pivot_pairs(open_rows: DataFrame, pivots: DataFrame, width: int) -> DataFrame:
+    """Distinct pairs (a, b) of a pivot and a class of another component at its key that may link."""
+    cells = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("cells"))
+    known = open_rows.join(cells, "key").join(pivots.withColumn("pivot", F.lit(True)), ["key", "class"], "left")
+    known = cut_lineage(known.withColumn("pivot", F.col("pivot").isNotNull()).drop("largest"))
     mine = F.pmod(F.xxhash64("class"), F.col("cells")).cast("int")
-    dealt = members.withColumn("cells", cells).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    dealt = dealt.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "class", "n", "rest", "component")
-    dealt = dealt.repartition(width, "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    members = known.withColumn("pivot", F.lit(False)).withColumn("cell", mine)
+    repeated = known.filter("pivot").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    names = ["key", "cell", "pivot", "class", "n", "rest", "component"]
+    dealt = members.select(*names).unionByName(repeated.select(*names))
+    dealt = dealt.repartition(width, "key", "cell").sortWithinPartitions("key", "cell", F.desc("pivot"))
 
     def pairs_of(g: dict[str, np.ndarray], a: int, b: int) -> np.ndarray:
-        """Open pairs of one cell, a few rows against all later ones at a time."""
-        c = {k: v[a:b] for k, v in g.items()}
-        found = []
-        for start in range(0, b - a - 1, PAIR_ROWS):
-            i, j = np.arange(start, min(start + PAIR_ROWS, b - a))[:, None], np.arange(start, b - a)[None, :]
-            open_ = (j > i) & (c["component"][i] != c["component"][j])
-            if c["x"][0] != c["y"][0]:  # a cell of two blocks pairs across
-                open_ &= c["mine"][i] != c["mine"][j]
-            one, two = (start + at for at in np.nonzero(open_))
-            least = np.ceil(PERCENT * (c["n"][one] + c["n"][two]) / (100 + PERCENT) - 1e-9)
-            good = np.minimum(c["rest"][one], c["rest"][two]) >= least
-            one, two = c["class"][one[good]], c["class"][two[good]]
+        """Open pairs of one cell, a few pivots against all members at a time."""
+        first = a + int(g["pivot"][a:b].sum())
+        found = [np.empty((0, 2), np.int64)]
+        for start in range(a, first, PAIR_ROWS):
+            i, j = np.arange(start, min(start + PAIR_ROWS, first))[:, None], np.arange(first, b)[None, :]
+            one, two = np.nonzero(g["component"][i] != g["component"][j])
+            one, two = start + one, first + two
+            good = np.minimum(g["rest"][one], g["rest"][two]) * (100 + PERCENT) >= PERCENT * (g["n"][one] + g["n"][two])
+            one, two = g["class"][one[good]], g["class"][two[good]]
             found.append(np.stack([np.maximum(one, two), np.minimum(one, two)], 1))
         return np.concatenate(found)
 
     def pair_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held = ["key", "x", "y", "mine", "class", "n", "rest", "component"], None
+        held = None
 
         def close(g: dict[str, np.ndarray], last: bool) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
             size = len(g["key"])
-            change = np.flatnonzero((g["key"][1:] != g["key"][:-1]) | (g["x"][1:] != g["x"][:-1]) | (g["y"][1:] != g["y"][:-1])) + 1
+            change = np.flatnonzero((g["key"][1:] != g["key"][:-1]) | (g["cell"][1:] != g["cell"][:-1])) + 1
             edges = [0, *change.tolist(), *([size] if last else [])]
-            found = [pairs_of(g, a, b) for a, b in zip(edges, edges[1:]) if b - a > 1]
+            found = [pairs_of(g, a, b) for a, b in zip(edges, edges[1:]) if b - a > 1 and g["pivot"][a]]
             pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
             rest = {k: v[edges[-1] :] for k, v in g.items()}
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]), rest
 
         for batch in batches:
-            new = {k: batch.column(k).to_numpy() for k in names}
+            new = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             held = {k: np.concatenate([held[k], new[k]]) for k in names} if held else new
             if len(held["key"]):
                 made, held = close(held, last=False)
@@ -465,10 +508,16 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 def class_components(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """class and component of all classes that link with another one."""
     spark = docs.sparkSession
-    rows = ordered(spark, sets_of(docs, screened(docs, sets)))
+    rows = ordered(spark, sets_of(docs, screened(sets)))
     keyed = keys(rows, light_limit(rows))
     comps = forest_components(linked(centre_pairs(keyed), rows))
-    return merged(comps, linked(open_pairs(keyed, comps, shuffle_width(spark)), rows))
+    open_rows = partnered(keyed, comps)
+    # Where no pivot is left, all open classes of every key are of one component.
+    while not (pivots := pivots_of(open_rows)).isEmpty():
+        comps = merged(comps, linked(pivot_pairs(open_rows, pivots, shuffle_width(spark)), rows))
+        left = open_rows.select("key", "class", "n", "rest").join(pivots, ["key", "class"], "left_anti")
+        open_rows = partnered(left, comps)
+    return comps
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -481,7 +530,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = with_component(lowest, comps)
     names = grouped.groupBy("component").agg(F.min("low").alias("component_id"))
     of_class = cut_lineage(grouped.join(names, "component").select("class", "component_id"))
-    joined = sets.join(of_class, "class", "left")
+    joined = sets.drop("prefix").join(of_class, "class", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -68,6 +68,7 @@ def test_against_brute_force(spark):
 def test_heavy_lists_and_small_cells(spark, monkeypatch):
     rows = list(enumerate(texts(2)))
     monkeypatch.setattr(J, "CELL_ROWS", 4)
+    monkeypatch.setattr(J, "PIVOTS", 2)
     monkeypatch.setattr(J, "light_limit", lambda rows: 10)  # both kinds of keys meet
     assert joined(spark, rows) == brute(rows)
 
