@@ -196,11 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 def score(docs: DataFrame, model: Machine, name: str = "score") -> DataFrame:
     """All columns of `docs` and the score."""
     ship(__name__)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE x (1 + FACTORS) numbers, whatever the data
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.table))  # SIZE x (1 + FACTORS) numbers, whatever the data
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def rate(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, machine = Words(), shared.value
+        known, machine = Words(), Machine(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
