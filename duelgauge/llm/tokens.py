@@ -14,7 +14,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMORY_PIECES = 1_000_000  # about 200 MB in a Python worker
+MEMORY_BYTES = 96 << 20  # of all known pieces of a Python worker together
+PIECE_BYTES = 190  # what Python takes for a piece, its ids and their entry, but for their characters
 DOUBLE_SPACE = re.compile(r"\s\s")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -42,6 +43,7 @@ class PieceEncoder:
         self.spaces = spaces
         # Python workers outlive a task: what they learned is kept with the library they share.
         kept = tokenizers.__dict__.setdefault("_known_pieces", {})
+        self.kept = kept
         self.known: Pieces = kept.setdefault((path, "plain"), Pieces())
         self.after_space: Pieces = kept.setdefault((path, "after space"), Pieces())
         self.separator = "\n" if spaces else "|"
@@ -99,8 +101,10 @@ class PieceEncoder:
         asked = [w if not spaced or w[:1] == "\n" else " " + w for w in wanted]
         ids = self._learn(asked)
         fresh = {w: ids[a] for w, a in zip(wanted, asked)}
-        if len(known) + len(fresh) <= MEMORY_PIECES:
+        taken = sum(PIECE_BYTES + 2 * len(w) + len(i) for w, i in fresh.items())
+        if self.kept.get("bytes", 0) + taken <= MEMORY_BYTES:
             known |= fresh
+            self.kept["bytes"] = self.kept.get("bytes", 0) + taken
         return fresh
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

@@ -24,7 +24,7 @@ def test_piecewise_ids_are_the_ids_of_the_whole(name, spaces):
 def test_full_memory_changes_nothing(monkeypatch):
     from duelgauge.llm import tokens
 
-    monkeypatch.setattr(tokens, "MEMORY_PIECES", 0)
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 0)
     encoder = PieceEncoder(vocabulary_path("byte_bpe_50k.json"), True)
     assert encoder.encode(ODD) == [encoder._whole(t) for t in ODD]
 
