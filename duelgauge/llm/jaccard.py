@@ -48,6 +48,7 @@ BLOCK_BYTES = 6 << 20
 SHARD_SHINGLES = 1_000_000
 CELL_ROWS = 16_384  # members of a key that one cell holds, on average
 PIVOTS = CELL_ROWS // 4  # members of a key that meet all others in one round
+CENTRE_KEYS = 16  # keys by which a class looks for its centre; exact rounds follow
 PAIR_ROWS = 128
 FILTER_WORDS = 1 << 17  # 64-bit words of the filter of doc_ids: one megabyte, whatever the data
 REMEMBERED = 200_000
@@ -311,7 +312,7 @@ def may_link(bound: str, n: str, other: str) -> Column:
 
 
 def keys(rows: DataFrame, limit: int) -> DataFrame:
-    """key, class, n, own, rest: subsets and list entries.
+    """key, class, n, own, rest, members: subsets and list entries, and how many classes the key has.
 
     own: shingles that no other class has; rest bounds the overlap of partners that meet here first. Left
     out is what is too large to link here even with the key's smallest class.
@@ -339,7 +340,7 @@ def keys(rows: DataFrame, limit: int) -> DataFrame:
 
     made = cut_lineage(rows.select("class", "n", "tokens").mapInArrow(emit, "key long, class long, n long, own long, rest long"))
     counts = made.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least")).filter("members > 1")
-    return cut_lineage(made.join(counts, "key").filter(may_link("rest", "n", "least")).drop("members", "least"))
+    return cut_lineage(made.join(counts, "key").filter(may_link("rest", "n", "least")).drop("least"))
 
 
 # --- 5: links ---------------------------------------------------------------------------------------
@@ -365,13 +366,17 @@ def centre_pairs(keyed: DataFrame) -> DataFrame:
     """One pair per class: with the centre that shares most keys with it.
 
     The centre of the classes of one size band at a key is the one with the fewest shingles of its own,
-    as the text that others were copied from has; all pairs lead to a smaller (own, class).
+    as the text that others were copied from has; all pairs lead to a smaller (own, class). A class looks
+    for it at the keys that it shares with most others, CENTRE_KEYS at most: what this misses, the rounds
+    of pivots find.
     """
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
     banded = keyed.select("key", "class", "own", band.alias("band"))
     least = F.min(F.struct("own", "class"))["class"]
+    widest = Window.partitionBy("class").orderBy(F.desc("members"), "key")
+    asked = keyed.select("key", "class", band.alias("band"), F.row_number().over(widest).alias("place")).filter(F.col("place") <= CENTRE_KEYS).drop("place")
     centre = banded.groupBy("key", "band").agg(least.alias("centre"), F.count(F.lit(1)).alias("met")).filter("met > 1").drop("met")
-    met = banded.join(centre, ["key", "band"]).filter("class <> centre").groupBy("class", "centre").agg(F.count(F.lit(1)).alias("keys"))
+    met = asked.join(centre, ["key", "band"]).filter("class <> centre").groupBy("class", "centre").agg(F.count(F.lit(1)).alias("keys"))
     return met.groupBy(F.col("class").alias("a")).agg(F.max_by("centre", F.struct("keys", "centre")).alias("b"))
 
 
