@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from duelgauge.operators import calibration as K
 from duelgauge.operators import trials as T
+from duelgauge.operators.resample import bootstrap_sums
 from duelgauge.runtime import constant_list
 
 PHASES = ("opening", "midgame", "endgame")
@@ -140,10 +141,7 @@ def gap_errors(bucket_totals: DataFrame, lines: DataFrame, replicates: int, seed
     """
     cell = lambda p, c: F.sum(F.when(F.col("phase") == p, F.col(c)).otherwise(0)).alias(f"{p}_{c}")
     games = bucket_totals.groupBy("low", "game_id").agg(*[cell(p, c) for p in PHASES for c in ("score_sum", "n_moves")])
-    drawn = T.bootstrap_draws(games, "low", ["game_id"], replicates, seed)
-    summed = drawn.groupBy("low", "replicate").agg(
-        *[F.sum(f"{p}_{c}").alias(f"{p}_{c}") for p in PHASES for c in ("score_sum", "n_moves")]
-    )
+    summed = bootstrap_sums(games, "low", ["game_id"], [f"{p}_{c}" for p in PHASES for c in ("score_sum", "n_moves")], replicates, seed)
     long = summed.select(
         "low",
         "replicate",

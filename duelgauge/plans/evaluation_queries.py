@@ -7,6 +7,7 @@ from duelgauge.operators import calibration as K
 from duelgauge.operators import corpus as C
 from duelgauge.operators import ordered
 from duelgauge.operators import phases as PH
+from duelgauge.operators import resample as RS
 from duelgauge.operators import trials as T
 from duelgauge.plans.registry import query, table
 from duelgauge.runtime import cut_lineage
@@ -355,11 +356,41 @@ def _(spark, sf):
 BOOT = 200
 table("boot_games", "phase_rows", "SELECT low, game_id, " + ", ".join(
     f"sum(CASE WHEN phase = '{p}' THEN score_sum ELSE 0 END) AS {p}_s, sum(CASE WHEN phase = '{p}' THEN n_moves ELSE 0 END) AS {p}_n" for p in PH.PHASES) + " FROM phase_rows WHERE split = 'query' GROUP BY 1, 2")
-table("boot_pool", "boot_games", "SELECT *, ROW_NUMBER() OVER (PARTITION BY low ORDER BY md5('pool:' || game_id), game_id) AS draw, count(*) OVER (PARTITION BY low) AS pool FROM boot_games")
-table("boot_sums", "boot_pool", f"""
- SELECT d.low, d.replicate, {', '.join(f'sum({p}_s) / sum({p}_n) AS {p}' for p in PH.PHASES)} FROM (
-  SELECT low, r.replicate, CAST('0x' || substr(md5(concat_ws(':', 'boot', low, r.replicate, draw)), 1, 15) AS BIGINT) % pool + 1 AS draw FROM boot_pool, (SELECT range AS replicate FROM range({BOOT})) r) d
- JOIN boot_pool p USING (low, draw) GROUP BY 1, 2""")
+table("boot_pool", "boot_games", f"""
+ SELECT *, ROW_NUMBER() OVER (PARTITION BY low, leaf ORDER BY h, game_id) - 1 AS place, count(*) OVER (PARTITION BY low, leaf) AS m FROM (
+  SELECT *, bits >> ({RS.HASH_BITS} - depth) AS leaf FROM (
+   SELECT *, CASE WHEN (pool - 1) // {RS.LEAF} = 0 THEN 0 ELSE length(bin((pool - 1) // {RS.LEAF})) END AS depth FROM (
+    SELECT *, md5('tree:' || game_id) AS h, CAST('0x' || substr(md5('tree:' || game_id), 1, 15) AS BIGINT) AS bits, count(*) OVER (PARTITION BY low) AS pool FROM boot_games)))""")
+table("boot_node", "boot_pool", f"""
+ SELECT low, level, bits >> ({RS.HASH_BITS} - level) AS node, count(*) AS whole, count(*) FILTER (((bits >> ({RS.HASH_BITS - 1} - level)) & 1) = 0) AS lft
+ FROM boot_pool JOIN (SELECT range AS level FROM range({RS.HASH_BITS})) ON level < depth GROUP BY 1, 2, 3""")
+
+
+def boot_draws_sql():
+    """Counts of draws from the root of each group to its leaves, then the draws inside the leaves."""
+    (p1, p2), powers = ordered.MODULI, ordered.generator_powers(RS.COUNTED)
+    one, two = [a for a, _ in powers], [b for _, b in powers]
+    state = lambda text, at, p: f"CAST('0x' || substr(md5({text}), {at}, 15) AS BIGINT) % {p - 1} + 1"
+    node = "concat_ws(':', 'boot', low, level, node, replicate)"
+    value = lambda k: f"((s1 * {one}[{k} + 1] % {p1}) * {p2} + s2 * {two}[{k} + 1] % {p2})"
+    table("boot_split", "boot_node", f"""WITH RECURSIVE t AS (
+     SELECT DISTINCT low, replicate, 0::BIGINT AS level, 0::BIGINT AS node, pool AS d, depth FROM boot_pool, (SELECT range AS replicate FROM range({BOOT}))
+     UNION ALL SELECT low, replicate, level + 1, node * 2 + side, CASE side WHEN 0 THEN b ELSE d - b END, depth FROM (
+      SELECT *, CASE WHEN d <= {RS.COUNTED} THEN len(list_filter(range(d), lambda k: {value('k')} % whole < lft))
+       ELSE least(d, greatest(0, CAST(floor(d * (lft::DOUBLE / whole) + z * sqrt(d * (lft::DOUBLE / whole) * (1.0::DOUBLE - lft::DOUBLE / whole)) + 0.5::DOUBLE) AS BIGINT))) END AS b FROM (
+       SELECT t.*, whole, lft, {state(node + " || ':0'", 1, p1)} AS s1, {state(node + " || ':0'", 16, p2)} AS s2,
+        sqrt(-2.0::DOUBLE * ln(({state(node, 1, p1)})::DOUBLE / {p1})) * cos(2 * pi() * (({state(node, 16, p2)})::DOUBLE / {p2})) AS z
+       FROM t JOIN boot_node USING (low, level, node))), (VALUES (0), (1)) v(side))
+     SELECT low, replicate, node AS leaf, d FROM t WHERE level = depth""")
+    text = f"concat_ws(':', 'boot', 'leaf', low, leaf, replicate, k // {RS.COUNTED})"
+    table("boot_draws", "boot_split", f"""
+     SELECT low, replicate, leaf, {value(f'k % {RS.COUNTED}')} % m AS place FROM (
+      SELECT *, {state(text, 1, p1)} AS s1, {state(text, 16, p2)} AS s2 FROM (SELECT *, unnest(range(d)) AS k FROM boot_split JOIN (SELECT DISTINCT low, leaf, m FROM boot_pool) USING (low, leaf)))""")
+
+
+boot_draws_sql()
+table("boot_sums", "boot_draws", f"""
+ SELECT low, replicate, {', '.join(f'sum({p}_s) / sum({p}_n) AS {p}' for p in PH.PHASES)} FROM boot_draws JOIN boot_pool USING (low, leaf, place) GROUP BY 1, 2""")
 
 
 @query("smp_07_bootstrap_gap_error", "boot_sums one_line", """
