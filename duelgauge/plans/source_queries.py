@@ -195,7 +195,9 @@ def log_lines(spark, sf):
 SELECT event_id // 50 AS iteration, CASE WHEN event_id % 2 = 0 THEN 'loss_policy' ELSE 'SelfPlay Avg. Game Lengths' END AS metric, count(*) AS n FROM events WHERE event_id % 50 NOT IN (0, 20, 49) GROUP BY 1, 2""")
 def _(spark, sf):
     path = scratch_path(spark, "training-log")
-    log_lines(spark, sf).repartition("iteration").sortWithinPartitions("iteration", "event_id").select("iteration", "value").write.partitionBy("iteration").text(path)
+    ready = log_lines(spark, sf).repartition("iteration").sortWithinPartitions("iteration", "event_id").select("iteration", "value")
+    # Many small files: the tasks move their own into place, not the driver one by one.
+    ready.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("iteration").text(path)
     parsed = TB.read_training_log(spark, path).filter("kind = 'metric'")
     folder = F.regexp_extract("file", r"iteration=(\d+)/", 1).cast("bigint").alias("iteration")
     return parsed.groupBy(folder, "metric").agg(F.count(F.lit(1)).alias("n"))

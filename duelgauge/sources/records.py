@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duelgauge.functions import rating as R
 from duelgauge.functions import records as T
 from duelgauge.operators import ordered
+from duelgauge.runtime import broadcast_if_small, cut_lineage
 
 # Fixed value: the header of a catalogued record, tags in this order.
 CATALOG_HEADER = (
@@ -50,6 +52,21 @@ def with_line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
     return numbered.withColumn(name, F.col(name) - 1).drop("block", "at")
 
 
+def with_whole_file_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
+    """The same numbers for lines of which none was left out: `at` counts by one inside a block, so the first one
+    and the number of lines of every block are enough, and the text itself is neither shuffled nor sorted.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    starts = cut_lineage(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))))
+    inside = F.col("at") - F.col("_first")
+    known = F.when((inside >= 0) & (inside < F.col("_n")), inside + F.col("_before")).otherwise(
+        F.raise_error(F.lit("the files were cut into other blocks on the second reading")).cast("bigint")
+    )
+    joined = lines.join(broadcast_if_small(starts, starts), ["file", "block"], "left")
+    return joined.select(*[c for c in lines.columns if c not in ("block", "at")], known.alias(name))
+
+
 def parse_records(lines: DataFrame) -> DataFrame:
     """Tags of one-line records with the reason a line is unusable (`parse_skip`) or NULL."""
     value = F.col("value")
@@ -168,15 +185,16 @@ def read_pgn(spark: SparkSession, path: str | list[str]) -> DataFrame:
     pieces = numbered_lines(spark, path, "\n\n[Event ")
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r", "")
     whole = F.concat(F.lit("[Event "), F.regexp_replace(text, r"^\s*\[Event ", ""))
-    rows = with_line_numbers(pieces.withColumn("text", whole).drop("value"))
-    pattern = F.lit(r'(?m)^\[(\w+) "([^"]*)"\]')
-    pairs = F.arrays_zip(
-        F.regexp_extract_all("text", pattern, F.lit(1)).alias("k"), F.regexp_extract_all("text", pattern, F.lit(2)).alias("v")
-    )
-    kept = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["k"]), p["k"]) == i + 1)
+    rows = with_whole_file_numbers(pieces.withColumn("text", whole).drop("value"))
+    pattern = r'(?m)^\[(\w+) "([^"]*)"\]'
+    found = lambda group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    # Columns of their own: each text is searched once per group, not once per tag and use.
+    named = rows.filter(F.col("text").rlike(pattern)).withColumn("_names", found(1)).withColumn("_values", found(2))
+    pairs = F.arrays_zip(F.col("_names").alias("k"), F.col("_values").alias("v"))
+    kept = F.filter(pairs, lambda p, i: F.array_position("_names", p["k"]) == i + 1)
     tags = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
     body = F.trim(F.regexp_replace(F.regexp_replace("text", r'(?m)^\[\w+ "[^"]*"\]$', ""), r"\s+", " "))
-    return rows.select("file", "line_no", tags.alias("tags"), body.alias("movetext")).filter(F.size("tags") > 0)
+    return named.select("file", "line_no", tags.alias("tags"), body.alias("movetext"))
 
 
 # Half-open lower and closed upper bound of convertible ratings, and the least plies.

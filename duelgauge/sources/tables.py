@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from duelgauge import schemas
 from duelgauge.runtime import require
-from duelgauge.sources.records import numbered_lines, with_line_numbers
+from duelgauge.sources.records import numbered_lines, with_line_numbers, with_whole_file_numbers
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -57,7 +57,7 @@ def read_metric_reports(spark: SparkSession, path: str) -> DataFrame:
 
 def read_accuracy_table(spark: SparkSession, path: str, max_games: int | None = None) -> DataFrame:
     """Accuracy table of an evaluator log: (games, rank, accuracy) after the summary marker."""
-    lines = with_line_numbers(numbered_lines(spark, path))
+    lines = with_whole_file_numbers(numbered_lines(spark, path))
     marker = lines.filter(F.col("value").contains("Summarizing accuracy")).groupBy("file").agg(F.min("line_no").alias("_at"))
     after = lines.join(marker, "file").filter(F.col("line_no") > F.col("_at"))
     cells = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\s+")
@@ -94,7 +94,7 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
         .when(v.contains("[Optimization] Start."), "optimization_start")
         .when(v.contains("[Optimization] Finished."), "optimization_finish")
     )
-    lines = with_line_numbers(numbered_lines(spark, path)).withColumn("kind", kind).filter("kind IS NOT NULL")
+    lines = with_whole_file_numbers(numbered_lines(spark, path)).withColumn("kind", kind).filter("kind IS NOT NULL")
     named = lines.select(
         "file",
         "line_no",
@@ -109,7 +109,7 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_match_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of match result files after the header line, with both model steps from the command lines."""
-    lines = with_line_numbers(numbered_lines(spark, path))
+    lines = with_whole_file_numbers(numbered_lines(spark, path))
     v = F.col("value")
     step = lambda side: F.max(F.when(v.contains(f"{side}Command"), F.regexp_extract(v, r"weight_iter_(\d+)", 1).try_cast("bigint")))
     heads = lines.groupBy("file").agg(
