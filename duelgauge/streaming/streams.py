@@ -51,9 +51,14 @@ def _newest(spark: SparkSession, out: str, keys: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v")).select(*keys, "v.*")
 
 
-def _run_updates(changed: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...], enrich=lambda rows: rows) -> None:
+def _run_updates(
+    changed: DataFrame, out: str, checkpoint: str, keys: tuple[str, ...], enrich=lambda rows: rows, partitions: int | None = None
+) -> None:
     """Run all available input; every batch's changed rows are enriched and written inside the batch.
 
+    Every batch loads and stores each partition of the state, full or not, so keys that are few want few `partitions`
+    (None: as many as the session shuffles into). A restart keeps the number of the checkpoint.
+
     Every COMPACT_EVERY batches the newest row per key becomes the base and older folders go, so what
     is kept is bounded by the keys and a few batches. Repeating a batch overwrites its own folder.
     """
@@ -68,13 +73,19 @@ def _run_updates(changed: DataFrame, out: str, checkpoint: str, keys: tuple[str,
                 if (kind, n) != ("base", number):
                     delete_path(spark, f"{out}/{kind}={n}")
 
-    query = (
+    writer = (
         changed.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .foreachBatch(save)
-        .start()
     )
+    width = "spark.sql.shuffle.partitions"
+    session = spark.conf.get(width)
+    try:
+        spark.conf.set(width, str(partitions or session))
+        query = writer.start()  # takes its own copy of the settings
+    finally:
+        spark.conf.set(width, session)
     query.awaitTermination()
 
 
@@ -92,7 +103,9 @@ def selfplay_intake(spark: SparkSession, source: str, out: str, checkpoint: str,
         .select("value", F.regexp_extract("_metadata.file_path", r"iteration=(\d+)/", 1).cast("bigint").alias("iteration"))
     )
     stats = iteration_stats(current_model_only(parse_selfplay(lines)))
-    _run_updates(stats, out, checkpoint, ("iteration",))
+    # One small row per iteration: one partition of the state per task slot, no more than the session has.
+    slots = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    _run_updates(stats, out, checkpoint, ("iteration",), partitions=slots)
     return latest(spark, out, "iteration")
 
 
