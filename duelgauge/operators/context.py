@@ -22,8 +22,8 @@ def player_contexts(games: DataFrame, policy: ContextPolicy, newest_first: Seque
 
     Dates have day precision, so all games of a player on one day share one context: the work is
     done per (player, day), not per game. A day keeps at most its N newest games (a group limit
-    that prunes before the shuffle), and the last N games up to a day lie within the last N playing
-    days, so all arrays are bounded and a very active player is no more rows than there are days.
+    that prunes before the shuffle), so a very active player is at most N rows per playing day, and
+    a context is one bounded frame over them.
     `newest_first` is the selection order among the games of one day.
     """
     n = policy.context_size
@@ -39,24 +39,21 @@ def player_contexts(games: DataFrame, policy: ContextPolicy, newest_first: Seque
         F.col("outcome"),
         F.col("played_at"),
     )
-    packed = F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("o"), item.alias("item"))))
-    days = kept.groupBy("player", "played_at").agg(F.transform(packed, lambda s: s["item"]).alias("_games"))
-
-    day = F.datediff("played_at", F.lit("1970-01-01"))
-    by_day = W.partitionBy("player").orderBy("_day")
-    joined = F.flatten(F.collect_list("_games").over(by_day.rowsBetween(-(n - 1), 0)))
-    size = F.least(F.size("_all"), F.lit(n))
+    # In time order the games before the first one of a day are the context of that day.
+    by_game = W.partitionBy("player").orderBy("played_at", F.desc("_back"))
     min_days = max(1, -(-policy.min_context_age_seconds // DAY_SECONDS))
-    tails = (
-        days.withColumn("_day", day)
-        .withColumn("_all", joined)
-        .withColumn("_tail", F.slice("_all", F.size("_all") - size + 1, size))
-    )
     if min_days == 1:
-        found = tails.withColumn("context", F.lag("_tail").over(by_day))
+        new_day = ~F.lag("played_at").over(by_game).eqNullSafe(F.col("played_at"))
+        before = F.collect_list(item).over(by_game.rowsBetween(-n, -1))
+        found = kept.select("player", "played_at", new_day.alias("_first"), before.alias("context")).filter("_first")
     else:
-        numbered = tails.withColumn("_nth", F.row_number().over(by_day)).withColumn(
-            "_upto", F.count(F.lit(1)).over(by_day.rangeBetween(W.unboundedPreceding, -min_days))
+        by_day = W.partitionBy("player").orderBy("_day")
+        tail = F.collect_list(item).over(by_game.rowsBetween(-(n - 1), 0))
+        tails = kept.select("player", "played_at", "_back", tail.alias("_tail")).filter("_back = 1")
+        numbered = (
+            tails.withColumn("_day", F.datediff("played_at", F.lit("1970-01-01")))
+            .withColumn("_nth", F.row_number().over(by_day))
+            .withColumn("_upto", F.count(F.lit(1)).over(by_day.rangeBetween(W.unboundedPreceding, -min_days)))
         )
         source = numbered.select("player", F.col("_nth").alias("_upto"), F.col("_tail").alias("context"))
         found = numbered.select("player", "played_at", "_upto").join(source, ["player", "_upto"], "left")
@@ -68,11 +65,12 @@ def player_contexts(games: DataFrame, policy: ContextPolicy, newest_first: Seque
 
 
 def attach_contexts(games: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Both contexts of every game. `_white_found` and `_black_found` tell whether there is one without reading it."""
     out = games
     for side in ("white", "black"):
         out = out.join(
             contexts.select(
-                F.col("player").alias(side), "played_at", F.col("context").alias(f"{side}_context")
+                F.col("player").alias(side), "played_at", F.col("context").alias(f"{side}_context"), F.col("player").alias(f"_{side}_found")
             ),
             [side, "played_at"],
             "left",
@@ -81,8 +79,8 @@ def attach_contexts(games: DataFrame, contexts: DataFrame) -> DataFrame:
 
 
 def context_reason() -> Column:
-    return F.when(F.col("white_context").isNull(), "white_insufficient_context").when(
-        F.col("black_context").isNull(), "black_insufficient_context"
+    return F.when(F.col("_white_found").isNull(), "white_insufficient_context").when(
+        F.col("_black_found").isNull(), "black_insufficient_context"
     )
 
 
@@ -101,7 +99,7 @@ def build_examples(
     contexts = cut_lineage(player_contexts(games, policy, newest_first))
     tagged = attach_contexts(unique, contexts)
     base = F.when(F.col("_copy") > 1, "duplicate_game").otherwise(policy_reason(policy))
-    tagged = tagged.withColumn("_policy", base).withColumn("_context", context_reason()).drop("_copy")
+    tagged = tagged.withColumn("_policy", base).withColumn("_context", context_reason()).drop("_copy", "_white_found", "_black_found")
     if policy.max_predictions_per_player is None:
         return tagged.withColumn("reason", F.coalesce("_policy", "_context")).drop("_policy", "_context")
     capped = capped_predictions if strict_cap else rank_capped_predictions
@@ -142,9 +140,21 @@ def rank_capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
 TAIL_ROWS = 4_096
 
 
-def _both_players(games: DataFrame, *columns: str) -> DataFrame:
-    side = lambda color: F.struct(F.lit(color).alias("color"), F.col(color).alias("player"), F.col(f"{color}_used").alias("used"))
-    return games.select("game_id", "played_at", *columns, F.explode(F.array(side("white"), side("black"))).alias("s")).select("game_id", "played_at", *columns, "s.*")
+def _positions(games: DataFrame) -> DataFrame:
+    """Per player the places in time of these games, at most about `cap` of them if they are accepted ones."""
+    place = F.struct("played_at", "game_id").alias("place")
+    both = games.select(place, F.explode(F.array("white", "black")).alias("player"))
+    return both.groupBy("player").agg(F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def _with_places(games: DataFrame, places: DataFrame) -> DataFrame:
+    """Add the places of both players and, as `_white_before` and `_black_before`, how many come before the game."""
+    place = F.struct("played_at", "game_id")
+    for side in ("white", "black"):
+        own = places.select(F.col("player").alias(side), F.col("places").alias(f"_{side}_places"))
+        before = F.coalesce(F.size(F.filter(f"_{side}_places", lambda p: p < place)), F.lit(0)).cast("bigint")
+        games = games.join(own, side, "left").withColumn(f"_{side}_before", F.when(F.col(f"_{side}_places").isNull(), 0).otherwise(before))
+    return games
 
 
 def _walked(cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -168,27 +178,29 @@ def _walked(cap: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def accepted_games(usable: DataFrame, cap: int, tail_rows: int = TAIL_ROWS) -> DataFrame:
     """Exact greedy cap in time order over (game_id, played_at, white, black): ids of the accepted games.
 
-    Rounds work on the open games only. Each carries how many accepted games of its two players came before it; that
-    number is a lower bound, and with the open games before it an upper bound, of what the greedy rule would count. A game is
-    settled as soon as a bound decides it; the earliest open game always is. Settled games are written once and leave; the
-    open ones add the newly accepted games before them. The last `tail_rows` open games, at most, are walked in one task.
+    Rounds work on the open games only. Each carries how many accepted games of its two players came before it. A game is
+    accepted once that number and the open games before it together stay below the cap for both players: it is then among
+    a player's first `cap` open games, so a window that keeps no more finds it. The open games add what was accepted before
+    them, and those that reach the cap leave as refused. The earliest open game is always settled. The last `tail_rows`
+    open games, at most, are walked in one task.
     """
     zero = F.lit(0).cast("bigint")
     frontier = cut_lineage(usable.select("game_id", "played_at", "white", "black", zero.alias("white_used"), zero.alias("black_used")))
     settled = [frontier.select("game_id").limit(0)]
     left = frontier.count()
-    by_time = (["player"], ["played_at", "game_id"], F.col("played_at"))
+    in_time = W.partitionBy("player").orderBy("played_at", "game_id")
     while left > tail_rows:
-        ahead = ordered.running_totals(_both_players(frontier), *by_time, {"_open": F.lit(1).cast("bigint")}, inclusive=False)
-        bounds = ahead.groupBy("game_id").agg(F.max(F.col("used") + F.col("_open")).alias("_most"), F.max("used").alias("_least"))
-        state = F.when(F.col("_most") < cap, 1).when(F.col("_least") >= cap, -1).otherwise(0).cast("bigint")
-        judged = cut_lineage(frontier.join(bounds, "game_id").withColumn("_state", state).drop("_most", "_least"))
-        settled.append(judged.filter("_state = 1").select("game_id"))
-        running = ordered.running_totals(_both_players(judged.filter("_state >= 0"), "_state"), *by_time, {"_gained": F.col("_state")}, inclusive=False)
-        gained = running.filter("_state = 0").groupBy("game_id").agg(
-            *[F.max(F.when(F.col("color") == c, F.col("used") + F.col("_gained"))).alias(f"{c}_used") for c in ("white", "black")]
-        )
-        frontier = cut_lineage(judged.filter("_state = 0").select("game_id", "played_at", "white", "black").join(gained, "game_id"))
+        side = lambda color: F.struct(F.col(color).alias("player"), F.col(f"{color}_used").alias("used"))
+        rows = frontier.select("game_id", "played_at", "white", "black", F.explode(F.array(side("white"), side("black"))).alias("s"))
+        first = rows.select("game_id", "played_at", "white", "black", "s.*").withColumn("_nth", F.rank().over(in_time)).filter(F.col("_nth") <= cap)
+        sure = first.filter(F.col("used") + F.col("_nth") <= cap).groupBy("game_id", "played_at", "white", "black").agg(F.count(F.lit(1)).alias("_sides"))
+        accepted = cut_lineage(sure.filter("_sides = 2 AND game_id IS NOT NULL").drop("_sides"))
+        settled.append(accepted.select("game_id"))
+        counted = _with_places(frontier.filter("game_id IS NOT NULL"), _positions(accepted))
+        used = {f"{c}_used": F.col(f"{c}_used") + F.col(f"_{c}_before") for c in ("white", "black")}
+        taken = F.coalesce(F.array_contains("_white_places", F.struct("played_at", "game_id")), F.lit(False))
+        open_games = counted.filter(~taken).withColumns(used).filter((F.col("white_used") < cap) & (F.col("black_used") < cap))
+        frontier = cut_lineage(open_games.select("game_id", "played_at", "white", "black", "white_used", "black_used"))
         left = frontier.count()
     if left:
         settled.append(cut_lineage(frontier.groupBy().applyInPandas(_walked(cap), frontier.select("game_id").schema)))
@@ -198,17 +210,17 @@ def accepted_games(usable: DataFrame, cap: int, tail_rows: int = TAIL_ROWS) -> D
 def capped_predictions(tagged: DataFrame, cap: int) -> DataFrame:
     """Exact greedy cap in time order, where only accepted games count."""
     narrow = _without_contexts(tagged)
-    accepted = accepted_games(narrow.filter("usable"), cap).withColumn("_is_accepted", F.lit(1).cast("bigint"))
-    slim = (
-        narrow.join(accepted, "game_id", "left")
-        .withColumn("_is_accepted", F.coalesce("_is_accepted", F.lit(0).cast("bigint")))
-    )
-    prior = _prior_counts(slim, {"_prior": F.col("_is_accepted")})
-    over = F.when(F.col("_policy").isNull() & (F.col("_prior") >= cap), "max_predictions_per_player")
+    accepted = narrow.join(accepted_games(narrow.filter("usable"), cap), "game_id", "left_semi")
+    # The greedy rule gives a player no more than `cap` games, so their places are a short list.
+    counted = _with_places(narrow, _positions(accepted))
+    itself = (F.col("white") == F.col("black")) & F.array_contains("_white_places", F.struct("played_at", "game_id"))
+    prior = F.greatest("_white_before", "_black_before") + F.coalesce(itself, F.lit(False)).cast("bigint")
+    refused = counted.filter(prior >= cap).select("game_id", F.lit(True).alias("_over"))
+    over = F.when(F.col("_policy").isNull() & F.col("_over"), "max_predictions_per_player")
     return (
-        tagged.join(prior, "game_id", "left")
+        tagged.join(refused, "game_id", "left")
         .withColumn("reason", F.coalesce("_policy", over, "_context"))
-        .drop("_policy", "_context", "_prior")
+        .drop("_policy", "_context", "_over")
     )
 
 

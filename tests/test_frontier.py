@@ -2,11 +2,13 @@
 
 import datetime
 import random
+import re
 
 import pytest
 
 from duelgauge.operators import boundaries as D
 from duelgauge.operators import context as X
+from duelgauge.operators import corpus as C
 from duelgauge.operators import replay as RB
 
 
@@ -69,3 +71,34 @@ def test_a_bin_without_examples_fails(spark):
     assert D.require_examples(D.loader_statistics(games, 6, 2)).count() == 2
     with pytest.raises(Exception, match="no usable example"):
         D.require_examples(D.loader_statistics(games, 6, 3)).collect()
+
+
+def test_refused_games_leave_in_the_round_that_refuses_them(spark, monkeypatch):
+    day = datetime.date(2024, 1, 1)
+    rows = [(k, day + datetime.timedelta(days=k // 3), "star", f"p{k}") for k in range(30)]
+    games = spark.createDataFrame(rows, "game_id long, played_at date, white string, black string")
+    stored = []
+    kept = X.cut_lineage
+    monkeypatch.setattr(X, "cut_lineage", lambda df: stored.append(df) or kept(df))
+    got = {r.game_id for r in X.accepted_games(games, 2, 0).collect()}
+    assert got == greedy(rows, 2) == {0, 1}
+    assert len(stored) == 3  # all games, the accepted ones, no open ones
+
+
+def test_reasons_are_found_without_reading_contexts(spark):
+    pick = random.Random(3)
+    day = datetime.date(2024, 1, 1)
+    rows = []
+    for k in range(120):
+        white, black = pick.sample(["a", "b", "c", "d", "e"], 2)
+        rows.append((k, day + datetime.timedelta(days=k // 2), "Blitz", white, black, 1500, 1500, 1))
+    games = spark.createDataFrame(rows, "game_id long, played_at date, event string, white string, black string, white_elo long, black_elo long, result long")
+    made = X.build_examples(games, C.ContextPolicy(context_size=2, max_predictions_per_player=4), strict_cap=True)
+    plan = made.select("game_id", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"(?<![a-z_])context#|(white|black)_context#", plan)
+    full = {r.game_id: r for r in made.collect()}
+    for game_id, played_at, _, white, black, *_ in rows:
+        for side, player in (("white", white), ("black", black)):
+            earlier = [r[0] for r in sorted(rows, key=lambda r: (r[1], r[0])) if player in r[3:5] and r[1] < played_at][-2:]
+            held = full[game_id][f"{side}_context"]
+            assert [c.game_id for c in held or []] == (earlier if len(earlier) == 2 else [])
