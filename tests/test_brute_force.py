@@ -126,6 +126,29 @@ def test_draws_are_uniform_over_what_is_usable(spark):
     assert {p for p in paths if p[0] == "b"} == {("b", "c", "a")}
 
 
+def test_draws_do_not_shuffle_the_index(spark, games):
+    index = G.chain_index(spark.createDataFrame(games))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # no table counts as small by itself
+    try:
+        paths = G.sample_paths(G.chain_seeds(index, 0, 300), index, 3, "s")
+        plan = G.pick_training_games(G.weak_to_strong(paths), index, 3)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("BroadcastHashJoin") >= 3 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_large_rounds_give_the_same_chains(spark, games, monkeypatch):
+    index = G.chain_index(spark.createDataFrame(games))
+    draw = lambda: sorted(tuple(r) for r in G.sample_chains(index, 4, 400, 400, "r").select("attempt", "players").collect())
+    few = draw()
+    monkeypatch.setattr(G, "_asked", lambda rows, few: rows)
+    assert draw() == few and few
+    monkeypatch.undo()
+    monkeypatch.setattr(G, "ROUND_ATTEMPTS", 150)
+    assert draw() == few
+
+
 def test_rounds_do_not_change_the_chains(spark, games):
     index = G.chain_index(spark.createDataFrame(games))
     made = [G.keep_first(G.sample_chains(index, 4, 900, 50, "r", rate=rate), 50).select("attempt", "players").collect() for rate in (0.04, 1.0)]
