@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duelgauge.llm.common import ship
-from duelgauge.llm.tokens import PieceEncoder
+from duelgauge.llm.common import chunks, ship
+from duelgauge.llm.tokens import BLOCK_BYTES, PieceEncoder
 from duelgauge.runtime import cut_lineage
 
 CAPACITY = 2048
@@ -47,22 +47,20 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, spaces:
         seen, seed = 0, TaskContext.get().partitionId() << 40
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         schema = pa.schema(list(zip(("doc_id", "piece", "start", "length", "ids_crc32", "slot"), types)))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    ids += end
-                    count = len(ids) // 4
-                    first = count % capacity or capacity
-                    edges = [0, *range(first, count + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                columns = list(zip(*rows))
-                slots = np.arange(seed + seen, seed + seen + len(rows), dtype=np.int64)
-                seen += len(rows)
-                arrays = [pa.array(c, t) for c, t in zip([*columns, slots], types)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        for part in chunks(batches, "text", BLOCK_BYTES):
+            rows = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
+                ids += end
+                count = len(ids) // 4
+                first = count % capacity or capacity
+                edges = [0, *range(first, count + 1, capacity)]
+                for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                    rows.append((doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+            columns = list(zip(*rows))
+            slots = np.arange(seed + seen, seed + seen + len(rows), dtype=np.int64)
+            seen += len(rows)
+            arrays = [pa.array(c, t) for c, t in zip([*columns, slots], types)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from duelgauge.llm.common import ship
-from duelgauge.llm.tokens import PieceEncoder
+from duelgauge.llm.common import chunks, ship
+from duelgauge.llm.tokens import BLOCK_BYTES, PieceEncoder
 from duelgauge.runtime import cut_lineage, scratch_path, shuffle_width
 
 HEAD, TAIL, SEQUENCE, ENTRY = "<QI", "<I", "<BqI", "<QI"
@@ -142,16 +142,14 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
             row = [[part], [number], [out.name], [out.records], [out.ids]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                raw = encoder.encode(piece.column("text").to_pylist())
-                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), raw):
-                    out = out or RecordFile(folder)
-                    out.add(doc_id, ids + end)
-                    if out.offset >= FILE_BYTES:
-                        yield closed()
-                        out, number = None, number + 1
+        for piece in chunks(batches, "text", BLOCK_BYTES):
+            raw = encoder.encode(piece.column("text").to_pylist())
+            for doc_id, ids in zip(piece.column("doc_id").to_pylist(), raw):
+                out = out or RecordFile(folder)
+                out.add(doc_id, ids + end)
+                if out.offset >= FILE_BYTES:
+                    yield closed()
+                    out, number = None, number + 1
         if out:
             yield closed()
 

@@ -87,3 +87,17 @@ def test_random_texts_need_no_more_than_one_extra_bin():
     bins = P.pack_lengths(lengths)
     check(lengths, bins, 2048)
     assert len(bins) <= -(-int(lengths.sum()) // 2048) + 1
+
+
+def test_full_memory_keeps_pieces_that_return(monkeypatch):
+    import tokenizers
+
+    from duelgauge.llm import tokens
+
+    monkeypatch.setattr(tokenizers, "_known_pieces", {}, raising=False)
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 100_000)
+    encoder = tokens.PieceEncoder(tokens.vocabulary_path("word_bpe_49k.json"), False)
+    for k in range(200):
+        text = " ".join([f"q{k}x{j}" for j in range(10)] + ["late"] * (k >= 150))
+        assert encoder.encode([text]) == [encoder._whole(text)]
+    assert "late" in encoder.known and encoder.kept["bytes"] <= 100_000
