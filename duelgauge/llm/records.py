@@ -143,7 +143,7 @@ def write_records(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sp
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
         for piece in chunks(batches, "text", BLOCK_BYTES):
-            raw = encoder.encode(piece.column("text").to_pylist())
+            raw = encoder.encode(piece.column("text"))
             for doc_id, ids in zip(piece.column("doc_id").to_pylist(), raw):
                 out = out or RecordFile(folder)
                 out.add(doc_id, ids + end)

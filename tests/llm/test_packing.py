@@ -101,3 +101,40 @@ def test_full_memory_keeps_pieces_that_return(monkeypatch):
         text = " ".join([f"q{k}x{j}" for j in range(10)] + ["late"] * (k >= 150))
         assert encoder.encode([text]) == [encoder._whole(text)]
     assert "late" in encoder.known and encoder.kept["bytes"] <= 100_000
+
+
+VOCABULARIES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
+
+
+@pytest.mark.parametrize(("name", "spaces"), VOCABULARIES)
+def test_words_are_learned_apart_from_their_marks(monkeypatch, name, spaces):
+    import tokenizers
+
+    from duelgauge.llm import tokens
+
+    monkeypatch.setattr(tokenizers, "_known_pieces", {}, raising=False)
+    encoder = tokens.PieceEncoder(tokens.vocabulary_path(name), spaces)
+    text = " ".join(f"{'abcdéfgh'[k]}lorn{mark}" for k in range(8) for mark in (",", "!!", "***", ".&", "|"))
+    assert encoder.encode([text]) == [encoder._whole(text)]
+    assert len(encoder.known) <= 8 + 5 + 1  # not 8 times 5; the first word has no space
+
+
+@pytest.mark.parametrize(("name", "spaces"), VOCABULARIES)
+def test_ids_of_cut_texts_are_those_of_whole_texts(name, spaces):
+    import pyarrow as pa
+
+    from duelgauge.llm import tokens
+
+    parts = ["the", "The", "É", "é", "İ", "Σ", "Я", "×", "中", "文", "’", "…", "'s", "'t", "'", ".", ",", "***", "|", "3", "½", "q5x3", "ﬁ", "ǰ", "J̌"]
+    parts += [" ", "  ", "\n", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", "　", "᠎", "​", "\x00"]
+    parts += ["́", "̸", ">", "=", "_", "😀", "हि", "각", "ᄀ", "ᅡ", "<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "҂", "÷,"]
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(parts, int(n))) for n in rng.integers(0, 12, 4000)] + ["", " ", "\n \n", "<|endoftext|>"]
+    encoder = tokens.PieceEncoder(tokens.vocabulary_path(name), spaces)
+    assert encoder.cuts
+    expected = [encoder._whole(t) if t else b"" for t in texts]
+    for at in range(0, len(texts), 500):
+        part = [None, *texts[at : at + 500], "after"]
+        assert encoder.encode(pa.array(part).slice(0, len(part) - 1)) == [b"", *expected[at : at + 500]]
+        assert encoder.encode(part)[1:-1] == expected[at : at + 500]
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
