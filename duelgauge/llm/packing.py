@@ -49,7 +49,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, spaces:
         schema = pa.schema(list(zip(("doc_id", "piece", "start", "length", "ids_crc32", "slot"), types)))
         for part in chunks(batches, "text", BLOCK_BYTES):
             rows = []
-            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
                 ids += end
                 count = len(ids) // 4
                 first = count % capacity or capacity
