@@ -21,6 +21,7 @@ CATALOG_HEADER = (
     r"DT\[(\d{4}\.\d{2}\.\d{2})\](?:WR\[(\d+)\])?(?:BR\[(\d+)\])?"
 )
 RECORD_START = "(;GM[chess]"
+TAG_END = '"]'
 
 
 def select_inputs(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
@@ -183,18 +184,24 @@ def explode_moves(records: DataFrame, key: str = "game_id") -> DataFrame:
 def read_pgn(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """PGN games: tag map and movetext. The blank line before an Event tag separates games."""
     pieces = numbered_lines(spark, path, "\n\n[Event ")
-    text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r", "")
-    whole = F.concat(F.lit("[Event "), F.regexp_replace(text, r"^\s*\[Event ", ""))
-    rows = with_whole_file_numbers(pieces.withColumn("text", whole).drop("value"))
-    pattern = r'(?m)^\[(\w+) "([^"]*)"\]'
-    found = lambda group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
+    marked = F.col("value").startswith("\ufeff")
+    text = F.replace(F.when(marked, F.substr("value", F.lit(2))).otherwise(F.col("value")), F.lit("\r"), F.lit(""))
+    # All tags end before the rest of the last line that ends one: patterns for tags need not search the moves.
+    rest = F.length(F.substring_index("_text", TAG_END, -1))
+    cut = F.length("_text") - rest + 1
+    split = pieces.withColumn("_text", text).withColumn("_cut", cut).drop("value")
+    opened = F.concat(F.lit("[Event "), F.regexp_replace(F.substr("_text", F.lit(1), F.col("_cut")), r"^\s*\[Event ", ""))
+    rows = with_whole_file_numbers(split.withColumn("_head", opened).withColumn("_rest", F.substr("_text", F.col("_cut") + 1)).drop("_text", "_cut"))
+    found = lambda group: F.regexp_extract_all("_head", F.lit(r'(?m)^\[(\w+) "([^"]*)"\]'), F.lit(group))
     # Columns of their own: each text is searched once per group, not once per tag and use.
-    named = rows.filter(F.col("text").rlike(pattern)).withColumn("_names", found(1)).withColumn("_values", found(2))
+    named = rows.withColumn("_names", found(1)).withColumn("_values", found(2))
     pairs = F.arrays_zip(F.col("_names").alias("k"), F.col("_values").alias("v"))
     kept = F.filter(pairs, lambda p, i: F.array_position("_names", p["k"]) == i + 1)
     tags = F.map_from_entries(F.transform(kept, lambda p: F.struct(p["k"], p["v"])))
-    body = F.trim(F.regexp_replace(F.regexp_replace("text", r'(?m)^\[\w+ "[^"]*"\]$', ""), r"\s+", " "))
-    return named.select("file", "line_no", tags.alias("tags"), body.alias("movetext"))
+    # A list of one: a condition on tags stays above it, pushed below it would make the tags anew for every use.
+    tagged = named.select("file", "line_no", "_head", "_rest", F.explode(F.array(tags)).alias("tags")).filter(F.size("tags") > 0)
+    moves = F.concat(F.regexp_replace("_head", r'(?m)^\[\w+ "[^"]*"\]$', ""), "_rest")
+    return tagged.select("file", "line_no", "tags", F.trim(F.regexp_replace(moves, r"\s+", " ")).alias("movetext"))
 
 
 # Half-open lower and closed upper bound of convertible ratings, and the least plies.
@@ -210,7 +217,7 @@ def pgn_corpus(pgn: DataFrame) -> DataFrame:
     tag = lambda name: F.col("tags")[name]
     rating = lambda name: tag(name).try_cast("bigint")
     tokens = F.filter(F.split("movetext", " "), lambda t: t.rlike(r"^[A-Za-z]"))
-    moves = F.transform(tokens, lambda t: F.regexp_replace(t, "[?!]", ""))
+    moves = F.transform("_tokens", lambda t: F.regexp_replace(t, "[?!]", ""))
     clocks = F.transform(F.regexp_extract_all("movetext", F.lit(r"(\d+:\d+:\d+)\]"), F.lit(1)), T.clock_seconds)
     absent = lambda name: F.coalesce(tag(name).isin("", "?"), F.lit(True))
     outside = lambda name: ~F.coalesce((rating(name) > PGN_RATING[0]) & (rating(name) <= PGN_RATING[1]), F.lit(False))
@@ -218,10 +225,11 @@ def pgn_corpus(pgn: DataFrame) -> DataFrame:
         F.when(~F.coalesce(tag("Event").contains("Blitz"), F.lit(False)), "event")
         .when(absent("White") | absent("Black"), "missing_player")
         .when(outside("WhiteElo") | outside("BlackElo"), "rating")
-        .when(F.size("moves") < PGN_MIN_PLIES, "too_short")
+        .when(F.size("_tokens") < PGN_MIN_PLIES, "too_short")
     )
     return (
-        pgn.withColumn("moves", moves)
+        pgn.withColumn("_tokens", tokens)
+        .withColumn("moves", moves)
         .withColumn("clocks", clocks)
         .withColumn("reason", reason)
         .select(
