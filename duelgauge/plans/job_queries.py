@@ -208,7 +208,7 @@ def _(spark, sf):
 s AS (SELECT white_elo AS elo FROM k UNION ALL SELECT black_elo FROM k)
 SELECT CAST(floor(elo / 100.0) * 100 AS BIGINT) AS low, count(*) AS n FROM s GROUP BY 1""")
 def _(spark, sf):
-    made = J.pgn_corpus(spark, SQ.written(spark, "pgn", SQ.pgn_lines(spark, sf)))
+    made = J.pgn_corpus(spark, SQ.written_pgn(spark, sf))
     return made["distribution"].select("low", "n")
 
 

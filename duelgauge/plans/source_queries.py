@@ -26,9 +26,9 @@ def lines(spark, sf):
     return SK.record_lines(fx.games(spark, sf), fx.moves(spark, sf))
 
 
-def written(spark, name, frame):
+def written(spark, name, frame, **layout):
     path = scratch_path(spark, name)
-    SK.write_text(frame, path)
+    SK.write_text(frame, path, **layout)
     return path
 
 
@@ -68,22 +68,30 @@ def _(spark, sf):
 def pgn_lines(spark, sf):
     """PGN text: header block, blank line, movetext with clocks."""
     g = F.col("game_id")
+    games = fx.games(spark, sf)
     san = F.array_join(F.transform(F.sequence(F.lit(0), F.col("plies") - 1), lambda p: F.concat(
         F.when(p % 2 == 0, F.concat((F.floor(p / 2) + 1).cast("string"), F.lit(". "))).otherwise(F.concat((F.floor(p / 2) + 1).cast("string"), F.lit("... "))),
         F.lit("Nf3! { [%clk 0:0"), (p % 10).cast("string"), F.lit(":0"), (p % 7).cast("string"), F.lit("] }"))), " ")
+    # The movetext depends on the number of plies alone: it is made once per number, not once per game.
+    movetexts = games.select("plies").distinct().withColumn("san", san)
     score = F.when(F.col("result") > 0, "1-0").when(F.col("result") < 0, "0-1").otherwise("1/2-1/2")
     head = lambda k, v: F.concat(F.lit(f'[{k} "'), v, F.lit('"]\n'))
-    return fx.games(spark, sf).select(F.concat(
+    return games.join(F.broadcast(movetexts), "plies", "left").select(F.concat(
         head("Event", F.concat(F.lit("Rated "), F.col("event"), F.lit(" game"))), head("White", F.when(g % 43 == 0, "?").otherwise(F.col("white"))), head("Black", F.col("black")),
         head("Result", score), head("UTCDate", F.date_format("played_at", "yyyy.MM.dd")), head("WhiteElo", F.when(F.col("white_elo") > 0, F.col("white_elo").cast("string")).otherwise("?")),
         head("BlackElo", F.col("black_elo").cast("string")), head("TimeControl", F.concat((F.lit(60) + g % 5).cast("string"), F.lit("+"), (g % 3).cast("string"))),
-        F.lit("\n"), san, F.lit(" "), score, F.lit("\n")).alias("value"))
+        F.lit("\n"), "san", F.lit(" "), score, F.lit("\n")).alias("value"))
+
+
+def written_pgn(spark, sf):
+    """PGN files as they are passed around: compressed, each with a bounded number of games."""
+    return written(spark, "pgn", pgn_lines(spark, sf), compression="gzip", lines_per_file=SK.LINES_PER_FILE)
 
 
 @query("src_04_pgn_headers", "games", """
 SELECT CASE WHEN game_id % 43 = 0 THEN '?' ELSE white END AS white, black, strftime(played_at, '%Y.%m.%d') AS utc_date, CAST(8 AS INT) AS n_tags FROM games""")
 def _(spark, sf):
-    rows = RD.read_pgn(spark, written(spark, "pgn", pgn_lines(spark, sf)))
+    rows = RD.read_pgn(spark, written_pgn(spark, sf))
     return rows.select(F.col("tags.White").alias("white"), F.col("tags.Black").alias("black"), F.col("tags.UTCDate").alias("utc_date"), F.size("tags").alias("n_tags"))
 
 
@@ -91,7 +99,7 @@ def _(spark, sf):
 SELECT CASE WHEN game_id % 43 = 0 THEN '?' ELSE white END AS white, black, result, CASE WHEN event <> 'Blitz' THEN 'event' WHEN game_id % 43 = 0 THEN 'missing_player' WHEN white_elo = 0 THEN 'rating' WHEN plies < 22 THEN 'too_short' ELSE 'ok' END AS reason,
  60 + game_id % 5 AS base_s, game_id % 3 AS increment_s, plies AS n_moves, (SELECT CAST(sum(60 * (p % 10) + p % 7) AS BIGINT) FROM (SELECT unnest(range(plies)) AS p)) AS clock_sum FROM games""")
 def _(spark, sf):
-    rows = RD.pgn_corpus(RD.read_pgn(spark, written(spark, "pgn", pgn_lines(spark, sf))))
+    rows = RD.pgn_corpus(RD.read_pgn(spark, written_pgn(spark, sf)))
     return rows.select("white", "black", "result", F.coalesce("reason", F.lit("ok")).alias("reason"), "time_control.base_s", "time_control.increment_s", F.size("moves").cast("bigint").alias("n_moves"), F.aggregate("clocks", F.lit(0).cast("bigint"), lambda a, c: a + c).alias("clock_sum"))
 
 

@@ -43,8 +43,13 @@ def write_partitioned(df: DataFrame, path: str, *by: str) -> None:
     df.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def write_text(lines: DataFrame, path: str) -> None:
-    lines.select("value").write.mode("overwrite").text(path)
+# Fixed value: lines of a file that only one task can read, as it is compressed.
+LINES_PER_FILE = 20_000
+
+
+def write_text(lines: DataFrame, path: str, compression: str = "none", lines_per_file: int = 0) -> None:
+    """Text files, `lines_per_file` lines at most in each (0: any number)."""
+    lines.select("value").write.mode("overwrite").option("maxRecordsPerFile", lines_per_file).text(path, compression=compression)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -1,6 +1,12 @@
 """PGN files: each text is searched once, whatever is asked of the games, and files are compressed and bounded."""
 
+import os
+
+from pyspark.sql import functions as F
+
+from duelgauge.plans import catalog
 from duelgauge.plans import jobs as J
+from duelgauge.plans import source_queries as SQ
 from duelgauge.sources import records as RD
 
 GAMES = [
@@ -32,3 +38,20 @@ def test_conditions_on_games_do_not_search_the_tags_again(spark, tmp_path, capsy
     assert capsys.readouterr().out.count("map_from_entries") == 1
     assert sorted((r.low, r.n) for r in made["distribution"].collect()) == [(1400, 1), (1500, 1)]
     assert {r.reason: r.n for r in made["reasons"].collect()} == {None: 1, "event": 3}
+
+
+def test_pgn_files_are_compressed_and_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SQ.SK, "LINES_PER_FILE", 40)
+    keys = spark.range(-150, 150).select(F.when(F.col("id") % 50 != 0, F.col("id")).alias("k"))
+    keys.select(
+        F.col("k").alias("o_orderkey"), (F.col("k") % 30).alias("o_custkey"), F.lit("2024-01-02").cast("timestamp").alias("o_orderdate"),
+        F.when(F.col("k") % 2 == 0, "5-LOW").otherwise("1-URGENT").alias("o_orderpriority"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(30).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    path = SQ.written_pgn(spark, str(tmp_path))
+    files = [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]
+    assert len(files) >= 8 and all(f.endswith(".txt.gz") for f in files)
+    found = RD.pgn_corpus(RD.read_pgn(spark, path)).drop("file", "line_no")
+    plain = RD.pgn_corpus(RD.read_pgn(spark, SQ.written(spark, "pgn", SQ.pgn_lines(spark, str(tmp_path))))).drop("file", "line_no")
+    assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect())) and found.count() > 200
+    assert catalog.QUERIES["src_04_pgn_headers"](spark, str(tmp_path)).count() == found.count()
