@@ -80,8 +80,16 @@ def data_range(dlen: Column, moves: Column) -> Column:
 
 def clock_seconds(clock: Column) -> Column:
     """`h:m:s` to seconds."""
-    p = F.split(clock, ":")
-    n = lambda i: F.get(p, F.lit(i)).try_cast("bigint")
+    return _seconds(F.split(clock, ":"))
+
+
+def all_clock_seconds(clocks: Column) -> Column:
+    """The same for a list, each split once."""
+    return F.transform(F.transform(clocks, lambda c: F.split(c, ":")), _seconds)
+
+
+def _seconds(parts: Column) -> Column:
+    n = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
     return n(0) * 3600 + n(1) * 60 + n(2)
 
 

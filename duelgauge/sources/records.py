@@ -218,7 +218,7 @@ def pgn_corpus(pgn: DataFrame) -> DataFrame:
     rating = lambda name: tag(name).try_cast("bigint")
     tokens = F.filter(F.split("movetext", " "), lambda t: t.rlike(r"^[A-Za-z]"))
     moves = F.transform("_tokens", lambda t: F.regexp_replace(t, "[?!]", ""))
-    clocks = F.transform(F.regexp_extract_all("movetext", F.lit(r"(\d+:\d+:\d+)\]"), F.lit(1)), T.clock_seconds)
+    clocks = T.all_clock_seconds(F.regexp_extract_all("movetext", F.lit(r"(\d+:\d+:\d+)\]"), F.lit(1)))
     absent = lambda name: F.coalesce(tag(name).isin("", "?"), F.lit(True))
     outside = lambda name: ~F.coalesce((rating(name) > PGN_RATING[0]) & (rating(name) <= PGN_RATING[1]), F.lit(False))
     reason = (
