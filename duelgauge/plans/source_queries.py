@@ -185,8 +185,13 @@ def _(spark, sf):
     return TB.read_accuracy_table(spark, written(spark, "evaluator", log)).drop("file")
 
 
+def log_folder(iteration):
+    """Folder of an iteration, as the name of its lines in a bundle."""
+    return F.concat(F.lit("iteration="), F.coalesce(F.col(iteration).cast("string"), F.lit("none")), F.lit("/"))
+
+
 def log_lines(spark, sf):
-    """One log file per block of events, in time order."""
+    """One log per block of events, in time order."""
     i = F.col("event_id") % 50
     stamp = F.date_format("ts", "yyyy/MM/dd_HH:mm:ss.SSS")
     text = (
@@ -202,11 +207,10 @@ def log_lines(spark, sf):
 @query("src_14_training_log", "", """
 SELECT event_id // 50 AS iteration, CASE WHEN event_id % 2 = 0 THEN 'loss_policy' ELSE 'SelfPlay Avg. Game Lengths' END AS metric, count(*) AS n FROM events WHERE event_id % 50 NOT IN (0, 20, 49) GROUP BY 1, 2""")
 def _(spark, sf):
-    path = scratch_path(spark, "training-log")
-    ready = log_lines(spark, sf).repartition("iteration").sortWithinPartitions("iteration", "event_id").select("iteration", "value")
-    # Many small files: the tasks move their own into place, not the driver one by one.
-    ready.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("iteration").text(path)
-    parsed = TB.read_training_log(spark, path).filter("kind = 'metric'")
+    # One log per iteration: too many and too small for files of their own.
+    ready = log_lines(spark, sf).repartition("iteration").sortWithinPartitions("iteration", "event_id")
+    path = written(spark, "training-log", RD.bundle_lines(ready, log_folder("iteration")))
+    parsed = TB.read_training_log(spark, path, bundles=True).filter("kind = 'metric'")
     folder = F.regexp_extract("file", r"iteration=(\d+)/", 1).cast("bigint").alias("iteration")
     return parsed.groupBy(folder, "metric").agg(F.count(F.lit(1)).alias("n"))
 

@@ -47,6 +47,25 @@ def numbered_lines(spark: SparkSession, path: str | list[str], separator: str |
     )
 
 
+# Fixed value: ends the name that a line of a bundle begins with.
+NAME_END = "\t"
+
+
+def bundle_lines(lines: DataFrame, name: Column) -> DataFrame:
+    """Lines of many small files for files that hold many of them: each line begins with the name of its own.
+
+    A line without a name or text gets an empty one in its place.
+    """
+    return lines.select(F.concat(F.coalesce(name, F.lit("")), F.lit(NAME_END), F.coalesce("value", F.lit(""))).alias("value"))
+
+
+def unbundled(lines: DataFrame) -> DataFrame:
+    """Lines of bundles as `value`, with the name they had as the last part of `file`."""
+    end = F.locate(NAME_END, F.col("value"))
+    file = F.concat_ws("/", "file", F.substr("value", F.lit(1), end - 1))
+    return lines.withColumn("file", file).withColumn("value", F.substr("value", end + 1))
+
+
 def with_line_numbers(lines: DataFrame, name: str = "line_no") -> DataFrame:
     """0-based number of each line in its file. Blocks of a file are numbered apart and then joined up."""
     numbered = ordered.row_numbers(lines, ["file"], ["at"], F.col("block"), name)

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from duelgauge import schemas
 from duelgauge.runtime import require
-from duelgauge.sources.records import numbered_lines, with_line_numbers, with_whole_file_numbers
+from duelgauge.sources.records import numbered_lines, unbundled, with_line_numbers, with_whole_file_numbers
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -79,10 +79,11 @@ def _stamp(value: Column) -> Column:
     return F.to_timestamp(F.regexp_extract(value, STAMP, 1), "yyyy/MM/dd_HH:mm:ss.SSS")
 
 
-def read_training_log(spark: SparkSession, path: str) -> DataFrame:
+def read_training_log(spark: SparkSession, path: str, bundles: bool = False) -> DataFrame:
     """Log lines as (line_no, kind, metric, value, ts, iteration).
 
-    The iteration of a line is the number of iteration starts up to it.
+    The iteration of a line is the number of iteration starts up to it. With `bundles`, a file holds the lines of many
+    logs, those of a log in order; `file` then also names the log, and lines are numbered in the bundle.
     """
     from duelgauge.operators import ordered
 
@@ -94,7 +95,8 @@ def read_training_log(spark: SparkSession, path: str) -> DataFrame:
         .when(v.contains("[Optimization] Start."), "optimization_start")
         .when(v.contains("[Optimization] Finished."), "optimization_finish")
     )
-    lines = with_whole_file_numbers(numbered_lines(spark, path)).withColumn("kind", kind).filter("kind IS NOT NULL")
+    numbered = with_whole_file_numbers(numbered_lines(spark, path))
+    lines = (unbundled(numbered) if bundles else numbered).withColumn("kind", kind).filter("kind IS NOT NULL")
     named = lines.select(
         "file",
         "line_no",
