@@ -448,8 +448,8 @@ def _(spark, sf):
     step = F.when(g % 29 == 0, it - 1).otherwise(it)
     head = F.format_string("SelfPlay %s %d %d %.1f (;EV[weight_iter_%d]) #", (g % 9 != 0).cast("string"), F.lit(10) + g % 30, F.lit(20) + g % 60, F.col("result").cast("double"), step)
     text = F.when(g % 101 == 0, F.concat(head, F.lit(" SelfPlay"))).when(g % 103 == 0, F.substring_index(head, " #", 1)).otherwise(head)
-    source = scratch_path(spark, "selfplay")
-    fx.games(spark, sf).select(it.alias("iteration"), text.alias("value")).write.partitionBy("iteration").text(source)
+    messages = fx.games(spark, sf).select(it.alias("iteration"), text.alias("value"))
+    source = written(spark, "selfplay", RD.bundle_lines(messages, log_folder("iteration")), lines_per_file=SK.LINES_PER_FILE)
     out = ST.selfplay_intake(spark, source, scratch_path(spark, "stats"), scratch_path(spark, "stream"), files_per_batch=20)
     return rounded(out, "iteration", "games", "finished_games", "avg_length", "std_return", "avg_data_length")
 

@@ -10,6 +10,7 @@ from duelgauge.operators import progressive as G
 from duelgauge.operators.predict import with_prediction
 from duelgauge.operators.selfplay import current_model_only, iteration_stats
 from duelgauge.runtime import delete_path
+from duelgauge.sources.records import NAME_END
 
 RECORD = r"^SelfPlay (true|false) (\d+) (\d+) (-?\d+(?:\.\d+)?) (\S+) #$"
 
@@ -95,12 +96,23 @@ def latest(spark: SparkSession, out: str, *keys: str) -> DataFrame:
 
 
 def selfplay_intake(spark: SparkSession, source: str, out: str, checkpoint: str, files_per_batch: int = 1000) -> DataFrame:
-    """Keep per-iteration statistics current while messages arrive as files under iteration=N/."""
-    lines = (
+    """Keep per-iteration statistics current while messages arrive as files under iteration=N/.
+
+    Files outside such folders are bundles of messages, each named by the folder it arrived in.
+    """
+    arrived = (
         spark.readStream.option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .text(source)
-        .select("value", F.regexp_extract("_metadata.file_path", r"iteration=(\d+)/", 1).cast("bigint").alias("iteration"))
+        .select("value", F.col("_metadata.file_path").alias("file"))
+    )
+    own = r"iteration=(\d+)/"
+    bundled = ~F.col("file").rlike(own) & F.contains("value", F.lit(NAME_END))
+    iteration = lambda text: F.regexp_extract(text, own, 1)
+    named = F.substring_index("value", NAME_END, 1)
+    lines = arrived.select(
+        F.when(bundled, F.substr("value", F.length(named) + 2)).otherwise(F.col("value")).alias("value"),
+        F.when(bundled, iteration(named)).otherwise(iteration("file")).cast("bigint").alias("iteration"),
     )
     stats = iteration_stats(current_model_only(parse_selfplay(lines)))
     # One small row per iteration: one partition of the state per task slot, no more than the session has.
