@@ -80,17 +80,16 @@ def data_range(dlen: Column, moves: Column) -> Column:
 
 def clock_seconds(clock: Column) -> Column:
     """`h:m:s` to seconds."""
-    return _seconds(F.split(clock, ":"))
+    p = F.split(clock, ":")
+    n = lambda i: F.get(p, F.lit(i)).try_cast("bigint")
+    return n(0) * 3600 + n(1) * 60 + n(2)
 
 
 def all_clock_seconds(clocks: Column) -> Column:
-    """The same for a list, each split once."""
-    return F.transform(F.transform(clocks, lambda c: F.split(c, ":")), _seconds)
-
-
-def _seconds(parts: Column) -> Column:
-    n = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
-    return n(0) * 3600 + n(1) * 60 + n(2)
+    """The same for a list of clocks with exactly three parts, without making lists of the parts."""
+    n = lambda part: part.try_cast("bigint")
+    first_two = lambda c: F.substring_index(c, ":", 2)
+    return F.transform(clocks, lambda c: n(F.substring_index(c, ":", 1)) * 3600 + n(F.substring_index(first_two(c), ":", -1)) * 60 + n(F.substring_index(c, ":", -1)))
 
 
 def time_control(text: Column) -> Column:

@@ -235,8 +235,9 @@ def pgn_corpus(pgn: DataFrame) -> DataFrame:
     """
     tag = lambda name: F.col("tags")[name]
     rating = lambda name: tag(name).try_cast("bigint")
-    tokens = F.filter(F.split("movetext", " "), lambda t: t.rlike(r"^[A-Za-z]"))
-    moves = F.transform("_tokens", lambda t: F.regexp_replace(t, "[?!]", ""))
+    # What begins with a letter behind a space or at the start.
+    tokens = F.regexp_extract_all("movetext", F.lit(r"\b[A-Za-z](?<=^.| .)[^ ]*"), F.lit(0))
+    moves = F.transform("_tokens", lambda t: F.replace(F.replace(t, F.lit("?"), F.lit("")), F.lit("!"), F.lit("")))
     clocks = T.all_clock_seconds(F.regexp_extract_all("movetext", F.lit(r"(\d+:\d+:\d+)\]"), F.lit(1)))
     absent = lambda name: F.coalesce(tag(name).isin("", "?"), F.lit(True))
     outside = lambda name: ~F.coalesce((rating(name) > PGN_RATING[0]) & (rating(name) <= PGN_RATING[1]), F.lit(False))

@@ -32,6 +32,13 @@ def test_odd_texts_keep_their_tags_and_moves(spark, tmp_path):
     assert rows[0].tags["BlackElo"] == "1490" and rows[0].movetext.startswith("Nf3! {[%clk 0:00:01]} Nf3!")
 
 
+def test_moves_and_clocks_of_odd_texts(spark):
+    text = "\u00a0 Nf3 Bb5\u3000c4 {[%clk 1:02:03]} 00:7:99999999999999999999] 5:6:7:8] _d3 x!y! ?!Nc3 2.Nf3 Qh5?!? a\u0085b 1-0"
+    pgn = spark.createDataFrame([("f", 0, {"Event": "x"}, text)], "file string, line_no bigint, tags map<string, string>, movetext string")
+    row = RD.pgn_corpus(pgn).first()
+    assert row.moves == ["Nf3", "Bb5\u3000c4", "xy", "Qh5", "a\u0085b"] and row.clocks == [3723, None, 22028]
+
+
 def test_conditions_on_games_do_not_search_the_tags_again(spark, tmp_path, capsys):
     made = J.pgn_corpus(spark, written(tmp_path))
     made["distribution"].select("low", "n").explain()
